@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import find_items, hit_words
 from .exact_dedup import LOWER, UPPER, exact_decisions
+from .html_text import extract_text
 from .packing import pack
 from .sharding import shard_documents
 from .token_files import read_token_files, write_token_files
 from .tokens import count_tokens
+from .toxicity import fit, held_out, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +53,39 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_items(docs, table(spark, sf_dir, "benchmark"))
+    items, n_hit = F.col("found")["items"], hit_words(F.col("found"))
+    return found.select(
+        "doc_id",
+        F.col("found")["n_words"].alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    score = F.col("toxicity")["score"]
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), F.col("toxicity")["evidence"].alias("evidence"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_html_text": op4_html_text,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
+    "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
     "op3_sharding": op3_sharding,
 }
