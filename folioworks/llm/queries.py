@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import find_items, hit_words
 from .exact_dedup import LOWER, UPPER, exact_decisions
 from .html_text import extract_text
+from .near_dedup import near_groups
 from .packing import pack
 from .sharding import shard_documents
 from .token_files import read_token_files, write_token_files
@@ -74,12 +75,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), F.col("toxicity")["evidence"].alias("evidence"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_html_text": op4_html_text,
     "op6_packing": op6_packing,
@@ -91,6 +98,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # shingles as strings, links by counting common shingles, components by reachability
+    "op1_near_dedup": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sets AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')))) END AS s FROM w),
+        forms AS MATERIALIZED (SELECT min(doc_id) AS rep, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+        items AS MATERIALIZED (SELECT rep, n, unnest(s) AS x FROM forms),
+        links AS MATERIALIZED (
+            SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT rep AS a, rep AS b FROM forms UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+        comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+        SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
+        FROM sets d LEFT JOIN forms f ON d.s = f.s LEFT JOIN comp c ON c.a = f.rep""",
     "op10_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS h FROM documents),
         g AS (SELECT h, max(doc_id) AS k, count(*) AS n FROM d GROUP BY h)
