@@ -13,6 +13,7 @@ from .html_text import extract_text
 from .near_dedup import near_groups
 from .packing import pack
 from .sharding import shard_documents
+from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 from .tokens import count_tokens
 from .toxicity import fit, held_out, score_toxicity
@@ -45,6 +46,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_html_text": op4_html_text,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
