@@ -1,6 +1,65 @@
-STAGES = []
+"""A corpus pipeline over ``documents``: toxicity, exact and near duplicates, benchmark text, packing.
+
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows that its
+predecessor kept, and returns documents with their own columns; the last one
+returns packed pieces.  Null texts pass the filters as empty documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioworks.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
+from folioworks.llm.queries import table, tokenizer
+from folioworks.llm.store import written
+
+#: Documents with at least this score are rejected.
+REJECTED = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below ``REJECTED``."""
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, index).filter(F.col("toxicity")["score"] < REJECTED).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for the case of A-Z the row with the largest id."""
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of five-word shingle sets with a similarity of 0.8 or more."""
+    return near_dedup.keep_one_of_each(docs, words=5, percent=80)
+
+
+def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of ten or more words that benchmark items have."""
+    clean = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens, filled in proportion to the sources."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_text),
+    ("packing", pack_sequences),
+]
+
+#: SQL can express neither the scores nor the token ids.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written as Parquet and reread as the next one's documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
