@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .repeats import HELD, MAX_TABLE_BITS, near, repeated
 from .store import partitions, written
 
 BANDS, ROWS = 40, 4
@@ -173,6 +174,37 @@ def confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return rows.mapInArrow(confirm, "a bigint, b bigint")
 
 
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """Written rows ``id, n, bucket, members`` of the buckets with two members and more, from ``reps(id, n, bands)``."""
+    size = BANDS * max(1, reps.count())
+    bits = 1 << 16
+    while bits < 16 * size and bits < MAX_TABLE_BITS:
+        bits *= 2
+    chunks = 16
+    while chunks * HELD < size:
+        chunks *= 2
+
+    def bands_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        bands = batch.column(2)
+        values = bands.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, BANDS)
+        yield from values
+
+    spread = reps.sparkSession.sparkContext.broadcast(repeated(reps, bands_of, bits, chunks))  # at most MAX_TABLE_BITS bits
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = spread.value
+        for batch in batches:
+            values = np.stack(list(bands_of(batch))) if batch.num_rows else np.zeros((0, BANDS), np.uint64)
+            row, band = np.nonzero(marks.marked(values.ravel()).reshape(values.shape))
+            ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(n[row]), pa.array(values[row, band].view(np.int64))], names=["id", "n", "bucket"])
+
+    # few keys are marked by chance, so nearly all rows below are in crowded buckets
+    keys = written(reps.select("id", "n", "bands").mapInArrow(keep, "id bigint, n bigint, bucket bigint"), "keys")
+    crowded = written(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "crowded")
+    return written(keys.join(crowded, "bucket").select("id", "n", "bucket", "members"), "shared")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id``: one row for each row of ``docs``."""
     drawn = sketches(docs, words, id_col, text_col)
@@ -180,17 +212,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     # several rows of one id, or one set: the smallest id stands for all
     classes = written(nodes.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
     reps = nodes.join(classes.filter("last > rep").select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").filter("rep IS NULL OR id = rep")
-    keys = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    crowded = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = written(keys.join(crowded, "bucket").select("id", "n", "bucket", "members"), "shared")
+    shared = shared_buckets(written(reps.select("id", "n", "bands"), "representatives"))
     scores = shared.groupBy("id").agg(F.sum("members").alias("score"))
     shared = written(shared.join(scores, "id").select("id", "n", "bucket", "score"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
+    texts = written(near(texts, written(scores.select("id"), "candidates"), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
 
     links, seen, labels, turn = None, None, None, 0
     while True:
-        draw = lambda k: F.max(F.struct(F.xxhash64("id", "bucket", F.lit(f"{turn}.{k}")), F.struct("id", "n").alias("c"))).getField("c")  # noqa: E731, B023
-        picks = [F.max(F.struct("score", (-F.col("id")).alias("i"), F.struct("id", "n").alias("c"))).getField("c")] if not turn else [F.min(F.struct("id", "n"))] * (turn == 1) + [draw(0), draw(1)]
+        # the same draw in all buckets, so that a member meets few different centres
+        draw = lambda k: F.max(F.struct(F.xxhash64("id", F.lit(f"{turn}.{k}")), F.struct("id", "n").alias("c"))).getField("c")  # noqa: E731, B023
+        picks = [F.max(F.struct("score", (-F.col("id")).alias("i"), F.struct("id", "n").alias("c"))).getField("c")] if not turn else [F.min(F.struct("id", "n")), draw(0), draw(1), draw(2)]
         centres = written(shared.groupBy("bucket").agg(F.array(*picks).alias("centres")), "centres")
         stars = shared.select("bucket", "id", "n").join(centres, "bucket").select("id", "n", F.explode("centres").alias("c"))
         close = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
@@ -201,7 +233,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             edges = pair(edges).join(pair(seen).select("x", "y"), ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("a", "b")
         edges = written(edges, "candidates")
         seen = edges if seen is None else seen.unionByName(edges)
-        new = written(confirmed(edges, texts.join(endpoints(edges), "id", "left_semi").dropDuplicates(["id"]), words, percent), "confirmed")
+        new = written(confirmed(edges, texts, words, percent), "confirmed")
         found = new.count()
         links = new if links is None else links.unionByName(new)
         if turn and not found:
@@ -215,10 +247,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def endpoints(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-
 def apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges whose ends are in different components so far."""
     out = edges
