@@ -70,26 +70,37 @@ def probe(rows: DataFrame, digest_col: str, words: DataFrame, bits: int) -> Data
     return out.withColumn("maybe_repeated", hit == 2).drop("_w", "_word", "_bits")
 
 
+def _groups(digests: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """Written ``text_sha256, keep_id, group_size`` of the digests that may be repeated.
+
+    Written, so that both sides of the join to it are shuffled and a large
+    group of copies is split over tasks at run time.
+    """
+    rows = probe(digests, "text_sha256", words, bits).filter("maybe_repeated")
+    return written(rows.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+
+
+def _resolved(rows: DataFrame, groups: DataFrame, words: DataFrame, bits: int, id_col: str, columns: list[str]) -> DataFrame:
+    """``rows`` with their decisions: only those that may be repeated are shuffled."""
+    rows, ident = probe(rows, "text_sha256", words, bits), F.col(id_col)
+    shuffled = rows.filter("maybe_repeated").join(groups, "text_sha256").withColumn("kept", ident.eqNullSafe(F.col("keep_id")))
+    passed = rows.filter(~F.col("maybe_repeated")).withColumns({"keep_id": ident, "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    return shuffled.select(*columns).unionByName(passed.select(*columns))
+
+
+def _filtered(docs: DataFrame, id_col: str, text_col: str, filter_bits: int | None) -> tuple[DataFrame, DataFrame, int]:
+    digests = written(docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("text_sha256")), "digests")
+    bits = filter_bits or filter_bits_for(digests.count())
+    return digests, written(repeat_filter(digests, "text_sha256", bits), "repeats"), bits
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
     """Every row of ``docs`` with ``keep_id, group_size, kept, text_sha256`` added."""
     if clash := set(OUT) & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are already there; rename them first")
-    ident = F.col(id_col)
-    digests = written(docs.select(ident.alias("id"), text_digest(F.col(text_col)).alias("text_sha256")), "digests")
-    bits = filter_bits or filter_bits_for(digests.count())
-    words = written(repeat_filter(digests, "text_sha256", bits), "repeats")
-    groups = (
-        probe(digests, "text_sha256", words, bits)
-        .filter("maybe_repeated")
-        .groupBy("text_sha256")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
-    rows = digests.withColumnRenamed("id", id_col) if set(docs.columns) == {id_col} else docs.withColumn("text_sha256", text_digest(F.col(text_col)))
-    rows = probe(rows, "text_sha256", words, bits)
-    resolved = rows.filter("maybe_repeated").join(groups, "text_sha256").withColumn("kept", ident.eqNullSafe(F.col("keep_id")))
-    single = rows.filter(~F.col("maybe_repeated")).withColumns({"keep_id": ident, "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    columns = [*docs.columns, *OUT]
-    return resolved.select(*columns).unionByName(single.select(*columns))
+    digests, words, bits = _filtered(docs, id_col, text_col, filter_bits)
+    rows = docs.withColumn("text_sha256", text_digest(F.col(text_col)))
+    return _resolved(rows, _groups(digests, words, bits), words, bits, id_col, [*docs.columns, *OUT])
 
 
 def exact_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
@@ -97,17 +108,8 @@ def exact_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The texts are read once; everything after works on the written digests.
     """
-    digests = written(docs.select(F.col(id_col), text_digest(F.col(text_col)).alias("text_sha256")), "digests")
-    bits = filter_bits or filter_bits_for(digests.count())
-    words = written(repeat_filter(digests, "text_sha256", bits), "repeats")
-    rows = probe(digests, "text_sha256", words, bits)
-    repeated, single = rows.filter("maybe_repeated"), rows.filter(~F.col("maybe_repeated"))
-    groups = repeated.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    ident = F.col(id_col)
-    resolved = repeated.join(groups, "text_sha256").withColumn("kept", ident.eqNullSafe(F.col("keep_id")))
-    single = single.withColumns({"keep_id": ident, "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    columns = [id_col, *OUT]
-    return resolved.select(*columns).unionByName(single.select(*columns))
+    digests, words, bits = _filtered(docs, id_col, text_col, filter_bits)
+    return _resolved(digests.withColumnRenamed("id", id_col), _groups(digests, words, bits), words, bits, id_col, [id_col, *OUT])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
