@@ -103,7 +103,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
 }
 
+WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    # every window of every item as a string, looked up at every word of every document
+    "op8_decontamination": f"""
+        WITH dw AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+        iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w FROM benchmark),
+        starts AS (SELECT item, w, least(10, len(w)) AS m, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS i FROM iw WHERE len(w) > 0),
+        grams AS (SELECT DISTINCT item, m, array_to_string(w[i + 1 : i + m], ' ') AS g FROM starts),
+        places AS (SELECT doc_id, w, m, unnest(range(0, greatest(0, len(w) - m + 1))) AS i FROM dw, (SELECT DISTINCT m FROM grams) s),
+        hits AS (SELECT p.doc_id, p.i, p.m, g.item FROM places p JOIN grams g ON p.m = g.m AND array_to_string(p.w[p.i + 1 : p.i + p.m], ' ') = g.g),
+        hit_words AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM hits) x GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) x GROUP BY doc_id)
+        SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(t.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN hit_words h USING (doc_id) LEFT JOIN items t USING (doc_id)""",
     # shingles as strings, links by counting common shingles, components by reachability
     "op1_near_dedup": rf"""
         WITH RECURSIVE w AS (
