@@ -98,3 +98,19 @@ def test_vectors(spark):
     assert one(spark, F.array(vectors.dot(a, b), vectors.cosine(a, b), vectors.euclid(a, b))) == pytest.approx([3.0, 0.6, 20**0.5])
     assert one(spark, vectors.percent(F.lit(1), F.lit(16))) == 6.2
     assert one(spark, vectors.percent(F.lit(0), F.lit(0))) == 0.0
+
+
+class Doubling:
+    def embed(self, texts):
+        return [[float(len(t)), 2.0 * len(t)] for t in texts]
+
+
+def test_model_embedding_runs_in_batches_and_checks_sizes(spark):
+    from folioworks.operators.embedding import embed, hashed, with_context
+
+    df = spark.createDataFrame([("a",), ("bcd",)], "t string")
+    assert [list(r["vector"]) for r in embed(df, "t", 2, Doubling, batch=1).collect()] == [[1.0, 2.0], [3.0, 6.0]]
+    with pytest.raises(Exception, match="another number or size"):
+        embed(df, "t", 3, Doubling).collect()
+    assert one(spark, with_context(C("t"), C("n")), t="x", n="my_file-1.md") == "[File: my file 1 md]\nx"
+    assert sum(x * x for x in one(spark, hashed(C("t"), 8), t="some words here")) == pytest.approx(1.0)
