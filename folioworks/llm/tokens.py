@@ -1,10 +1,12 @@
 """Public tokenizers inside Arrow functions.
 
 ``PieceEncoder`` cuts texts where a tokenizer cannot see across and remembers
-the ids of common pieces, so that the library encodes each frequent piece once
-per worker.  Cuts lie between a character that is no white space and a space,
-tab or line end: byte-level BPE splits words there before merging, and word-end
-BPE drops the white space.  Tokenizers of other kinds get whole texts.
+the ids of common pieces and words, so that each worker seldom encodes one
+twice.  A text without double spaces is cut before every space: byte-level BPE
+splits words there before merging (white space before the space stays with the
+left piece either way), and word-end BPE drops the white space.  Texts with
+double spaces are cut before white space that follows something else.
+Tokenizers of other kinds get whole texts.
 """
 
 from __future__ import annotations
@@ -12,20 +14,27 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space and separators other than space, tab and line ends.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 SPACED = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-BARE = re.compile(r"[^ \n\t\r]+")
 CAREFUL = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])")
 #: Pieces that a worker remembers at most, and the longest it remembers.
 REMEMBERED, LONGEST = 400_000, 48
+# The words that the two kinds of tokenizers split texts into, and the characters that stand for bytes.
+SPACED_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+BARE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+SPACED_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+BARE_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII)
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*PRINTED}))}
 
 
 def tokenizer_kind(path: str) -> str:
@@ -45,53 +54,95 @@ def tokenizer_kind(path: str) -> str:
     return "whole"
 
 
-class PieceEncoder(dict):
-    """Pieces to their ids as little-endian unsigned 32-bit bytes, or to their number."""
+class Remembered(dict):
+    """A dictionary that computes what it lacks and keeps between one and two times ``REMEMBERED`` recent keys."""
 
-    def __init__(self, path: str, kind: str, lengths: bool) -> None:
+    def __init__(self, make) -> None:
         super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value) -> None:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class PieceEncoder:
+    """Whole texts to their ids as little-endian unsigned 32-bit bytes, or to their number."""
+
+    def __init__(self, path: str, kind: str, lengths: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
+        self.kind, self.lengths, self.join = kind, lengths, sum if lengths else b"".join
+        self.before = " " if kind == "spaced" else ""
+        self.words = {"spaced": (SPACED_WORDS, SPACED_ASCII), "bare": (BARE_WORDS, BARE_ASCII)}.get(kind)
+        self.pieces, self.word_ids = Remembered(lambda p: self.of_piece(self.before + p)), Remembered(self.of_word)
         if kind == "sentencepiece":
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.batch = lambda texts: model.encode(texts, num_threads=1)
-        else:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.no_padding()
-            model.no_truncation()
-            self.batch = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-        self.kind, self.lengths = kind, lengths
-
-    def _value(self, ids: list[int]):
-        return len(ids) if self.lengths else np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str):
-        return self._value(self.batch([piece])[0])
-
-    def pieces(self, text: str) -> list[str]:
+            return
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        model.no_padding()
+        model.no_truncation()
+        self.batch = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model, self.normal = model.model, model.normalizer
+        self.added = [t.content for t in model.get_added_tokens_decoder().values()]
+        self.plain_lower = model.normalizer is not None and model.normalizer.normalize_str("aZ~") == "az~"
+
+    def value(self, ids: list[int]):
+        return len(ids) if self.lengths else array("I", ids).tobytes()
+
+    def of_word(self, word: str):
+        """A word as the tokenizer splits it off, by the merges of its model."""
+        coded = word.encode().decode("latin-1").translate(BYTE_CHARS)
+        return self.value([t.id for t in self.model.tokenize(coded)])
+
+    def of_piece(self, piece: str):
+        if self.words is None:
+            return self.value(self.batch([piece])[0])
+        for content in self.added:
+            if content in piece:
+                return self.value(self.batch([piece])[0])
+        plain = piece.isascii()
+        if self.normal is not None:
+            piece = piece.lower() if self.plain_lower and plain else self.normal.normalize_str(piece)
+            plain = plain and self.plain_lower
+        return self.join(map(self.word_ids.__getitem__, self.words[plain].findall(piece)))
+
+    def encode(self, text: str):
+        if self.kind == "spaced" and "  " in text:
+            cuts = CAREFUL.split(text) if OTHER_SPACE.search(text) else SPACED.findall(text)
+            return self.join(map(self.of_piece, cuts))
         if self.kind == "bare":
-            return BARE.findall(text)
-        if self.kind != "spaced":
-            return [text]
-        return CAREFUL.split(text) if OTHER_SPACE.search(text) else SPACED.findall(text)
+            if self.plain_lower and text.isascii():  # fewer pieces to remember
+                lower = text.lower()
+                text = text if any(content in lower for content in self.added) else lower
+            return self.join(map(self.pieces.__getitem__, text.split(" ")))
+        first, *rest = text.split(" ")
+        return self.join([self.of_piece(first), *map(self.pieces.__getitem__, rest)])
 
     def encode_many(self, texts: list[str]) -> list:
-        """For each whole text its ids as bytes, or their number; unknown pieces are encoded as one batch."""
-        if self.kind in ("whole", "sentencepiece"):
-            return [self._value(ids) for ids in self.batch(texts)]
-        cut = [self.pieces(t) for t in texts]
-        new = [p for p in set().union(*cut) if p not in self and len(p) <= LONGEST]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = [p for p in set().union(*cut) if len(p) <= LONGEST]
-        for p, ids in zip(new, self.batch(new) if new else [], strict=True):
-            self[p] = self._value(ids)
-        join = sum if self.lengths else b"".join
-        return [join(map(self.__getitem__, ps)) for ps in cut]
+        if self.words is None:
+            return [self.value(ids) for ids in self.batch(texts)]
+        if self.lengths:  # the pieces not yet known go to the library as one batch
+            own, older = self.pieces, self.pieces.older
+            new = [p for p in set().union(*(t.split(" ") for t in texts)) if p not in own and p not in older and len(p) <= LONGEST]
+            for p, ids in zip(new, self.batch([self.before + p for p in new]) if new else [], strict=True):
+                own.keep(p, len(ids))
+        return [self.encode(t) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, str, bool], PieceEncoder] = {}
