@@ -39,13 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import mixed
+from .repeats import MAX_TABLE_BITS, BitTables, near, repeated
 from .store import partitions, written
 
 LENGTH, GRAM = 50, 20
 #: Strings of one fragment, bytes of a block of fragments, bytes of packed hashes in a counting task.
 RUN, BLOCK_BYTES, COUNT_BYTES = 128, 1_200_000, 64_000_000
-MAX_TABLE_BITS = 1 << 30
-BROADCAST_IDS = 300_000
 FLUSH = 150_000
 
 
@@ -60,7 +59,10 @@ def bucket_runs(text: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray,
     def load(at: int) -> np.ndarray:  # eight bytes from each gram's byte `at` on
         return np.ndarray((grams,), "<u8", data, at, (1,))
 
-    h = mixed(load(0) ^ mixed(load(8) ^ mixed(load(gram - 8))))
+    h = load(0) * np.uint64(0x9E3779B97F4A7C15)
+    h += load(8) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h += load(gram - 8) * np.uint64(0xD6E8FEB86659FD93)
+    h = mixed(h)
     width = length - gram + 1
     low, done = h, 1
     while done * 2 <= width:
@@ -79,29 +81,37 @@ def bucket_runs(text: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray,
     return low[first], first, last
 
 
-def suffix_order(codes: np.ndarray, longest: int) -> np.ndarray:
-    """The suffix array of codes whose zeros end fragments; suffixes equal up to their zero keep their order."""
-    n = len(codes)
+def sorting(key: np.ndarray, most: int) -> np.ndarray:
+    """The order of non-negative keys up to ``most``; keys that leave room carry their place through a plain sort."""
+    bits = max(1, len(key) - 1).bit_length()
+    if most.bit_length() + bits > 63:
+        return np.argsort(key)
+    packed = key << bits | np.arange(len(key))
+    packed.sort()
+    return packed & ((1 << bits) - 1)
+
+
+def suffix_order(codes: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes ordered by at least their first ``length`` symbols; zeros end fragments, and nothing behind them counts."""
+    n, done = len(codes), 4
     ends = np.flatnonzero(codes == 0)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the zero
-    key, alive = np.zeros(n, np.int64), np.ones(n, bool)
-    for j in range(7):
-        own = np.zeros(n, np.int64)
+    left = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(n)  # symbols before the zero
+    key, own, most = np.zeros(n, np.int64), np.empty(n, np.int64), 1 << 9 * done
+    for j in range(done):
         own[: n - j] = codes[j:]
-        own[~alive] = 0
-        key = key << 9 | own
-        alive &= own > 0
-    done = 7
+        own[n - j :] = 0
+        key = key << 9 | np.where(left >= j, own, 0)
     while True:
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (np.diff(key[order]) != 0).astype(np.int64)]))
-        if done > longest:
+        order = sorting(key, most)
+        if done >= length:
             return order
+        sorted_key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]]))
         then = np.zeros(n, np.int64)
         reach = np.flatnonzero(left >= done)
         then[reach] = rank[reach + done] + 1
-        key, done = rank * (n + 1) + then, done * 2
+        key, done, most = rank * (n + 1) + then, done * 2, (n + 1) ** 2
 
 
 def boundaries(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -138,7 +148,7 @@ def boundaries(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
         to, which, symbols = step[ranks[keep]], which[keep], symbols[keep]
         if not len(to):
             break
-        by = np.argsort(to)
+        by = sorting(to, n)
         to, which, symbols = to[by], which[by], symbols[by]
         start = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (symbols[1:] != symbols[:-1]) | (np.diff(to) != 1)]))
         low, high = to[start], to[np.concatenate([start[1:], [len(to)]]) - 1]
@@ -148,93 +158,62 @@ def boundaries(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     return known[:n]
 
 
-def first_ids(fragments: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each fragment and each string start in it the smallest id among the fragments that hold the string."""
-    sizes = np.array([len(f) for f in fragments], np.int64)
+def first_ids(fragments: list[bytes], ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For every string start of every fragment, one after the other: the fragment's number, and the smallest id among the fragments that hold the string."""
+    sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
     codes = np.zeros(int(sizes.sum()) + len(fragments), np.int64)
-    starts = np.cumsum(sizes + 1) - sizes - 1
     owner = np.repeat(np.arange(len(fragments)), sizes + 1)
+    ends = np.cumsum(sizes + 1) - 1
     inside = np.ones(len(codes), bool)
-    inside[starts + sizes] = False
+    inside[ends] = False
     codes[inside] = np.frombuffer(b"".join(fragments), np.uint8).astype(np.int64) + 1
-    order = suffix_order(codes, int(sizes.max()))
+    order = suffix_order(codes, length)
     heads = np.flatnonzero(boundaries(codes, order, length))
     least = np.minimum.reduceat(ids[owner[order]], heads)
     found = np.empty(len(codes), np.int64)
     found[order] = np.repeat(least, np.diff(np.concatenate([heads, [len(codes)]])))
-    return [found[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    starts = np.flatnonzero(ends[owner] - np.arange(len(codes)) >= length)
+    return owner[starts], found[starts]
 
 
-def shared_table(texts: DataFrame, length: int, bits: int, chunks: int, part: int, parts: int) -> list[np.ndarray]:
-    """Bit tables, one a chunk, of the buckets that at least two documents have."""
+def runs_of(prints: np.ndarray, ids: np.ndarray, many: np.ndarray, owner: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """Runs of equal ``found`` in each fragment, for fragments of several documents or with an earlier one."""
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
+    earliest = np.minimum.reduceat(found, heads)
+    wanted = many | (earliest < ids)
+    cuts = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(found) != 0)]))
+    after = np.concatenate([cuts[1:], [len(owner)]])
+    keep = wanted[owner[cuts]]
+    cuts, after = cuts[keep], after[keep]
+    base = heads[owner[cuts]]
+    fields = [pa.array((cuts - base).astype(np.int32)), pa.array((after - 1 - base).astype(np.int32)), pa.array(found[cuts])]
+    runs = pa.StructArray.from_arrays(fields, names=["first", "last", "least"])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[cuts], minlength=len(ids))[wanted])])
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), runs)
+    return pa.RecordBatch.from_arrays([pa.array(prints[wanted]), lists], names=["print", "runs"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
 
-        def emit() -> Iterator[pa.RecordBatch]:
-            # a hash of several documents of this task is sent twice, all others once
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            values = np.sort(np.concatenate([values, values[n > 1]]))
-            cuts = np.searchsorted(values % np.uint64(chunks), np.arange(chunks)) if chunks == 1 else None
-            chunk = (values % np.uint64(chunks)).astype(np.int64)
-            by = np.argsort(chunk, kind="stable")
-            values, chunk = values[by], chunk[by]
-            cuts = np.searchsorted(chunk, np.arange(chunks + 1))
-            own = [(c, values[a:b].tobytes()) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int32()), pa.array([v for _, v in own], pa.binary())], names=["chunk", "hashes"])
+def in_part(buckets: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return (buckets >> np.uint64(8)) % np.uint64(parts) == part
 
-        for batch in batches:
-            for text in batch.column(1):
-                buckets = np.unique(bucket_runs(text.as_py().encode("utf-8", "surrogatepass"), length)[0])
-                if parts > 1:
-                    buckets = buckets[(buckets >> np.uint64(8)) % np.uint64(parts) == part]
-                held.append(buckets)
-                size += len(buckets)
-                if size > 2_000_000:
-                    yield from emit()
-                    held, size = [], 0
-        if held:
-            yield from emit()
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one chunk after the other, as the rows are sorted
-        def table() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            at = slots(values[n > 1], bits // chunks, chunks)
-            flags = np.zeros(bits // chunks, bool)
-            flags[at] = True
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
-
-        chunk, held = None, []
-        for batch in batches:
-            for c, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if c != chunk and held:
-                    yield table()
-                    held = []
-                chunk = c
-                held.append(np.frombuffer(hashes, "<u8"))
-        if held:
-            yield table()
 
-    packed = texts.mapInArrow(pack, "chunk int, hashes binary").repartition(min(chunks, partitions(texts.sparkSession)), "chunk").sortWithinPartitions("chunk")
-    out = [np.zeros(bits // chunks // 8, np.uint8)] * chunks
-    for row in packed.mapInArrow(mark, "chunk int, bits binary").collect():  # at most MAX_TABLE_BITS bits
-        out[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
-    return out
+def shared_table(texts: DataFrame, length: int, bits: int, chunks: int, part: int, parts: int) -> BitTables:
+    """Bit tables of the buckets that at least two documents have."""
 
+    def buckets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for text in batch.column(1):
+            own = np.unique(bucket_runs(text.as_py().encode("utf-8", "surrogatepass"), length)[0])
+            yield own[in_part(own, part, parts)] if parts > 1 else own
 
-def slots(buckets: np.ndarray, size: int, chunks: int) -> np.ndarray:
-    return ((buckets // np.uint64(chunks)) % np.uint64(size)).astype(np.int64)
+    return repeated(texts, buckets_of, bits, chunks)
 
 
-def fragments_of(texts: DataFrame, length: int, table: list[np.ndarray], part: int, parts: int) -> DataFrame:
+def fragments_of(texts: DataFrame, length: int, table: BitTables, part: int, parts: int) -> DataFrame:
     """Rows of two kinds: occurrences ``print, id, start``; distinct fragments of a task ``print, id, bucket, many, body``.
 
     ``id`` of a fragment is the smallest that the task has seen, ``many`` whether it saw another.
     """
-    chunks, size = len(table), 8 * len(table[0])
-    spread = texts.sparkSession.sparkContext.broadcast(np.stack(table))
+    spread = texts.sparkSession.sparkContext.broadcast(table)  # at most MAX_TABLE_BITS bits
     names = ["print", "id", "start", "bucket", "many", "body"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
 
@@ -258,11 +237,9 @@ def fragments_of(texts: DataFrame, length: int, table: list[np.ndarray], part: i
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 buckets, first, last = bucket_runs(data, length)
-                at = slots(buckets, size, chunks)
-                chunk = (buckets % np.uint64(chunks)).astype(np.int64)
-                keep = marks[chunk, at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+                keep = marks.marked(buckets)
                 if parts > 1:
-                    keep &= (buckets >> np.uint64(8)) % np.uint64(parts) == part
+                    keep &= in_part(buckets, part, parts)
                 for b, a, z in zip(buckets[keep].astype(np.int64).tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                     body = data[a : z + length]
                     own = seen.get(body)
@@ -296,19 +273,12 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
     tasks = max(partitions(bodies.sparkSession), -(-size // (4 * BLOCK_BYTES)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())]))
         held: dict[bytes, list] = {}
         size, bucket = 0, None
 
         def block() -> pa.RecordBatch:
-            prints, runs = [], []
-            found = first_ids(list(held), np.array([x[1] for x in held.values()], np.int64), length)
-            for (p, least, many), ids in zip(held.values(), found, strict=True):
-                if many or int(ids.min()) < least:
-                    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])).tolist()
-                    prints.append(p)
-                    runs.append([{"first": a, "last": z - 1, "least": int(ids[a])} for a, z in zip(cuts, [*cuts[1:], len(ids)], strict=True)])
-            return pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(runs, kind)], names=["print", "runs"])
+            prints, ids, many = (np.array(x) for x in zip(*held.values(), strict=True))
+            return runs_of(prints, ids, many, *first_ids(list(held), ids, length))
 
         for batch in batches:
             for p, doc, b, many, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -330,11 +300,6 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(search, FOUND)
 
 
-def near(left: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """A join with an id table that is broadcast only while it has few rows."""
-    return left.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
-
-
 def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Written rows ``id, spans``: byte spans (not yet merged) to remove, of ``texts(id, text)`` with distinct texts."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -349,7 +314,7 @@ def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     for part in range(parts):
         table = shared_table(texts, length, bits, chunks, part, parts)
         rows = fragments_of(texts, length, table, part, parts)
-        path_rows = written(rows, "fragments")
+        path_rows = written(rows, "fragments", compression="zstd")
         found = written(found_in(path_rows.filter("body IS NOT NULL"), length), "found")
         hits = path_rows.filter("body IS NULL").select("print", "id", "start").join(found, "print")
         hits = hits.select("id", "start", F.explode("runs").alias("r")).filter(F.col("r.least") < F.col("id"))
@@ -384,16 +349,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = slim.filter("id IS NOT NULL").groupBy("sha", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("last > first")
     firsts = written(firsts.select("sha", "first"), "copied")
     copies = written(slim.filter("id IS NOT NULL").join(firsts, "sha").filter("id > first").select("id").distinct(), "copies")
-    texts = near(rows.filter(f"id IS NOT NULL AND octet_length(text) >= {length}"), copies, "id", "left_anti").dropDuplicates(["id"]) if repeats(slim) else near(rows.filter(f"id IS NOT NULL AND octet_length(text) >= {length}"), copies, "id", "left_anti")
+    texts = near(rows.filter(f"id IS NOT NULL AND octet_length(text) >= {length}"), copies, "id", "left_anti")
+    if repeats(slim):
+        texts = texts.dropDuplicates(["id"])
     spans = removed_spans(texts, length)
     ids = written(spans.select("id"), "touched")
 
-    plain = near(near(slim, copies, "id", "left_anti"), ids, "id", "left_anti")
-    gone = near(slim, copies, "id", "left_semi")
+    whole = slim
+    if with_kept:
+        whole = rows.select("id", F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha"), F.col("text").cast("binary").alias("kept"))
+    extra = ["kept"] * with_kept
+    plain = near(near(whole, copies, "id", "left_anti"), ids, "id", "left_anti")
+    gone = near(whole, copies, "id", "left_semi")
     empty = F.sha2(F.lit("").cast("binary"), 256)
     removed = F.when(F.col("n") >= length, F.col("n")).otherwise(0).cast("long")
-    out = plain.select("id", "n", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    copied = gone.select("id", "n", removed.alias("n_removed"), (removed > 0).cast("long").alias("n_spans"), F.when(removed > 0, empty).otherwise(F.col("sha")).alias("kept_sha256"))
+    out = plain.select("id", "n", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), *extra)
+    copied = gone.select("id", "n", removed.alias("n_removed"), (removed > 0).cast("long").alias("n_spans"), F.when(removed > 0, empty).otherwise(F.col("sha")).alias("kept_sha256"), *extra)
+    if with_kept:
+        copied = copied.withColumn("kept", F.when(F.col("n_removed") > 0, F.lit(b"")).otherwise(F.col("kept")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,11 +381,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     touched = near(rows, ids, "id", "left_semi").join(spans, "id").select("id", "text", "spans")
     touched = touched.mapInArrow(cut, "id bigint, n bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    if with_kept:
-        own = rows.select("id", F.col("text").cast("binary").alias("kept"))
-        out = out.join(own, "id")
-        copied = copied.join(own, "id").withColumn("kept", F.when(F.col("n_removed") > 0, F.lit(b"")).otherwise(F.col("kept")))
-    else:
+    if not with_kept:
         touched = touched.drop("kept")
     return out.unionByName(copied).unionByName(touched).withColumnRenamed("id", id_col).withColumnRenamed("n", "n_bytes")
 
