@@ -25,6 +25,7 @@ input other than id, key and size are not carried.
 
 from __future__ import annotations
 
+import math
 from itertools import pairwise
 
 from pyspark.ml.feature import Bucketizer
@@ -54,8 +55,6 @@ def splitters(records: DataFrame, total: int, ranges: int) -> list[float]:
     # at most `ranges - 1` boundaries come to the driver
     cuts = drawn.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or [0.5]
     hot = {a for a, b in pairwise(cuts) if a == b}
-    import math
-
     return [-inf, *sorted(set(cuts) | {math.nextafter(x, inf) for x in hot}), inf]
 
 

@@ -49,8 +49,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def examples_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int) -> list[tuple[int, str, int]]:
-    """At most ``max_examples`` labelled rows: ``(id, text, label)``, distinct texts, half of each label at most."""
+def examples_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int) -> DataFrame:
+    """Written ``id, text, y`` of at most ``max_examples`` labelled rows: distinct texts, half of each label at most."""
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     marked = marked.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     spread = F.xxhash64(F.col(id_col), F.lit("example"))
@@ -59,8 +59,7 @@ def examples_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(ids, id_col)
     rows = rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(id_col).alias("id"), F.first("text").alias("text"), F.max("y").alias("y"))
-    rows = written(rows.select("id", "text", "y"), "examples")
-    return rows
+    return written(rows.select("id", "text", "y"), "examples")
 
 
 def counted(text: str) -> Counter:
