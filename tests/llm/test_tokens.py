@@ -128,9 +128,15 @@ def test_sharding(spark):
         sizes[r["shard"]] += r["size"]
     for s in range(8):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
-    # one text alone is larger than a shard's share; the others are level
+    # one text alone is larger than a shard's share; the others differ by less than the next largest text
     others = sorted(sizes)[:-1]
-    assert max(sizes) > sum(sizes) / 8 and others[-1] - others[0] < 0.2 * others[-1]
+    assert max(sizes) > sum(sizes) / 8 and others[-1] - others[0] <= 4001
+
+
+def test_shards_of_many_records_are_level(spark):
+    texts = ["copy of one text"] * 1500 + [f"text {i} " + "x" * (i % 90) for i in range(3000)]
+    sizes = [r["s"] for r in sharding.shard_documents(table(spark, texts), 8).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "s").collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.02 * max(sizes)
 
 
 def test_sharding_edge_cases(spark):
