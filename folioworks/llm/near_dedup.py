@@ -22,13 +22,12 @@ one node.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -221,14 +220,19 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     links, seen, labels, turn = None, None, None, 0
     while True:
         # the same draw in all buckets, so that a member meets few different centres
-        draw = lambda k: F.max(F.struct(F.xxhash64("id", F.lit(f"{turn}.{k}")), F.struct("id", "n").alias("c"))).getField("c")  # noqa: E731, B023
-        picks = [F.max(F.struct("score", (-F.col("id")).alias("i"), F.struct("id", "n").alias("c"))).getField("c")] if not turn else [F.min(F.struct("id", "n")), draw(0), draw(1), draw(2)]
-        centres = written(shared.groupBy("bucket").agg(F.array(*picks).alias("centres")), "centres")
-        stars = shared.select("bucket", "id", "n").join(centres, "bucket").select("id", "n", F.explode("centres").alias("c"))
-        close = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
-        edges = stars.filter((F.col("id") != F.col("c.id")) & close).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+        placed = shared.withColumn("component", F.col("id"))
         if labels is not None:
-            edges = apart(edges, labels)
+            placed = written(placed.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+        me = F.struct("id", "n", "component")
+        draw = lambda k: F.max(F.struct(F.xxhash64("id", F.lit(f"{turn}.{k}")), me.alias("c"))).getField("c")  # noqa: E731, B023
+        picks = [F.max(F.struct("score", (-F.col("id")).alias("i"), me.alias("c"))).getField("c")] if not turn else [F.min(me), draw(0), draw(1)]
+        # buckets within one component have nothing left to find
+        centres = placed.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("centres"), F.min("component").alias("low"), F.max("component").alias("high"))
+        centres = written(centres.filter("low < high").select("bucket", "centres"), "centres")
+        useful = F.filter("centres", lambda c: (c["component"] != F.col("component")) & (100 * F.least(F.col("n"), c["n"]) >= percent * F.greatest(F.col("n"), c["n"])))
+        stars = placed.join(centres, "bucket").select(F.col("id").alias("b"), useful.alias("centres")).filter(F.size("centres") > 0)
+        edges = stars.select(F.explode(F.transform("centres", lambda c: c["id"])).alias("a"), "b").distinct()
+        if seen is not None:
             pair = lambda df: df.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
             edges = pair(edges).join(pair(seen).select("x", "y"), ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("a", "b")
         edges = written(edges, "candidates")
@@ -247,15 +251,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges whose ends are in different components so far."""
-    out = edges
-    for end in ("a", "b"):
-        own = labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-        out = out.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return out.filter("ca <> cb").select("a", "b")
-
-
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, with their own columns."""
     dropped = near_groups(docs, words, percent, id_col, text_col).filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
