@@ -204,6 +204,17 @@ def shared_buckets(reps: DataFrame) -> DataFrame:
     return written(keys.join(crowded, "bucket").select("id", "n", "bucket", "members"), "shared")
 
 
+def centres_of(placed: DataFrame, turn: int) -> DataFrame:
+    """``bucket, centres, low, high``: a round's centres and the range of components, from ``placed(id, n, bucket, score, component)``.
+
+    Every bucket has draws of its own, so a pair has a new chance in each bucket that it shares.
+    """
+    me = F.struct("id", "n", "component")
+    draw = lambda k: F.max(F.struct(F.xxhash64("id", "bucket", F.lit(f"{turn}.{k}")), me.alias("c"))).getField("c")
+    picks = [F.max(F.struct("score", (-F.col("id")).alias("i"), me.alias("c"))).getField("c")] if not turn else [F.min(me), draw(0), draw(1), draw(2)]
+    return placed.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("centres"), F.min("component").alias("low"), F.max("component").alias("high"))
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id``: one row for each row of ``docs``."""
     drawn = sketches(docs, words, id_col, text_col)
@@ -219,16 +230,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     links, seen, labels, turn = None, None, None, 0
     while True:
-        # the same draw in all buckets, so that a member meets few different centres
         placed = shared.withColumn("component", F.col("id"))
         if labels is not None:
             placed = written(placed.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-        me = F.struct("id", "n", "component")
-        draw = lambda k: F.max(F.struct(F.xxhash64("id", F.lit(f"{turn}.{k}")), me.alias("c"))).getField("c")  # noqa: E731, B023
-        picks = [F.max(F.struct("score", (-F.col("id")).alias("i"), me.alias("c"))).getField("c")] if not turn else [F.min(me), draw(0), draw(1)]
         # buckets within one component have nothing left to find
-        centres = placed.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("centres"), F.min("component").alias("low"), F.max("component").alias("high"))
-        centres = written(centres.filter("low < high").select("bucket", "centres"), "centres")
+        centres = written(centres_of(placed, turn).filter("low < high").select("bucket", "centres"), "centres")
         useful = F.filter("centres", lambda c: (c["component"] != F.col("component")) & (100 * F.least(F.col("n"), c["n"]) >= percent * F.greatest(F.col("n"), c["n"])))
         stars = placed.join(centres, "bucket").select(F.col("id").alias("b"), useful.alias("centres")).filter(F.size("centres") > 0)
         edges = stars.select(F.explode(F.transform("centres", lambda c: c["id"])).alias("a"), "b").distinct()

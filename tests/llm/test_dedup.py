@@ -75,6 +75,14 @@ def test_near_keeps_one_of_each_group(spark):
     assert {r["doc_id"] for r in kept} == {i for i, c in expected.items() if i == c}
 
 
+def test_near_draws_three_centres_for_each_bucket(spark):
+    placed = spark.createDataFrame([(i, 10, b, 1, i) for b in range(30) for i in range(200)], "id long, n long, bucket long, score long, component long")
+    centres = [tuple(c["id"] for c in r["centres"]) for r in near_dedup.centres_of(placed, 1).collect()]
+    assert len({c[1:] for c in centres}) == 30
+    assert all(c[0] == 0 for c in centres) and max(map(len, centres)) == 4
+    assert sum(map(len, centres)) > 30 * 3.8
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(130, 129), (7, 7)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
