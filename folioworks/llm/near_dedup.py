@@ -12,6 +12,10 @@
 4. Edges between different components are confirmed on the full sets; hubs are
    dealt over as many tasks as their edges need.  Rounds with new random
    centres go on until one confirms no new edge.
+5. Buckets that still hold several components are finished exactly: every pair
+   of members in different components is a candidate, unless the sizes of the
+   sets rule it out or it was tried before.  Large buckets are dealt in cells
+   of two slices of about ``SLICE`` members.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A text with fewer words
 than a shingle has its whole sequence as one; null texts and texts without
@@ -39,6 +43,8 @@ BINS = BANDS * ROWS
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Edges of one centre that one task confirms.
 STAR = 256
+#: Members in a slice of a large bucket.
+SLICE = 256
 REMEMBERED = 400_000
 
 
@@ -215,6 +221,30 @@ def centres_of(placed: DataFrame, turn: int) -> DataFrame:
     return placed.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("centres"), F.min("component").alias("low"), F.max("component").alias("high"))
 
 
+def placed_in(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Written rows of ``shared`` with their components so far."""
+    return written(shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+
+
+def untried(edges: DataFrame, seen: DataFrame) -> DataFrame:
+    pair = lambda df: df.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+    return pair(edges).join(pair(seen).select("x", "y"), ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("a", "b")
+
+
+def all_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b`` between all members of a bucket in different components whose set sizes allow the similarity."""
+    open_ = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = open_.filter("low < high").select("bucket", F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
+    own = placed.join(open_, "bucket").select("bucket", "id", "n", "component", "slices", F.pmod(F.xxhash64("id", "bucket"), F.col("slices")).cast("int").alias("slice"))
+    own = written(own, "open")
+    left = own.select("bucket", F.col("slice").alias("i"), F.explode(F.sequence("slice", F.col("slices") - 1)).alias("j"), F.struct("id", "n", "component").alias("l"))
+    right = own.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slice"))).alias("i"), F.col("slice").alias("j"), F.struct("id", "n", "component").alias("r"))
+    apart = (F.col("l.component") != F.col("r.component")) & ((F.col("i") < F.col("j")) | (F.col("l.id") < F.col("r.id")))
+    close = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+    pairs = left.join(right, ["bucket", "i", "j"]).filter(apart & close)
+    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id``: one row for each row of ``docs``."""
     drawn = sketches(docs, words, id_col, text_col)
@@ -232,15 +262,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     while True:
         placed = shared.withColumn("component", F.col("id"))
         if labels is not None:
-            placed = written(placed.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+            placed = placed_in(shared, labels)
         # buckets within one component have nothing left to find
         centres = written(centres_of(placed, turn).filter("low < high").select("bucket", "centres"), "centres")
         useful = F.filter("centres", lambda c: (c["component"] != F.col("component")) & (100 * F.least(F.col("n"), c["n"]) >= percent * F.greatest(F.col("n"), c["n"])))
         stars = placed.join(centres, "bucket").select(F.col("id").alias("b"), useful.alias("centres")).filter(F.size("centres") > 0)
         edges = stars.select(F.explode(F.transform("centres", lambda c: c["id"])).alias("a"), "b").distinct()
         if seen is not None:
-            pair = lambda df: df.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
-            edges = pair(edges).join(pair(seen).select("x", "y"), ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("a", "b")
+            edges = untried(edges, seen)
         edges = written(edges, "candidates")
         seen = edges if seen is None else seen.unionByName(edges)
         new = written(confirmed(edges, texts, words, percent), "confirmed")
@@ -250,6 +279,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             break
         labels = components(links)
         turn += 1
+    # the last round found nothing, so `placed` has the components of all links
+    edges = written(untried(all_pairs(placed, percent), seen), "last-candidates")
+    new = written(confirmed(edges, texts, words, percent), "last-confirmed")
+    if new.limit(1).count():
+        labels = components(links.unionByName(new))
     out = drawn.join(classes.filter("last > rep").select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
     out = out.select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
     out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left")

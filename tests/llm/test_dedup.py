@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from helpers import DOCS, brute_components, corpus, shingle_set, table
+from helpers import DOCS, brute_components, corpus, edited, shingle_set, table, words
 from pyspark.sql import functions as F
 
 from folioworks.llm import components, exact_dedup, near_dedup, substring_dedup
@@ -83,6 +83,18 @@ def test_near_draws_three_centres_for_each_bucket(spark):
     assert sum(map(len, centres)) > 30 * 3.8
 
 
+def test_near_finds_links_inside_a_family_below_the_threshold(spark, monkeypatch):
+    # about 0.77 similar to each other, with single pairs of 0.85 and more
+    monkeypatch.setattr(near_dedup, "SLICE", 48)
+    base = words(300, 4242, 10**6)
+    texts = [edited(base, 5000 + s, 4) for s in range(160)]
+    texts += [edited(texts[3 * i], 7000 + i, 2) for i in range(40)]
+    expected = brute_components(enumerate(texts), 5, 85)
+    assert 20 < sum(i != c for i, c in expected.items()) < 100
+    rows = near_dedup.near_groups(table(spark, texts), 5, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == expected
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(130, 129), (7, 7)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
