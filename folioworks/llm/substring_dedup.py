@@ -19,6 +19,8 @@ document with a smaller id is removed.
    (breadth-first backward extension, which meets common prefixes by increasing
    length and stops at ``length``) leaves the runs of suffixes that share
    ``length`` bytes.  The smallest id of a run is where its string starts first.
+   Fragments of a bucket over ``HOT_BYTES`` are passed on unsearched; their
+   strings are dealt once more, each by itself, and Spark finds the smallest id.
 5. Occurrences of fragments are joined to what was found for them, become byte
    spans, and are merged by document.
 
@@ -46,6 +48,8 @@ LENGTH, GRAM = 50, 20
 #: Strings of one fragment, bytes of a block of fragments, bytes of packed hashes in a counting task.
 RUN, BLOCK_BYTES, COUNT_BYTES = 128, 1_200_000, 64_000_000
 FLUSH = 150_000
+#: Bytes of one bucket's distinct fragments that a task searches.
+HOT_BYTES = 4 * BLOCK_BYTES
 
 
 def bucket_runs(text: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,28 +268,44 @@ def fragments_of(texts: DataFrame, length: int, table: BitTables, part: int, par
     return texts.mapInArrow(cut, "print bigint, id bigint, start int, bucket bigint, many boolean, body binary")
 
 
-FOUND = "print bigint, runs array<struct<first:int,last:int,least:bigint>>"
+RUNS = "runs array<struct<first:int,last:int,least:bigint>>"
+HOT = "id bigint, many boolean, body binary"
 
 
 def found_in(bodies: DataFrame, length: int) -> DataFrame:
-    """By fragment: runs of string starts with the smallest id that has their strings; fragments of one document alone are left out."""
+    """Written rows ``print, runs``: runs of a fragment's string starts with the smallest id that has their strings; fragments of one document alone are left out."""
     size = bodies.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     tasks = max(partitions(bodies.sparkSession), -(-size // (4 * BLOCK_BYTES)))
+    most = HOT_BYTES
+    kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())])), pa.int64(), pa.bool_(), pa.binary()]
+    names = ["print", "runs", "id", "many", "body"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
         size, bucket = 0, None
+        # of the bucket: fragments held before it and their bytes, and whether it goes on unsearched
+        before, size_before, hot = 0, 0, False
 
         def block() -> pa.RecordBatch:
             prints, ids, many = (np.array(x) for x in zip(*held.values(), strict=True))
-            return runs_of(prints, ids, many, *first_ids(list(held), ids, length))
+            prints, runs = runs_of(prints, ids, many, *first_ids(list(held), ids, length)).columns
+            return pa.RecordBatch.from_arrays([prints, runs.cast(kinds[1]), *(pa.nulls(len(prints), k) for k in kinds[2:])], names=names)
+
+        def unsearched(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*((p, None, doc, many, body) for p, doc, many, body in rows), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
+            passed = []
             for p, doc, b, many, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if b != bucket and size > BLOCK_BYTES:
-                    yield block()
-                    held, size = {}, 0
-                bucket = b
+                if b != bucket:
+                    if size > BLOCK_BYTES:
+                        yield block()
+                        held, size = {}, 0
+                    bucket, before, size_before, hot = b, len(held), size, False
+                if hot:
+                    passed.append((p, doc, many, body))
+                    continue
                 own = held.get(body)
                 if own is None:
                     held[body] = [p, doc, many]
@@ -293,11 +313,35 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
                 else:
                     own[2] = own[2] or many or own[1] != doc
                     own[1] = min(own[1], doc)
+                if size - size_before > most:
+                    hot = True
+                    for other in list(held)[before:]:
+                        passed.append((*held.pop(other), other))
+                    size = size_before
+            if passed:
+                yield unsearched(passed)
         if held:
             yield block()
 
     rows = bodies.select("print", "id", "bucket", "many", "body").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(search, FOUND)
+    found = written(rows.mapInArrow(search, f"print bigint, {RUNS}, {HOT}"), "found")
+    searched = found.filter("runs IS NOT NULL").select("print", "runs")
+    hot = found.filter("runs IS NULL")
+    if not hot.limit(1).count():
+        return searched
+    return searched.unionByName(written(found_by_string(hot, length), "found-by-string"))
+
+
+def found_by_string(hot: DataFrame, length: int) -> DataFrame:
+    """``print, runs`` of fragments ``print, id, many, body``: each string is a run; popular strings are aggregated before they are shuffled."""
+    many = F.max("many") | (F.min("id") < F.max("id"))
+    whole = written(hot.groupBy("print").agg(F.min("id").alias("id"), many.alias("many"), F.first("body").alias("body")), "hot")
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("body") - length)).alias("at")
+    strings = whole.select("print", "id", "many", "body", at).select("print", "id", "many", "at", F.expr(f"substring(body, at + 1, {length})").alias("string"))
+    least = strings.groupBy("string").agg(F.min("id").alias("least"))
+    runs = strings.join(least, "string").filter("many OR least < id")
+    one = F.struct(F.col("at").cast("int").alias("first"), F.col("at").cast("int").alias("last"), "least")
+    return runs.groupBy("print").agg(F.collect_list(one).alias("runs"))
 
 
 def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -315,7 +359,7 @@ def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         table = shared_table(texts, length, bits, chunks, part, parts)
         rows = fragments_of(texts, length, table, part, parts)
         path_rows = written(rows, "fragments", compression="zstd")
-        found = written(found_in(path_rows.filter("body IS NOT NULL"), length), "found")
+        found = found_in(path_rows.filter("body IS NOT NULL"), length)
         hits = path_rows.filter("body IS NULL").select("print", "id", "start").join(found, "print")
         hits = hits.select("id", "start", F.explode("runs").alias("r")).filter(F.col("r.least") < F.col("id"))
         own = hits.select("id", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last") + length).alias("end"))

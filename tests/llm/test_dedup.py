@@ -124,6 +124,18 @@ def test_substrings_against_brute_force(spark):
     assert got == brute_substrings(texts)
 
 
+def test_substrings_of_one_large_bucket_are_dealt_again(spark, monkeypatch):
+    # one gram with many surroundings: more bytes than a task may search
+    monkeypatch.setattr(substring_dedup, "HOT_BYTES", 2000)
+    held, search = [], substring_dedup.found_by_string
+    monkeypatch.setattr(substring_dedup, "found_by_string", lambda hot, length: held.append(hot.count()) or search(hot, length))
+    texts = corpus() + [f"{words(6, 600 + i % 90)} one common sentence of all documents {words(6, 800 + i % 80)}" for i in range(200)]
+    rows = substring_dedup.substring_dedup(table(spark, texts)).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+    assert got == brute_substrings(texts)
+    assert held and held[0] > 30
+
+
 def words_around(c):
     return f"{c * 30} middle {c * 30}"
 
