@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import expand_terms, snippet
 from ..functions.vectors import rrf_term, similarity
 
-#: Queries that are broadcast at most.
+#: Queries that are broadcast together.
 MAX_QUERIES = 1000
 
 
@@ -21,16 +21,21 @@ def ranked(rows: DataFrame, k: int, rank: str = "rank", decimals: int = 6) -> Da
 def vector_leg(points: DataFrame, queries: DataFrame, k: int, distance: str = "cosine", threshold: float | None = None) -> DataFrame:
     """``query_id, point_id, score, rank`` of the k nearest of ``points(point_id, vector)``.
 
-    A stated query set against all points: at most ``MAX_QUERIES`` queries are
-    broadcast; more go in batches.
+    All queries against all points: up to ``MAX_QUERIES`` queries are broadcast
+    together; more go in batches by a hash of their id, of half as many on average.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"search at most {MAX_QUERIES} queries at once")
     own = queries.select("query_id", F.col("vector").alias("qv"))
-    scored = points.select("point_id", "vector").crossJoin(F.broadcast(own)).select("query_id", "point_id", similarity(distance, F.col("vector"), F.col("qv")).alias("score"))
-    if threshold is not None:
-        scored = scored.filter(F.col("score") >= threshold)
-    return ranked(scored, k)
+    n = own.count()
+    batches = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)
+    out = None
+    for b in range(batches):
+        batch = own if batches == 1 else own.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b)
+        scored = points.select("point_id", "vector").crossJoin(F.broadcast(batch)).select("query_id", "point_id", similarity(distance, F.col("vector"), F.col("qv")).alias("score"))
+        if threshold is not None:
+            scored = scored.filter(F.col("score") >= threshold)
+        best = ranked(scored, k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def keyword_leg(points: DataFrame, queries: DataFrame, k: int, distance: str = "cosine") -> DataFrame:

@@ -114,3 +114,13 @@ def test_model_embedding_runs_in_batches_and_checks_sizes(spark):
         embed(df, "t", 3, Doubling).collect()
     assert one(spark, with_context(C("t"), C("n")), t="x", n="my_file-1.md") == "[File: my file 1 md]\nx"
     assert sum(x * x for x in one(spark, hashed(C("t"), 8), t="some words here")) == pytest.approx(1.0)
+
+
+def test_vector_search_in_batches(spark, monkeypatch):
+    from folioworks.operators import search
+
+    points = spark.createDataFrame([(f"p{i}", [float(i % 7 + 1), float(i % 5), float(i)]) for i in range(40)], "point_id string, vector array<double>")
+    queries = spark.createDataFrame([(i, [1.0, float(i % 9), float(i % 4)]) for i in range(25)], "query_id long, vector array<double>")
+    whole = sorted(search.vector_leg(points, queries, 3).collect())
+    monkeypatch.setattr(search, "MAX_QUERIES", 10)
+    assert sorted(search.vector_leg(points, queries, 3).collect()) == whole and len(whole) == 75
