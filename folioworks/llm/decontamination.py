@@ -233,7 +233,7 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_words: int = WINDOW, max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
-    """``docs`` cleaned: spans of ``min_words`` hit words or more are cut out of the text.
+    """``docs`` cleaned: spans of ``min_words`` hit words or more are cut out of the text, and spans that hold a whole shorter item.
 
     A document of which more than ``max_coverage`` of the words are hit is
     removed.  Documents without hits keep their rows as they are.
@@ -244,7 +244,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return pa.array([text if not a else cut_spans(text, list(zip(a, b, strict=True))) for text, a, b in rows], pa.string())
 
     out = find_items(docs, benchmark, text_col=text_col, window=window, out_col="_found")
-    long = F.filter(F.col("_found")["spans"], lambda x: x["last"] - x["first"] + 1 >= min_words)
+    if min_words <= window:  # a shorter span can only be of whole items that are as short
+        long = F.col("_found")["spans"]
+    else:
+        # hits of this width are whole shorter items, or long enough by themselves
+        out = find_items(out, benchmark, text_col=text_col, window=min_words, out_col="_whole")
+        holds = lambda x: F.exists(F.col("_whole")["spans"], lambda y: (x["first"] <= y["first"]) & (y["last"] <= x["last"]))
+        long = F.filter(F.col("_found")["spans"], lambda x: (x["last"] - x["first"] + 1 >= min_words) | holds(x))
     kept = out.filter(hit_words(F.col("_found")) <= F.lit(max_coverage) * F.col("_found")["n_words"]).withColumn("_long", long)
     cleaned = F.when(F.size("_long") > 0, cut(F.col(text_col), F.transform("_long", lambda x: x["first"]), F.transform("_long", lambda x: x["last"]))).otherwise(F.col(text_col))
     return kept.withColumn(text_col, cleaned).select(*docs.columns)

@@ -99,6 +99,18 @@ def test_cleaned_texts(spark):
     assert decontamination.decontaminate(docs, none).count() == 4
 
 
+@pytest.mark.parametrize("least", [10, 25])
+def test_short_items_are_cut_too(spark, least):
+    short, long = "alpha beta gamma delta", " ".join(f"item{i}" for i in range(30))
+    part = " ".join(f"item{i}" for i in range(12))
+    rest = words(60, 12)
+    texts = [f"{rest} {short} end", f"{rest} {part} end", f"{rest} alpha beta gamma end", f"{rest} {long} end"]
+    items = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(table(spark, texts), items, min_words=least).collect()}
+    assert got[0] == f"{rest}  end" and got[2] == texts[2] and got[3] == f"{rest}  end"
+    assert got[1] == (f"{rest}  end" if least == 10 else texts[1])
+
+
 def marked_corpus(spark):
     """Two languages; toxic texts hold words of one of two families."""
     texts, labels = [], []
