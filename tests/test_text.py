@@ -100,14 +100,13 @@ def test_vectors(spark):
     assert one(spark, vectors.percent(F.lit(0), F.lit(0))) == 0.0
 
 
-class Doubling:
-    def embed(self, texts):
-        return [[float(len(t)), 2.0 * len(t)] for t in texts]
-
-
 def test_model_embedding_runs_in_batches_and_checks_sizes(spark):
     from folioworks.operators.embedding import embed, hashed, with_context
 
+    class Doubling:  # pickled by value, as workers cannot import the tests
+        def embed(self, texts):
+            return [[float(len(t)), 2.0 * len(t)] for t in texts]
+
     df = spark.createDataFrame([("a",), ("bcd",)], "t string")
     assert [list(r["vector"]) for r in embed(df, "t", 2, Doubling, batch=1).collect()] == [[1.0, 2.0], [3.0, 6.0]]
     with pytest.raises(Exception, match="another number or size"):
