@@ -39,10 +39,11 @@ def vector_leg(points: DataFrame, queries: DataFrame, k: int, distance: str = "c
 
 
 def keyword_leg(points: DataFrame, queries: DataFrame, k: int, distance: str = "cosine") -> DataFrame:
-    """The k nearest points that have one of the query's terms: an inverted join on terms, then exact scores."""
-    terms = queries.select("query_id", "vector", F.explode("terms").alias("term")).withColumnRenamed("vector", "qv")
-    posts = points.select("point_id", "vector", F.explode("terms").alias("term"))
-    found = posts.join(terms, "term").dropDuplicates(["query_id", "point_id"])
+    """The k nearest points that have one of the query's terms: an inverted join of ids on terms, then exact scores."""
+    asked = queries.select("query_id", F.explode("terms").alias("term"))
+    posted = points.select("point_id", F.explode("terms").alias("term"))
+    found = posted.join(asked, "term").select("query_id", "point_id").distinct()
+    found = found.join(points.select("point_id", "vector"), "point_id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
     return ranked(found.select("query_id", "point_id", similarity(distance, F.col("vector"), F.col("qv")).alias("score")), k)
 
 

@@ -275,9 +275,9 @@ query("t4_largest_groups", "members", more=GROUPS, sql="SELECT kind, group_hash,
 )
 query(
     "a4_coverage", "catalog", "locations",
-    sql="SELECT l.location_id, count(c.entry_id) AS total, count(*) FILTER (WHERE c.state = 'indexed') AS indexed, count(*) FILTER (WHERE c.state = 'missing') AS missing FROM locations l LEFT JOIN catalog c ON c.location_id = l.location_id AND c.k % 13 > 2 AND c.location_id <> 'src7' GROUP BY l.location_id",
+    sql="SELECT l.location_id, count(c.entry_id) AS total, count(*) FILTER (WHERE c.state = 'indexed') AS indexed, count(*) FILTER (WHERE c.state = 'missing') AS missing FROM locations l LEFT JOIN catalog c ON c.location_id = l.location_id AND c.location_id <> 'src7' GROUP BY l.location_id",
 )(
-    lambda cat, loc: rep.coverage(loc, cat.filter("k % 13 > 2 AND location_id <> 'src7'")).select(
+    lambda cat, loc: rep.coverage(loc, cat.filter("location_id <> 'src7'")).select(
         "location_id", "total", *[F.coalesce(F.col("by_state")[s], F.lit(0).cast("long")).alias(s) for s in ("indexed", "missing")]
     )
 )

@@ -59,7 +59,8 @@ TABLES = {
             CASE event_id % 6 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'queued' WHEN 3 THEN 'running' WHEN 4 THEN 'retry_wait' ELSE 'cancelled' END AS status
         FROM {events}""",
     "points": "SELECT 'c' || doc_id AS content_id, 'p' || doc_id AS point_id, embedding AS vector, text, doc_id FROM {embeddings} v JOIN {docs} d ON v.vec_id = d.doc_id",
-    "queries": "SELECT vec_id AS query_id, embedding AS vector, text AS question FROM {embeddings} v JOIN {benchmark} b ON v.vec_id = b.item_id WHERE vec_id < 20",
+    # the stated query set; the questions are the benchmark's, in turn
+    "queries": "SELECT vec_id AS query_id, embedding AS vector, coalesce(text, '') AS question FROM {embeddings} v LEFT JOIN {benchmark} b ON floor(v.vec_id / 50) % 200 = b.item_id WHERE vec_id % 50 = 0",
     "backups": "SELECT 'b' || job_id || '-' || day AS id, min(ts) AS made_at FROM (SELECT job_id, ts, DAYOF(ts) AS day FROM {jobs}) x GROUP BY job_id, day",
     "hits": "SELECT conv_id AS question_id, CAST(turn + 1 AS INTEGER) AS rank, 'c' || (turn % 3) AS content_id, coalesce(text, '') AS text, turn FROM {conversations}",
     "answers": """

@@ -31,10 +31,11 @@ query(
     "f5_keyword_terms", "docs", more=r"w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}') AS a FROM docs)",
     sql="SELECT doc_id, CAST(len(list_distinct(a)) AS BIGINT) AS n, array_to_string(list_sort(list_distinct(a)), ' ') AS terms FROM w",
 )(lambda d: d.select("doc_id", text.keyword_terms(T("text")).alias("a")).select("doc_id", F.size("a").cast("long").alias("n"), F.array_join(F.array_sort("a"), " ").alias("terms")))
-JOB = "CASE doc_id % 4 WHEN 0 THEN 'Job''s of ' WHEN 1 THEN 'The PHONE x ' WHEN 2 THEN 'resume salary ' ELSE '' END || substr(text, 1, 40)"
+SYN = "syn AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {list(v)})" for k, v in text.SYNONYMS.items()) + ") v(k, s))"
+JOB = "CASE doc_id % 4 WHEN 0 THEN 'Job''s of ' WHEN 1 THEN 'The PHONE x ' WHEN 2 THEN 'resume salary ' ELSE '' END || text"
 query(
     "f6_expand_terms", "docs",
-    more=rf"w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower({JOB}), '[''’]s\b', '', 'g'), '[\p{{L}}\p{{N}}]{{2,}}') AS a FROM docs), syn AS (SELECT * FROM (VALUES ('job', ['role', 'position', 'employment', 'experience']), ('phone', ['mobile', 'cell', 'telephone']), ('resume', ['cv', 'curriculum']), ('salary', ['compensation', 'pay', 'wage'])) v(k, s))",
+    more=rf"w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower({JOB}), '[''’]s\b', '', 'g'), '[\p{{L}}\p{{N}}]{{2,}}') AS a FROM docs), {SYN}",
     sql="SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(a, coalesce((SELECT flatten(list(s)) FROM syn WHERE list_contains(a, k)), [])))), ' ') AS terms FROM w",
 )(lambda d: d.select("doc_id", F.array_join(F.array_sort(text.expand_terms(F.expr(JOB.replace("Job''s", "Job\\'s")))), " ").alias("terms")))
 query("f7_embedding_context", "catalog", sql=r"SELECT entry_id, trim(regexp_replace(relative_path, '[._/\\-]+', ' ', 'g')) AS t FROM catalog")(
@@ -168,9 +169,11 @@ query("r3_hashed_embedding", "catalog", more=HASHED, sql="SELECT entry_id, s AS
 )
 ALLOWED = "SELECT DISTINCT content_id FROM catalog WHERE content_id IS NOT NULL AND location_id IN ('src1', 'src2', 'src3') AND extension IN ('md', 'txt') AND state = 'indexed'"
 query("p11_allowed_contents", "catalog", sql=ALLOWED)(lambda t: search.allowed_contents(t, ["src1", "src2", "src3"], ["md", "txt"]))
-SCORED = """
-    s AS (SELECT q.query_id, p.point_id, round(list_cosine_similarity(CAST(p.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[])), 6) AS score,
-        list_has_any(regexp_extract_all(lower(p.text), '[\\p{L}\\p{N}]{2,}'), regexp_extract_all(lower(q.question), '[\\p{L}\\p{N}]{2,}')[1:4]) AS hit FROM points p, queries q),
+SCORED = SYN + r""",
+    pt AS (SELECT point_id, vector, regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}') AS t FROM points),
+    qw AS (SELECT query_id, vector, regexp_extract_all(regexp_replace(lower(question), '[''’]s\b', '', 'g'), '[\p{L}\p{N}]{2,}') AS a FROM queries),
+    qt AS (SELECT query_id, vector, list_concat(a, coalesce((SELECT flatten(list(s)) FROM syn WHERE list_contains(a, k)), [])) AS t FROM qw),
+    s AS (SELECT q.query_id, p.point_id, round(list_cosine_similarity(CAST(p.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[])), 6) AS score, list_has_any(p.t, q.t) AS hit FROM pt p, qt q),
     v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS r FROM s WHERE score >= 0.05 QUALIFY r <= 12),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS r FROM s WHERE hit QUALIFY r <= 12),
     f AS (SELECT query_id, point_id, coalesce(v.score, k.score) AS score, v.r AS vr, k.r AS kr, coalesce(1.0 / (60 + v.r), 0) + coalesce(1.0 / (60 + k.r), 0) AS fused FROM v FULL JOIN k USING (query_id, point_id)),
@@ -178,7 +181,7 @@ SCORED = """
 
 
 def prepared(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return points.withColumn("terms", text.keyword_terms(T("text"))), queries.withColumn("terms", F.array_distinct(F.slice(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)), 1, 4)))
+    return points.withColumn("terms", text.keyword_terms(T("text"))), queries.withColumn("terms", search.query_terms(T("question")))
 
 
 def long_rank(df: DataFrame) -> DataFrame:
@@ -188,7 +191,7 @@ def long_rank(df: DataFrame) -> DataFrame:
 query("j14_t2_p12_w2_vector_search", "points", "queries", more=SCORED, sql="SELECT query_id, point_id, score, r AS rank FROM v")(lambda p, q: long_rank(search.vector_leg(p, q, 12, threshold=0.05)))
 query("p13_keyword_search", "points", "queries", more=SCORED, sql="SELECT query_id, point_id, score, r AS rank FROM k")(lambda p, q: long_rank(search.keyword_leg(*prepared(p, q), 12)))
 query("r4_r4b_t3_hybrid_search", "points", "queries", more=SCORED, sql="SELECT * FROM h")(lambda p, q: long_rank(search.hybrid(*prepared(p, q), 12, threshold=0.05)))
-ENTRY = "SELECT 'c' || doc_id AS content_id, entry_id, location_id, relative_path AS display_path, state, created_at, k FROM {0} WHERE k % 5 <> 1"
+ENTRY = "SELECT 'c' || doc_id AS content_id, entry_id, location_id, relative_path AS display_path, state, created_at, k FROM {0}"
 FIRST = f"en AS ({ENTRY.format('catalog')}), first AS (SELECT content_id, min(1) AS one, arg_min(entry_id, (created_at, entry_id)) AS primary_id, arg_min(state, (created_at, entry_id)) AS state, count(*) AS n FROM en GROUP BY content_id)"
 LABEL = "CASE state WHEN 'indexed' THEN 'current' WHEN 'missing' THEN 'missing' ELSE 'historical' END AS availability"
 
