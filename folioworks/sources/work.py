@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local folder is set only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``; only a local session may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-folioworks-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/folioworks/{name}-{uuid.uuid4().hex}"
