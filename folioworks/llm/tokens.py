@@ -18,21 +18,27 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import Remembered, held
+
 #: Unicode white space and separators other than space, tab and line ends.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 SPACED = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 CAREFUL = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])")
-#: Pieces that a worker remembers at most, and the longest it remembers.
-REMEMBERED, LONGEST = 400_000, 48
+#: Half of the pieces that a worker remembers at most (about 200 bytes each), and the longest it remembers.
+REMEMBERED, LONGEST = 350_000, 48
 # The words that the two kinds of tokenizers split texts into, and the characters that stand for bytes.
 SPACED_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BARE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACED_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-BARE_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII)
+# The same for pieces that hold nothing but visible characters below U+0250, which are in composed form already.
+VISIBLE = re.compile("[!-~\xa1-\xac\xae-\u024f]+")
+LETTERS, DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+SPACED_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^ {LETTERS}{DIGITS}]+")
+BARE_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+")
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*PRINTED}))}
 
@@ -54,28 +60,6 @@ def tokenizer_kind(path: str) -> str:
     return "whole"
 
 
-class Remembered(dict):
-    """A dictionary that computes what it lacks and keeps between one and two times ``REMEMBERED`` recent keys."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, key: str):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONGEST:
-            self.keep(key, value)
-        return value
-
-    def keep(self, key: str, value) -> None:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class PieceEncoder:
     """Whole texts to their ids as little-endian unsigned 32-bit bytes, or to their number."""
 
@@ -84,8 +68,9 @@ class PieceEncoder:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         self.kind, self.lengths, self.join = kind, lengths, sum if lengths else b"".join
         self.before = " " if kind == "spaced" else ""
-        self.words = {"spaced": (SPACED_WORDS, SPACED_ASCII), "bare": (BARE_WORDS, BARE_ASCII)}.get(kind)
-        self.pieces, self.word_ids = Remembered(lambda p: self.of_piece(self.before + p)), Remembered(self.of_word)
+        self.words, self.latin = {"spaced": (SPACED_WORDS, SPACED_LATIN), "bare": (BARE_WORDS, BARE_LATIN)}.get(kind, (None, None))
+        self.pieces = Remembered(lambda p: self.of_part(p, self.before), REMEMBERED, LONGEST)
+        self.marks = Remembered(self.of_word, REMEMBERED // 8, LONGEST)
         if kind == "sentencepiece":
             import sentencepiece
 
@@ -100,74 +85,73 @@ class PieceEncoder:
         self.batch = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.model, self.normal = model.model, model.normalizer
         self.added = [t.content for t in model.get_added_tokens_decoder().values()]
-        self.plain_lower = model.normalizer is not None and model.normalizer.normalize_str("aZ~") == "az~"
+        self.lower = model.normalizer is not None and model.normalizer.normalize_str("aZ~\xc0\u0178") == "az~\xe0\xff"
 
     def value(self, ids: list[int]):
         return len(ids) if self.lengths else array("I", ids).tobytes()
 
     def of_word(self, word: str):
         """A word as the tokenizer splits it off, by the merges of its model."""
-        coded = word.encode().decode("latin-1").translate(BYTE_CHARS)
+        coded = word.replace(" ", BYTE_CHARS[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_CHARS)
         return self.value([t.id for t in self.model.tokenize(coded)])
 
-    def of_piece(self, piece: str):
+    def of_part(self, part: str, before: str = ""):
         if self.words is None:
-            return self.value(self.batch([piece])[0])
+            return self.value(self.batch([before + part])[0])
         for content in self.added:
-            if content in piece:
-                return self.value(self.batch([piece])[0])
-        plain = piece.isascii()
-        if self.normal is not None:
-            piece = piece.lower() if self.plain_lower and plain else self.normal.normalize_str(piece)
-            plain = plain and self.plain_lower
-        return self.join(map(self.word_ids.__getitem__, self.words[plain].findall(piece)))
+            if content in part:
+                return self.value(self.batch([before + part])[0])
+        if VISIBLE.fullmatch(part) and (self.normal is None or self.lower):
+            if self.normal is not None:
+                part = part.lower()
+            words = self.latin.findall(before + part)
+        else:
+            part = before + part
+            if self.normal is not None:
+                part = self.normal.normalize_str(part)
+            words = self.words.findall(part)
+        if len(words) == 1:
+            return self.of_word(words[0])
+        if not self.before:
+            return self.join(map(self.pieces.__getitem__, words))
+        # a word behind a space is a piece, and remembered as such
+        return self.join([self.pieces[w[1:]] if w[0] == " " and len(w) > 1 and w[1] != " " else self.marks[w] for w in words])
 
     def encode(self, text: str):
         if self.kind == "spaced" and "  " in text:
-            cuts = CAREFUL.split(text) if OTHER_SPACE.search(text) else SPACED.findall(text)
-            return self.join(map(self.of_piece, cuts))
+            if OTHER_SPACE.search(text):
+                return self.join(map(self.of_part, CAREFUL.split(text)))
+            # a space and a word is a piece like those below
+            return self.join([self.pieces[c[1:]] if c[0] == " " else self.of_part(c) for c in SPACED.findall(text)])
         if self.kind == "bare":
-            if self.plain_lower and text.isascii():  # fewer pieces to remember
+            if self.lower and text.isascii():  # fewer pieces to remember
                 lower = text.lower()
                 text = text if any(content in lower for content in self.added) else lower
             return self.join(map(self.pieces.__getitem__, text.split(" ")))
         first, *rest = text.split(" ")
-        return self.join([self.of_piece(first), *map(self.pieces.__getitem__, rest)])
+        return self.join([self.of_part(first), *map(self.pieces.__getitem__, rest)])
 
     def encode_many(self, texts: list[str]) -> list:
         if self.words is None:
             return [self.value(ids) for ids in self.batch(texts)]
-        if self.lengths:  # the pieces not yet known go to the library as one batch
-            own, older = self.pieces, self.pieces.older
-            new = [p for p in set().union(*(t.split(" ") for t in texts)) if p not in own and p not in older and len(p) <= LONGEST]
-            for p, ids in zip(new, self.batch([self.before + p for p in new]) if new else [], strict=True):
-                own.keep(p, len(ids))
         return [self.encode(t) for t in texts]
 
 
-_ENCODERS: dict[tuple[str, str, bool], PieceEncoder] = {}
-
-
 def encoder(path: str, kind: str, lengths: bool = False) -> PieceEncoder:
-    """One encoder a worker process, kept between tasks."""
-    key = (path, kind, lengths)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, kind, lengths)
-    return _ENCODERS[key]
+    """The worker's encoder, kept between tasks that use the same one."""
+    return held((path, kind, lengths), lambda: PieceEncoder(path, kind, lengths))
 
 
 def batches_by_bytes(texts: pa.Array, most: int) -> Iterator[list[str]]:
-    """The texts in order, in runs of about ``most`` bytes; a longer text is a run of its own."""
-    run, size = [], 0
-    for x in texts:
-        text = x.as_py() or ""
-        if run and size + len(text) > most:
-            yield run
-            run, size = [], 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield run
+    """The texts in order, in runs of about ``most`` UTF-8 bytes; a longer text is a run of its own."""
+    sizes, start, size = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and size + n > most:
+            yield pc.fill_null(texts.slice(start, i - start), "").to_pylist()
+            start, size = i, 0
+        size += n
+    if len(sizes) > start:
+        yield pc.fill_null(texts.slice(start), "").to_pylist()
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens", batch_bytes: int = 1 << 20) -> DataFrame:
