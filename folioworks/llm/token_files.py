@@ -6,10 +6,11 @@ continuation bitmap at each level says which ids go on, and a rank directory
 (ones before every 512 bits) tells where they lie one level up.  So token ``i``
 is read with one rank a level, and no block is decoded.
 
-A file is a Parquet file of segments: rows of ``part, seg, doc_ids, ends,
-levels`` whose binary columns are the code levels.  Parts ascend in document
-id, segments ascend in a part.  Spark's writer commits them, so a lost executor
-costs a retried task.
+A file is a Parquet file of segments: rows of ``part, seg, first_id, last_id,
+doc_ids, ends, levels`` whose binary columns are the code levels, uncompressed.
+Parts ascend in document id, segments ascend in a part; the first and last id of
+a segment let a lookup skip the others.  Spark's writer commits files, so a lost
+executor costs a retried task.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .tokens import batches_by_bytes, encoder, tokenizer_kind
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 LEVEL = pa.struct([("codes", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
-SEGMENT = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("levels", pa.list_(LEVEL))])
-SEGMENT_DDL = "part int, seg int, doc_ids array<bigint>, ends array<bigint>, levels array<struct<codes binary, more binary, ranks binary>>"
+SEGMENT = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("levels", pa.list_(LEVEL))])
+SEGMENT_DDL = "part int, seg int, first_id bigint, last_id bigint, doc_ids array<bigint>, ends array<bigint>, levels array<struct<codes binary, more binary, ranks binary>>"
 
 
 def encode_levels(ids: np.ndarray) -> list[dict[str, bytes]]:
@@ -104,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
 
         def full() -> pa.RecordBatch:
             levels = encode_levels(np.frombuffer(b"".join(ids), "<u4"))
-            return pa.RecordBatch.from_pydict({"part": [part], "seg": [seg], "doc_ids": [names], "ends": [ends], "levels": [levels]}, schema=SEGMENT)
+            return pa.RecordBatch.from_pydict({"part": [part], "seg": [seg], "first_id": [names[0]], "last_id": [names[-1]], "doc_ids": [names], "ends": [ends], "levels": [levels]}, schema=SEGMENT)
 
         for batch in batches:
             keys = iter(batch.column(0).to_pylist())
@@ -123,7 +124,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).repartitionByRange(partitions(spark), "id").sortWithinPartitions("id")
-    ordered.mapInArrow(segments, SEGMENT_DDL).write.parquet(path)
+    ordered.mapInArrow(segments, SEGMENT_DDL).write.option("compression", "uncompressed").parquet(path)
     return path
 
 
@@ -132,20 +133,20 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
     ddl = "part int, seg int, id bigint, local bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * with_ids]
+        names = ["part", "seg", "id", "local", "n_tokens", "ids_crc32", *["ids"] * with_ids]
         for batch in batches:
             for row in batch.to_pylist():
-                codes, start = Codes(row["levels"]), 0
-                out: dict[str, list] = {k: [] for k in ("part", "seg", "id", "local", "n_tokens", "ids_crc32", *["ids"] * with_ids)}
-                for name, end in zip(row["doc_ids"], row["ends"], strict=True):
-                    ids = codes.span(start, end)
-                    values = (row["part"], row["seg"], name, start, end - start, zlib.crc32(ids.astype("<u4").tobytes()), *[ids.tolist()] * with_ids)
-                    for column, value in zip(out.values(), values, strict=True):
-                        column.append(value)
-                    start = end
-                kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * with_ids]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    files = spark.read.schema(SEGMENT_DDL).parquet(path)
+                ends = np.array([0, *row["ends"]], np.int64)
+                ids = Codes(row["levels"]).span(0, int(ends[-1])).astype("<u4")
+                data, cuts, n = memoryview(ids.tobytes()), (4 * ends).tolist(), len(row["ends"])
+                sums = [zlib.crc32(data[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+                columns = [[row["part"]] * n, [row["seg"]] * n, row["doc_ids"], ends[:-1], np.diff(ends), sums]
+                if with_ids:
+                    columns.append([ids[a:z].tolist() for a, z in zip(ends, ends[1:], strict=False)])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=names)
+
+    files = spark.read.schema(SEGMENT_DDL).parquet(path).select("part", "seg", "doc_ids", "ends", "levels")
     sums = files.select("part", "seg", F.coalesce(F.element_at("ends", -1), F.lit(0)).alias("n"))
     parts = sums.groupBy("part").agg(F.sum("n").alias("n"))
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
@@ -154,3 +155,37 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
     bases = sums.join(parts, "part").select("part", "seg", (F.col("part_base") + F.coalesce(F.sum("n").over(earlier.partitionBy("part").orderBy("seg")), F.lit(0))).alias("base"))
     docs = files.mapInArrow(documents, ddl).join(bases, ["part", "seg"])
     return docs.select(F.col("id").alias(id_col), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+
+
+#: Positions that one call looks up.
+MAX_LOOKUPS = 1000
+
+
+def tokens_at(spark: SparkSession, path: str, wanted: list[tuple[int, int]], id_col: str = "doc_id") -> DataFrame:
+    """``id_col, position, token_id`` of at most ``MAX_LOOKUPS`` pairs of a document and a position in it.
+
+    Only segments whose first and last id enclose a wanted id are read, and in
+    them only the codes of the wanted tokens.  Positions outside a document
+    and unknown documents give no row; rows that share an id answer each.
+    """
+    if len(wanted) > MAX_LOOKUPS:
+        raise ValueError(f"at most {MAX_LOOKUPS} positions a call")
+    places: dict[int, list[int]] = {}
+    for doc, at in wanted:
+        places.setdefault(doc, []).append(at)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for row in batch.to_pylist():
+                codes = Codes(row["levels"])
+                for doc, start, end in zip(row["doc_ids"], [0, *row["ends"]], row["ends"], strict=False):
+                    out += [(doc, at, codes[start + at]) for at in places.get(doc, ()) if 0 <= at < end - start]
+            columns = [[r[i] for r in out] for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "position", "token_id"])
+
+    files, near = spark.read.schema(SEGMENT_DDL).parquet(path), F.lit(False)
+    for doc in places:
+        near = near | ((F.col("first_id") <= doc) & (F.col("last_id") >= doc))
+    found = files.filter(near).select("doc_ids", "ends", "levels").mapInArrow(look, "id bigint, position bigint, token_id bigint")
+    return found.withColumnRenamed("id", id_col)

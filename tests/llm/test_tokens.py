@@ -145,3 +145,14 @@ def test_sharding_edge_cases(spark):
     rows = sharding.shard_documents(docs, 2).collect()
     assert sorted((r["shard"], r["slot"]) for r in rows) in ([(0, 0), (0, 1), (1, 0), (1, 1)], [(0, 0), (1, 0), (1, 1), (1, 2)], [(0, 0), (0, 1), (0, 2), (1, 0)])
     assert sharding.levels([10, 0, 100], 50) == [20.0, 30.0, 0]
+
+
+def test_tokens_are_looked_up_in_the_files(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_TOKENS", 300)
+    texts = corpus()
+    ids = [x.ids + [0] for x in Tokenizer.from_file(BYTE).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    path = token_files.write_token_files(table(spark, texts), BYTE, 0)
+    wanted = [(d, i) for d in (0, 7, 21, len(texts) - 1) for i in (0, 5, len(ids[d]) - 1, len(ids[d]))] + [(-1, 0), (10**6, 0)]
+    found = token_files.tokens_at(spark, path, wanted)
+    assert sorted(tuple(r) for r in found.collect()) == sorted({(d, i, ids[d][i]) for d, i in wanted if 0 <= d < len(ids) and i < len(ids[d])})
+    assert token_files.tokens_at(spark, path, []).count() == 0
