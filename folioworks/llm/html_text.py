@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # HTML element groups.
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|button|object|canvas|audio|video"
+RAW = "script|style|textarea|title|iframe"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
-    " head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+    " head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
+    " audio button canvas math noscript object select svg template video".split()
 )
 #: A start tag ends an open element of these names.
 ENDS = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -37,6 +38,7 @@ ENDS = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "t
 FENCES = frozenset("article aside body div dl footer form header html main nav ol section table td th ul".split())
 # The classifier.
 ELEMENT = {"article": 3.0, "main": 2.0, "nav": -7.0, "footer": -7.0, "aside": -6.0, "header": -6.0, "form": -6.0, "dialog": -6.0, "menu": -6.0, "head": -9.0}
+ELEMENT |= dict.fromkeys("audio button canvas math noscript object select svg template video".split(), -9.0)
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
     " sidebar footer copyright legal cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login signin register"
@@ -49,9 +51,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NEGATIVE, GOOD = -6.0, 1.0
 PLAIN = frozenset(["html", "body", "main", "article"])
 
+#: What stands between a tag's name and its end; a quote that does not begin a value, or is never closed, is plain.
+REST = r"(?>=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){REST}>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{REST})(?:>|\Z)|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -94,25 +98,40 @@ class Block:
         return z - (3.0 if self.text[0] == "©" else 0.0)
 
 
+class Element:
+    """An open element: what its blocks inherit, and where the nearest fence stands in the stack."""
+
+    __slots__ = ("fence", "in_article", "name", "odds", "parents", "tag")
+
+    def __init__(self, name: str, odds: float, in_article: bool, fence: int, tag: str, parents: tuple[int, ...]) -> None:
+        self.name, self.odds, self.in_article, self.fence, self.tag, self.parents = name, odds, in_article, fence, tag, parents
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's non-empty text blocks in order."""
+    """The page's non-empty text blocks in order, in time linear in the page."""
     out: list[Block] = []
-    # name, log-odds, inside an article, number
-    stack: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]
+    stack = [Element("", 0.0, False, -1, "", (0,))]
+    places: dict[str, list[int]] = {}
     pieces: list[str] = []
     links = made = open_links = 0
-    holder = stack[0]
 
     def flush() -> None:
         nonlocal links
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                block = next((e for e in reversed(stack) if e[0] in BLOCK), stack[0])
-                out.append(Block(text, links, block[0], stack[-1][1], tuple(e[3] for e in stack if e[0] in BLOCK)[-4:]))
+                out.append(Block(text, links, stack[-1].tag, stack[-1].odds, stack[-1].parents))
             pieces.clear()
         links = 0
 
+    def close(names: list[str], beyond_fences: bool) -> None:
+        """Closes the innermost element of these names, and all inside it, unless a fence stands between."""
+        at = max((places[x][-1] for x in names if places.get(x)), default=0)
+        if at and (beyond_fences or at >= stack[-1].fence):
+            for e in stack[at:]:
+                places[e.name].pop()
+            del stack[at:]
+
     for m in TOKEN.finditer(page):
         kind = m.lastgroup
         if kind == "text":
@@ -133,30 +152,21 @@ def blocks_of(page: str) -> list[Block]:
         if m["end"]:
             if name == "a":
                 open_links = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in FENCES and name not in FENCES:
-                    break
+            close([name], name in FENCES)
             continue
         if name in ENDS:
-            ended = ENDS[name].split()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ended:
-                    del stack[i:]
-                    break
-                if stack[i][0] in FENCES:
-                    break
+            close(ENDS[name].split(), False)
         if name == "a":
             open_links = 1
         holder = stack[-1]
-        weight = element_weight(name, m["rest"], holder[2])
+        weight = element_weight(name, m["rest"], holder.in_article)
         made += 1
         # what is boilerplate stays so inside, whatever stands around it
-        odds = holder[1] + weight if weight >= 0 and holder[1] >= 0 else min(holder[1], 0.0) + min(weight, 0.0)
+        odds = holder.odds + weight if weight >= 0 and holder.odds >= 0 else min(holder.odds, 0.0) + min(weight, 0.0)
         if not m["rest"].endswith("/"):
-            stack.append((name, odds, holder[2] or name == "article", made))
+            places.setdefault(name, []).append(len(stack))
+            tag, parents = (name, (*holder.parents, made)[-4:]) if name in BLOCK else (holder.tag, holder.parents)
+            stack.append(Element(name, odds, holder.in_article or name == "article", len(stack) if name in FENCES else holder.fence, tag, parents))
     flush()
     return out
 

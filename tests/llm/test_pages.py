@@ -29,12 +29,65 @@ def test_article_without_the_rest():
 
 @pytest.mark.parametrize(
     ("page", "text"),
-    [("", ""), (None, ""), ("<p", ""), ("plain words only, and an end.", "plain words only, and an end."), ("<div><p>a &lt; b &amp;amp; c", "a < b &amp; c"), ("<!-- x", ""), ("<script>var t='</p>'", "")],
+    [("", ""), (None, ""), ("<p", ""), ("plain words only, and an end.", "plain words only, and an end."), ("<div><p>a &lt; b &amp;amp; c", "a < b &amp; c"), ("<!-- x", ""), ("<script>var t='</p>'", ""),
+        ("<p class=it's>Hello to everyone here.</p><p>We don't know it yet, do we?", "Hello to everyone here. We don't know it yet, do we?"), ('<p title="x>Hello', "Hello"), ("<p a='b>Some words. <i>c", "Some words. c"),
+        ("<p>Some words here. <svg viewBox='0'/> And some more words.</p>", "Some words here. And some more words."), ("<p>Words.<button>Share<p>More", "Words. More")],
 )
 def test_unfinished_pages(spark, page, text):
     assert html_text.extract_text(spark.createDataFrame([(1, page)], "page_id long, html string")).first()["text"] == text
 
 
+def test_deep_and_long_pages():
+    import time
+
+    start = time.process_time()
+    deep = html_text.content_blocks("<div>" * 20_000 + "<p>Some words to read.</p>" + "</div>" * 20_000 + "</b>" * 20_000)
+    stray = html_text.content_blocks("<p><div>" + "<span>" * 20_000 + "Some words to read." + "</p>" * 20_000)
+    long = html_text.content_blocks("<article>" + "<p>One more paragraph of words, and an end.</p>" * 20_000)
+    assert deep == stray == ["Some words to read."] and len(long) == 20_000
+    assert time.process_time() - start < 20
+
+
+#: Pages without article elements; lines marked + are content, - are not.
+LABELLED = [
+    """<div id=top><a href=/>Home</a> <a href=/news>News</a></div>|-
+    <div id=page><h2>How rivers move</h2>|+
+    <p>Rivers carry sand and stones for many miles, and leave them where the water slows down.</p>|+
+    <div class=sponsored><p>Get your own boat today, with a discount for all readers of this page.</p></div>|-
+    <p>After a flood the bed may lie elsewhere.</p>|+
+    <blockquote>No man steps in the same river twice.</blockquote>|+
+    <ul class=share-links><li><a href=x>Send it to a friend</a><li><a href=y>Print it</a></ul></div>|-
+    <div id=comments><p>I have seen such a river myself, and it was as you say it is here.</p></div>|-
+    <div class=footer>Some company, some street 12. All rights are reserved by the owners.</div>|-""",
+    """<table><tr><td class=leftmenu><a href=1>Start</a><br><a href=2>Contact us</a></td>|-
+    <td><h1>Soup</h1>|+
+    <p>Cut the carrots, then boil them in water with salt for about half an hour.|+
+    <p>Eat it warm.|+
+    <form><label>Write to us about this recipe, we read all of it</label></form></td></tr></table>|-
+    <div role=contentinfo><p>This site is made by volunteers who do not get any money for it.</p></div>|-""",
+]
+
+
+def test_accuracy_on_labelled_blocks():
+    right = total = 0
+    for page in LABELLED:
+        rows = [line.strip().rsplit("|", 1) for line in page.splitlines()]
+        found = html_text.content_blocks("".join(html for html, _ in rows))
+        for html, mark in rows:
+            text = " ".join(re.sub("<[^>]*>", " ", html).split())
+            right, total = right + ((text in found) == (mark == "+")), total + 1
+    assert right / total >= 0.9
+
+
+def test_pages_edge_cases(spark):
+    pages = spark.createDataFrame([(1, "<p>One text.</p>", 5), (1, "<p>One text.</p>", 5)], "page_id long, html string, found long")
+    assert [r["text"] for r in html_text.extract_text(pages).collect()] == ["One text."] * 2
+    assert html_text.extract_text(pages).columns == ["page_id", "html", "found", "text"]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="already"):
+        html_text.extract_text(pages, out_col="found")
+
+
 def brute_cut(odds, edges):
     best = None
     for mask in range(1 << len(odds)):
@@ -148,18 +201,74 @@ def test_toxicity_without_examples(spark):
     assert toxicity.score_toxicity(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
-def test_nearest_is_exact(spark):
-    import numpy as np
+def brute_scores(docs, labels, k=15):
+    """Scores by plain TF-IDF vectors, all cosines, votes and a pool-adjacent-violators fit, from the definitions."""
+    import math
+    from collections import Counter
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    counts = {i: Counter(w[:5] for w in re.findall(r"[^\W_]+", t.lower())) for i, t in texts.items()}
+    own = {r["doc_id"]: r["toxic"] for r in labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~toxicity.held_out(F.col("doc_id"))).collect()}
+    toxic = [Counter(set(counts[i])) for i, y in own.items() if y]
+    a, b = sum(toxic, Counter()), sum((Counter(set(counts[i])) for i, y in own.items() if not y), Counter())
+    df, n = sum((Counter(set(c)) for c in counts.values()), Counter()), len(texts)
+    weight = {t: (math.log((1 + n) / (1 + df[t])) + 0.05) * math.log2(2 + a[t] / max(1, b[t])) for t in {*a, *b}}
+
+    def vector(i):
+        v = {t: (1 + math.log(c)) * weight[t] for t, c in counts[i].items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors, prior = {i: vector(i) for i in texts}, sum(own.values()) / len(own)
+
+    def vote(i, skip):
+        cosines = {j: sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()) for j in own if j != skip}
+        near = sorted(((c, j) for j, c in cosines.items() if c > 1e-9), reverse=True)[:k]
+        return (sum(c * own[j] for c, j in near) + 0.5 * prior) / (sum(c for c, _ in near) + 0.5), near
+
+    left_out = sorted((vote(i, i)[0], y) for i, y in own.items())
+    means = [(v, v, 1, float(y)) for v, y in left_out]
+    merged = True
+    while merged:  # pool neighbours that do not rise
+        merged, out = False, []
+        for x in means:
+            if out and out[-1][3] >= x[3]:
+                low, _, w, m = out.pop()
+                x, merged = (low, x[1], w + x[2], (w * m + x[2] * x[3]) / (w + x[2])), True
+            out.append(x)
+        means = out
+    at, rate = [v for m in means for v in m[:2]], [m[3] for m in means for _ in range(2)]
+
+    def interpolated(v):
+        if v <= at[0] or v >= at[-1]:
+            return rate[0] if v <= at[0] else rate[-1]
+        i = max(j for j in range(len(at) - 1) if at[j] <= v)
+        return rate[i] if at[i + 1] == at[i] else rate[i] + (rate[i + 1] - rate[i]) * (v - at[i]) / (at[i + 1] - at[i])
+
+    scores = {}
+    for i in texts:
+        v, near = vote(i, None)
+        scores[i] = (0.999 * interpolated(v) + 0.001 * v, [c for c, _ in near[:3]])
+    return scores
+
+
+def test_scores_against_brute_force(spark):
+    docs, labels = marked_corpus(spark)
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect()}
+    expected = brute_scores(docs, labels)
+    assert set(got) == set(expected)
+    for i, (score, cosines) in expected.items():
+        assert [e["cosine"] for e in got[i]["evidence"]] == pytest.approx(cosines, abs=1e-5)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-3), i
+
 
+def test_extra_columns_and_clashes(spark):
     docs, labels = marked_corpus(spark)
-    index = toxicity.fit(docs, labels)
-    dense = np.concatenate(list(index.weights.transpose(0, 2, 1)))[: len(index.names)]
-    terms = toxicity.Terms(index.terms)
-    for row in docs.limit(25).collect():
-        counts = terms.vector(row["text"] or "")
-        numbers, weights = index.unit(counts)
-        scores = dense[:, numbers] @ weights if len(numbers) else np.zeros(len(dense))
-        assert [c for c, _ in index.nearest(counts)] == pytest.approx(sorted(scores[scores > 0], reverse=True)[: index.k], abs=1e-5)
+    model = toxicity.fit(docs, labels)
+    odd = docs.limit(3).withColumns({"score": F.lit(1), "y": F.lit(2)})
+    assert toxicity.score_toxicity(odd, model).columns == [*odd.columns, "toxicity"]
+    with pytest.raises(ValueError, match="already"):
+        toxicity.score_toxicity(docs.withColumn("toxicity", F.lit(1)), model)
 
 
 def test_digest_of_no_items():
