@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,14 +70,17 @@ def windows(own: Column, target: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(own, i * step + 1, F.lit(target)))
 
 
-def chunk_pages(pages: DataFrame, ident: str, target: int, overlap: int) -> DataFrame:
+def chunk_pages(pages: DataFrame, ident: str, target: int, overlap: int, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
     """Chunks of documents from ``pages(ident, index, page_number, text)``.
 
+    ``tokenize`` turns a text into an array of tokens (words by default); its id
+    belongs into the chunking profile.
+
     ``ident, chunk_index, text, token_count, page_start, page_end, text_hash``.
     Blank pages are skipped but numbers of the pages around them stay.  The
     fold over pages is bounded by one document.
     """
-    own = pages.withColumn("toks", tokens(F.col("text"))).filter(F.size("toks") > 0)
+    own = pages.withColumn("toks", tokenize(F.col("text"))).filter(F.size("toks") > 0)
     row = F.struct("index", "page_number", F.size("toks").cast("long").alias("n"), "toks")
     docs = own.groupBy(ident).agg(F.array_sort(F.collect_list(row), lambda a, b: a["index"] - b["index"]).alias("pages"))
     docs = docs.withColumn("packs", pack_ids(F.transform("pages", lambda p: p["n"]), target))

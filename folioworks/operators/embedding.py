@@ -50,6 +50,28 @@ def embed(rows: DataFrame, text_col: str, size: int, make_model: Callable[[], ob
     return rows.withColumn(out_col, run(F.col(text_col)))
 
 
+def embed_queries(queries: DataFrame, text_col: str, size: int, make_model: Callable[[], object], out_col: str = "vector") -> DataFrame:
+    """``queries`` with the vectors of the model's ``embed_query(text)``: one call and one vector a query.
+
+    A model that gives no vector, several, or one of another size fails the job;
+    null texts have null vectors.
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make_model()
+        for part in parts:
+            out = []
+            for text in part:
+                vectors = [[]] if text is None else model.embed_query(text)
+                if len(vectors) != 1 or text is not None and len(vectors[0]) != size:
+                    raise ValueError("the model must give one vector of the stated size for a query")
+                out.append(None if text is None else vectors[0])
+            yield pd.Series(out, dtype=object)
+
+    return queries.withColumn(out_col, run(F.col(text_col)))
+
+
 def not_yet_indexed(contents: DataFrame, chunks: DataFrame, chunking: str, embedding: str, forced: bool = False) -> DataFrame:
     """``contents(content_id, expected)`` with ``embed``: it has chunks and they are not all stored under both profiles."""
     stored = chunks.filter((F.col("chunking_profile") == chunking) & (F.col("embedding_profile") == embedding)).groupBy("content_id").agg(F.count(F.lit(1)).alias("stored"))

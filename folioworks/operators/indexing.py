@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import chunk_id, chunking_profile, sha256
+from ..functions.ids import chunk_id, chunking_profile, point_id, sha256
 from ..functions.text import normalize_text
+from ..sources.files import decoded
 from .chunking import chunk_pages, text_sections
+from .embedding import hashed, not_yet_indexed, with_context
 
 
 def index_documents(docs: DataFrame, ident: str = "doc_id", target: int = 200, overlap: int = 20) -> DataFrame:
@@ -24,3 +26,24 @@ def index_documents(docs: DataFrame, ident: str = "doc_id", target: int = 200, o
     pages = text_sections(contents, "content_id").select("content_id", "index", F.lit(None).cast("int").alias("page_number"), F.col("section").alias("text"))
     chunks = chunk_pages(pages, "content_id", target, overlap)
     return chunks.select("content_id", chunk_id(F.col("content_id"), F.lit(profile), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "text", "token_count", "text_hash")
+
+
+def index_files(files: DataFrame, stored: DataFrame, embedding: str, size: int = 8, target: int = 200, overlap: int = 20, forced: bool = False) -> DataFrame:
+    """The whole chain from bytes to points: ``content_id, chunk_id, point_id, chunk_index, text, vector``.
+
+    ``files(file_id, name, content, sha256)`` whose bytes no longer match the
+    observed hash are left out; the others are decoded, normalized, grouped by
+    content, cut and chunked.  Contents whose chunks are all in
+    ``stored(content_id, chunking_profile, embedding_profile)`` already are not
+    embedded again.  A content has the name of its smallest file id.  Null
+    contents and files without text give no rows.
+    """
+    profile = chunking_profile(target, overlap)
+    docs = files.filter(sha256(F.col("content")) == F.col("sha256")).select("file_id", "name", decoded(F.col("content")).alias("text"))
+    chunks = index_documents(docs, "file_id", target, overlap)
+    names = docs.filter(F.col("text").isNotNull()).groupBy(sha256(normalize_text(F.col("text"))).alias("content_id")).agg(F.min_by("name", "file_id").alias("name"))
+    counts = chunks.groupBy("content_id").agg(F.count(F.lit(1)).alias("expected"))
+    due = not_yet_indexed(counts, stored, profile, embedding, forced).filter("embed").select("content_id")
+    out = chunks.join(due, "content_id").join(names, "content_id")
+    point = point_id(F.col("content_id"), F.lit(profile), F.lit(embedding), F.col("chunk_index"))
+    return out.select("content_id", "chunk_id", point.alias("point_id"), "chunk_index", "text", hashed(with_context(F.col("text"), F.col("name")), size).alias("vector"))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.indexing import index_documents
-from ..sources.files import hashed_files, list_files
-from ..sources.work import work_path
+from ..functions.ids import CHUNK_NAMESPACE, POINT_NAMESPACE, sha256
+from ..operators.indexing import index_documents, index_files
+from ..operators.reports import duplicate_groups
+from ..sources.files import decoded, hashed_files, list_files, load_pages, store_artifacts
+from ..sources.work import rebuild, work_path
 from ..streaming.jobs import ingest, silent_keys, status_counts
+from .catalog_queries import GROUPS
 from .registry import ORACLES, QUERIES, query
+from .text_queries import INDEXED, INDEXED_SQL, PROFILE, uuid_of
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,4 +57,66 @@ QUERIES["k3_status_stream"] = status_stream
 ORACLES["k3_status_stream"] = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS started, event_type AS status, count(*) AS n FROM events GROUP BY ALL"
 QUERIES["s1_corpus_listing"] = lambda spark, sf_dir: list_files(spark, sf_dir, any_extension=True).select("relative_path", "file_name", "extension", "size")
 QUERIES["s5_file_hashes"] = lambda spark, sf_dir: hashed_files(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "sha256")
-query("r9_index_pipeline", "documents")(index_documents)
+query("r9_index_pipeline", "documents", more=INDEXED, sql=INDEXED_SQL)(index_documents)
+# one batch reads all there is, so the stream has the rows of the batch job
+ORACLES["k1_ingest_stream"] = f"WITH RECURSIVE {INDEXED} {INDEXED_SQL}"
+ORACLES["k2_silence_stream"] = """
+    WITH b AS (SELECT user_id AS job_id, CAST(ts AS TIMESTAMP) AS ts FROM events),
+    l AS (SELECT job_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY job_id ORDER BY ts) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh FROM b),
+    s AS (SELECT job_id, ts, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM l)
+    SELECT job_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS expired_at, count(*) AS beats FROM s GROUP BY job_id, n
+    HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM b)"""
+
+
+def bytes_of(text: str) -> str:
+    """A text's bytes as UTF-8, as UTF-16 with its mark, or as UTF-8 with a mark, by turns."""
+    return f"CASE k % 3 WHEN 0 THEN encode({text}, 'UTF-8') WHEN 1 THEN concat(X'FFFE', encode({text}, 'UTF-16LE')) ELSE concat(X'EFBBBF', encode({text}, 'UTF-8')) END"
+
+
+query("s14_decoded_text", "docs", sql="SELECT doc_id, length(text) AS chars, sha256(text) AS text_sha256 FROM docs")(
+    lambda d: d.select("doc_id", decoded(F.expr(bytes_of("text"))).alias("t")).select("doc_id", F.length("t").cast("long").alias("chars"), sha256(F.col("t")).alias("text_sha256"))
+)
+
+
+def artifact_pages(docs: DataFrame) -> DataFrame:
+    """Artifacts of all documents stored, then stored again in vain, then read back to pages."""
+    path = work_path(docs.sparkSession, "artifacts")
+    pages = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("page_number"), t.alias("text")))
+    own = docs.select(F.concat(F.lit("v1/"), F.col("doc_id").cast("string")).alias("address"), F.lit("v1").alias("version"), pages.alias("pages"))
+    store_artifacts(own, path)
+    store_artifacts(own, path, docs.sparkSession.read.parquet(path))
+    return load_pages(docs.sparkSession, path)
+
+
+query("s17_artifact_pages", "docs", sql="SELECT 'v1/' || doc_id AS address, CAST(i - 1 AS INTEGER) AS index, CAST(i AS INTEGER) AS page_number, a[i] AS text FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM docs) x) y")(artifact_pages)
+
+
+def rebuilt(members: DataFrame) -> DataFrame:
+    """The duplicate report built over an earlier state of itself."""
+    path = work_path(members.sparkSession, "report")
+    rebuild(duplicate_groups(members.filter("location_id = 'src1'")), path)
+    rebuild(duplicate_groups(members), path)
+    return members.sparkSession.read.parquet(path)
+
+
+query("s20_rebuilt_report", "members", more=GROUPS, sql="SELECT * FROM g")(rebuilt)
+
+
+def verified_points(docs: DataFrame) -> DataFrame:
+    """Points of all files but those whose bytes have changed since they were observed; every third content is stored already."""
+    files = docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("f_"), F.col("k").cast("string"), F.lit(".txt")).alias("name"), F.expr(bytes_of("text")).alias("content"), "k")
+    files = files.withColumn("sha256", F.when(F.col("k") % 7 == 3, "changed").otherwise(sha256(F.col("content")))).drop("k")
+    chunks = index_documents(docs.filter("k % 7 <> 3"))
+    stored = chunks.filter("conv(substr(content_id, 1, 4), 16, 10) % 3 = 0").select("content_id", F.lit(PROFILE).alias("chunking_profile"), F.lit("e1").alias("embedding_profile"))
+    return index_files(files, stored, "e1").select("content_id", "chunk_id", "point_id", "chunk_index", F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("slots"))
+
+
+DUE = INDEXED.replace("FROM documents WHERE text IS NOT NULL", "FROM docs WHERE k % 7 <> 3").replace("bodies AS (SELECT doc_id,", "bodies AS (SELECT doc_id, k,").replace("min(doc_id) AS doc_id,", "arg_min(k, doc_id) AS k,")
+query(
+    "r9_verified_points", "docs",
+    more=DUE + r""",
+    w AS (SELECT content_id, chunk_index, unnest(list_distinct(regexp_extract_all(lower('[File: f ' || k || ' txt]' || chr(10) || cs.text), '[\p{L}\p{N}]{2,}'))) AS t FROM cs JOIN contents USING (content_id)),
+    slots AS (SELECT content_id, chunk_index, count(DISTINCT CAST('0x' || substr(sha256(t), 1, 2) AS INTEGER) % 8) AS slots FROM w GROUP BY ALL)""",
+    sql=f"""SELECT content_id, {uuid_of(CHUNK_NAMESPACE, f"content_id || ':{PROFILE}:' || chunk_index")} AS chunk_id, {uuid_of(POINT_NAMESPACE, f"content_id || ':{PROFILE}:e1:' || chunk_index")} AS point_id, chunk_index, slots
+        FROM cs JOIN slots USING (content_id, chunk_index) WHERE CAST('0x' || substr(content_id, 1, 4) AS INTEGER) % 3 <> 0""",
+)(verified_points)

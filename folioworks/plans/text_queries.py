@@ -153,6 +153,23 @@ CHUNKS = rf"""
     packs AS (SELECT doc_id, g, flatten(list(toks ORDER BY i)) AS toks, min(page) AS page_start, max(page) AS page_end FROM walk GROUP BY doc_id, g),
     cut AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((len(toks) - 100) / 80.0)) AS BIGINT) + 1)) AS w FROM packs),
     chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, w) - 1 AS INTEGER) AS chunk_index, toks[w * 80 + 1 : w * 80 + 100] AS c, CAST(page_start AS INTEGER) AS page_start, CAST(page_end AS INTEGER) AS page_end FROM cut)"""
+CHUNKS_OF_200 = CHUNKS[CHUNKS.index("own AS (") :].replace("- 100) / 80.0", "- 200) / 180.0").replace("w * 80 + 1 : w * 80 + 100", "w * 180 + 1 : w * 180 + 200").replace("> 100", "> 200")
+#: The chunks of the distinct contents of ``documents``: the text of the smallest id, cut at blank lines.
+INDEXED = rf"""
+    bodies AS (SELECT doc_id, text, sha256({NORM.format('nfc_normalize(text)')}) AS content_id FROM documents WHERE text IS NOT NULL),
+    contents AS (SELECT content_id, min(doc_id) AS doc_id, arg_min(text, doc_id) AS text FROM bodies GROUP BY content_id),
+    secs AS (SELECT content_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[ \t]*\n'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS a FROM contents),
+    pages AS (SELECT content_id AS doc_id, unnest(range(1, len(a) + 1)) AS page, unnest(a) AS t FROM secs),
+    {CHUNKS_OF_200},
+    cs AS (SELECT doc_id AS content_id, chunk_index, array_to_string(c, ' ') AS text, CAST(len(c) AS BIGINT) AS token_count FROM chunks)"""
+PROFILE = ids.chunking_profile(200, 20)
+
+
+def uuid_of(namespace: str, name: str) -> str:
+    return UUID.replace("(h,", f"(sha1(from_hex('{namespace.replace('-', '')}') || encode({name})),")
+
+
+INDEXED_SQL = f"SELECT content_id, {uuid_of(ids.CHUNK_NAMESPACE, f"content_id || ':{PROFILE}:' || chunk_index")} AS chunk_id, chunk_index, text, token_count, sha256(text) AS text_hash FROM cs"
 query(
     "r1_r2_w3_chunks", "docs", more=CHUNKS,
     sql="SELECT doc_id, chunk_index, CAST(len(c) AS BIGINT) AS token_count, page_start, page_end, sha256(array_to_string(c, ' ')) AS text_hash FROM chunks",

@@ -85,7 +85,8 @@ def store_artifacts(artifacts: DataFrame, path: str, stored: DataFrame | None =
     new = artifacts.dropDuplicates(["address"])
     if stored is not None:
         new = new.join(stored.select("address"), "address", "left_anti")
-    new.withColumn("shard", F.substring(F.sha1("address"), 1, 2)).write.mode("append").partitionBy("version", "shard").parquet(path)
+    # a shard's rows come together, so that a task does not write a file in every shard
+    new.withColumn("shard", F.substring(F.sha1("address"), 1, 2)).repartition("version", "shard").write.mode("append").partitionBy("version", "shard").parquet(path)
 
 
 def load_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -123,3 +123,43 @@ def test_vector_search_in_batches(spark, monkeypatch):
     whole = sorted(search.vector_leg(points, queries, 3).collect())
     monkeypatch.setattr(search, "MAX_QUERIES", 10)
     assert sorted(search.vector_leg(points, queries, 3).collect()) == whole and len(whole) == 75
+
+
+def test_query_vectors_are_one_each(spark):
+    from folioworks.operators.embedding import embed_queries
+
+    class Model:
+        def __init__(self, extra=0):
+            self.extra = extra
+
+        def embed_query(self, text):
+            return [[float(len(text)), 0.0]] * (1 + self.extra)
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id long, t string")
+    assert {r["id"]: r["vector"] for r in embed_queries(df, "t", 2, Model).collect()} == {1: [3.0, 0.0], 2: None, 3: [0.0, 0.0]}
+    for size, extra in ((3, 0), (2, 1), (2, -1)):
+        with pytest.raises(Exception, match="one vector"):
+            embed_queries(df, "t", size, lambda extra=extra: Model(extra)).collect()
+    assert embed_queries(df.limit(0), "t", 2, Model).count() == 0
+
+
+def test_chunks_by_another_tokenizer(spark):
+    from folioworks.operators.chunking import chunk_pages
+
+    pages = spark.createDataFrame([(1, 0, None, "abcdefg")], "id long, index int, page_number int, text string")
+    rows = chunk_pages(pages, "id", 4, 1, tokenize=lambda t: F.filter(F.split(t, ""), lambda c: c != "")).orderBy("chunk_index").collect()
+    assert [r["text"] for r in rows] == ["a b c d", "d e f g"] and [r["token_count"] for r in rows] == [4, 4]
+
+
+def test_changed_and_stored_files_are_left_out(spark):
+    from folioworks.functions.ids import chunking_profile
+    from folioworks.operators.indexing import index_documents, index_files
+
+    files = spark.createDataFrame([(1, "a.txt", b"one text", None), (2, "b.txt", b"one  text", None), (3, "c.txt", b"changed", "0"), (4, "d.txt", b"stored", None), (5, "e.txt", b" ", None), (6, "f.txt", None, None)], "file_id long, name string, content binary, sha256 string")
+    files = files.withColumn("sha256", F.coalesce("sha256", F.sha2("content", 256)))
+    content = index_documents(spark.createDataFrame([(1, "stored")], "doc_id long, text string")).first()["content_id"]
+    stored = spark.createDataFrame([(content, chunking_profile(200, 20), "e")], "content_id string, chunking_profile string, embedding_profile string")
+    rows = index_files(files, stored, "e").collect()
+    assert [r["text"] for r in rows] == ["one text"] and len(rows[0]["vector"]) == 8
+    assert {r["text"] for r in index_files(files, stored, "other").collect()} == {"one text", "stored"}
+    assert {r["text"] for r in index_files(files, stored, "e", forced=True).collect()} == {"one text", "stored"}
