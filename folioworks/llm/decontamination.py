@@ -13,9 +13,14 @@ finds the stretches with numpy (false pairs only make stretches longer).
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  Null and
 empty texts have no words; null or repeated item ids are taken as they are (a
-null id is named "null"), empty benchmarks hit nothing.  Items are cut into
-blocks of about ``BLOCK_BYTES``; each block has an automaton of that bounded
-size, and the blocks' findings are merged by row.
+null id is named "null"), empty benchmarks hit nothing.
+
+Items of at most ``BLOCK_BYTES`` have one automaton that every task streams its
+texts through.  More items are dealt to blocks of about that size and never meet
+in one place: a bit table of the items' windows finds the stretches of a text
+that can hold one, stretches are joined to the blocks that have their windows,
+and each block's automaton is built in the tasks that its stretches are dealt to.
+The blocks' findings are merged by text.
 """
 
 from __future__ import annotations
@@ -28,12 +33,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .near_dedup import mixed, word_hashes
+from .store import partitions, written
+from .worker import release
+
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 32 for b in range(256))
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 PAIR_BITS = 22
+#: Bits of the window table of many items at most, bits of one of its rows, and stretches that one task takes for a block.
+MAX_TABLE_BITS, BITMAP, DEALT = 1 << 27, 1 << 15, 20_000
 FOUND = "struct<n_words:bigint,spans:array<struct<first:bigint,last:bigint>>,items:array<string>>"
 
 
@@ -167,19 +178,106 @@ class ItemAutomaton:
                 spans.append((a, i))
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of about ``BLOCK_BYTES``; only one block is on the driver at a time."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = -(-size // BLOCK_BYTES)
-    for b in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        yield [(r["id"], words_of(r["text"])) for r in own.collect()]
+def window_hashes(words: list[bytes], m: int) -> np.ndarray:
+    """Signed 64-bit hashes of all runs of ``m`` words."""
+    n = len(words) - m + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    codes, out = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words)), np.full(n, m, np.uint64)
+    for i in range(m):
+        out = mixed(out + codes[i : i + n])
+    return out.view(np.int64)
+
+
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """Written ``m, h, block``: lengths and hashes of the windows of ``items(id, text, block)``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, block in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text.as_py())
+                m = min(window, len(words))
+                own = np.unique(window_hashes(words, m)) if m else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(own), pa.int32()), pa.array(own), pa.array([block] * len(own), pa.int64())], names=["m", "h", "block"])
+
+    return written(items.select("text", "block").mapInArrow(cut, "m int, h bigint, block bigint").distinct(), "windows")
+
+
+def stretches_of(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Written ``key, n_words, runs``: by ``texts(key, text)`` the stretches of words that may hold a window: first word, words and window hashes."""
+    bits = BITMAP
+    while bits < 32 * windows.count() and bits < MAX_TABLE_BITS:
+        bits *= 2
+    lengths = sorted(r["m"] for r in windows.select("m").distinct().collect())  # at most the window
+    at = F.pmod("h", F.lit(bits))
+    rows = windows.select(at.alias("at")).groupBy(F.expr(f"at div {BITMAP}").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("bits"))
+    table = np.zeros(bits // 8, np.uint8)
+    for r in rows.collect():  # MAX_TABLE_BITS at most
+        table[r["part"] * BITMAP // 8 : (r["part"] + 1) * BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
+    spread = texts.sparkSession.sparkContext.broadcast(table)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = spread.value
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.string()), ("windows", pa.list_(pa.int64()))]))
+        for batch in batches:
+            sizes, runs = [], []
+            for text in batch.column(1):
+                words = words_of(text.as_py())
+                inside, hits = np.zeros(len(words) + 1, np.int64), []
+                for m in lengths:
+                    own = window_hashes(words, m)
+                    place = own % bits
+                    found = np.flatnonzero(marks[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    np.add.at(inside, found, 1)
+                    np.add.at(inside, found + m, -1)
+                    hits += zip(found.tolist(), own[found].tolist(), strict=True)
+                covered = np.concatenate([[False], np.cumsum(inside)[:-1] > 0, [False]])
+                edges = np.flatnonzero(covered[1:] != covered[:-1]).tolist()
+                own = [{"first": a, "words": b" ".join(words[a:z]).decode("utf-8", "surrogatepass"), "windows": sorted({h for i, h in hits if a <= i < z})} for a, z in zip(edges[::2], edges[1::2], strict=True)]
+                sizes.append(len(words))
+                runs.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind)], names=["key", "n_words", "runs"])
+
+    return written(texts.mapInArrow(mark, "key string, n_words bigint, runs array<struct<first:bigint,words:string,windows:array<bigint>>>"), "stretches")
+
+
+def found_in_blocks(stretches: DataFrame, windows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """``key, spans, items`` of the texts with findings; a block's stretches are dealt over as many tasks as they need."""
+    spark = stretches.sparkSession
+    runs = stretches.dropDuplicates(["key"]).select("key", F.explode("runs").alias("r")).select("key", "r.first", "r.words", F.explode("r.windows").alias("h"))
+    pairs = written(runs.join(windows.select("h", "block"), "h").groupBy("block", "key", "first").agg(F.first("words").alias("words")), "pairs")
+    parts = written(pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("key", "first"), F.col("parts")).cast("int").alias("part")
+    asked = pairs.join(parts, "block").select("block", part, F.lit(1).alias("role"), "key", "first", F.col("words").alias("text"))
+    own = items.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("id").alias("key"), F.lit(0).cast("long").alias("first"), "text")
+    rows = own.unionByName(asked).repartition(partitions(spark), "block", "part").sortWithinPartitions("block", "part", "role")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, automaton, held = None, None, []
+        kinds = [pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())]
+        for batch in batches:
+            out = []
+            for block, part, role, key, first, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (block, part) != place:
+                    place, automaton, held = (block, part), None, []
+                if role == 0:
+                    held.append((key, words_of(text)))
+                    continue
+                automaton = automaton or ItemAutomaton(held, window)
+                spans, names = automaton.find(words_of(text))
+                if spans:
+                    out.append((key, [{"first": a + first, "last": b + first} for a, b in spans], sorted(names)))
+            columns = zip(*out, strict=True) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "spans", "items"])
+
+    found = rows.mapInArrow(find, "key string, spans array<struct<first:bigint,last:bigint>>, items array<string>")
+    return found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def _finder(items: list[tuple[str, list[bytes]]], window: int):
     @F.arrow_udf(FOUND)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         automaton = ItemAutomaton(items, window)
         kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
         for texts in batches:
@@ -208,14 +306,24 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     if out_col in docs.columns:
         raise ValueError(f"column {out_col} is already there")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    finders = [_finder(items, window) for items in item_blocks(benchmark, item_col, item_text)] or [_finder([], window)]
-    out = docs.withColumns({f"{out_col}_{i}": find(text) for i, find in enumerate(finders)})
-    names = [f"{out_col}_{i}" for i in range(len(finders))]
-    if len(names) == 1:
-        return out.withColumnRenamed(names[0], out_col)
-    spans = _merged(F.concat(*[F.col(x)["spans"] for x in names]))
-    items = F.array_sort(F.array_distinct(F.concat(*[F.col(x)["items"] for x in names])))
-    return out.withColumn(out_col, F.struct(F.col(names[0])["n_words"].alias("n_words"), spans.alias("spans"), items.alias("items"))).drop(*names)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    if size <= BLOCK_BYTES:
+        # so few bytes may pass through the driver
+        own = [(r["id"], words_of(r["text"])) for r in items.filter("text <> ''").collect()]
+        return docs.withColumn(out_col, _finder(own, window)(text))
+    items = written(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(-(-size // BLOCK_BYTES)))), "items")
+    windows = item_windows(items, window)
+    key = F.sha2(text, 256)
+    stretches = stretches_of(docs.select(key.alias("key"), text.alias("text")), windows)
+    found = written(found_in_blocks(stretches, windows, items, window), "found")
+    # rows of one text have one finding; most texts have none
+    sizes = stretches.groupBy("key").agg(F.first("n_words").alias("n_words"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key")).join(sizes, "key").join(found, "key", "left")
+    none = F.from_json(F.lit("[]"), "array<struct<first:bigint,last:bigint>>")
+    merged = F.when(F.col("spans").isNull(), none).otherwise(_merged(F.col("spans")))
+    names = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select("row.*", F.struct("n_words", merged.alias("spans"), names.alias("items")).alias(out_col))
 
 
 def hit_words(found: Column) -> Column:
@@ -243,14 +351,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         rows = zip(texts.to_pylist(), firsts.to_pylist(), lasts.to_pylist(), strict=True)
         return pa.array([text if not a else cut_spans(text, list(zip(a, b, strict=True))) for text, a, b in rows], pa.string())
 
-    out = find_items(docs, benchmark, text_col=text_col, window=window, out_col="_found")
+    # the row travels as one column, so that its names cannot clash
+    out = find_items(docs.select(F.col(text_col).alias("text"), F.struct("*").alias("row")), benchmark, window=window)
     if min_words <= window:  # a shorter span can only be of whole items that are as short
-        long = F.col("_found")["spans"]
+        long = F.col("found")["spans"]
     else:
         # hits of this width are whole shorter items, or long enough by themselves
-        out = find_items(out, benchmark, text_col=text_col, window=min_words, out_col="_whole")
-        holds = lambda x: F.exists(F.col("_whole")["spans"], lambda y: (x["first"] <= y["first"]) & (y["last"] <= x["last"]))
-        long = F.filter(F.col("_found")["spans"], lambda x: (x["last"] - x["first"] + 1 >= min_words) | holds(x))
-    kept = out.filter(hit_words(F.col("_found")) <= F.lit(max_coverage) * F.col("_found")["n_words"]).withColumn("_long", long)
-    cleaned = F.when(F.size("_long") > 0, cut(F.col(text_col), F.transform("_long", lambda x: x["first"]), F.transform("_long", lambda x: x["last"]))).otherwise(F.col(text_col))
-    return kept.withColumn(text_col, cleaned).select(*docs.columns)
+        out = find_items(out, benchmark, window=min_words, out_col="whole")
+        holds = lambda x: F.exists(F.col("whole")["spans"], lambda y: (x["first"] <= y["first"]) & (y["last"] <= x["last"]))
+        long = F.filter(F.col("found")["spans"], lambda x: (x["last"] - x["first"] + 1 >= min_words) | holds(x))
+    kept = out.filter(hit_words(F.col("found")) <= F.lit(max_coverage) * F.col("found")["n_words"]).withColumn("long", long)
+    cleaned = F.when(F.size("long") > 0, cut(F.col("text"), F.transform("long", lambda x: x["first"]), F.transform("long", lambda x: x["last"]))).otherwise(F.col("text"))
+    return kept.select(*(cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _HELD: dict[Any, Any] = {}
 
 
 def held(key: Any, make: Callable[[], Any]) -> Any:
     """The object of ``key``.  A worker keeps one only, so that operators that run one after the other do not add up."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def release() -> None:
+    """Drops what the worker keeps; called by tasks that need none of it."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Remembered(dict):
     """A dictionary that computes what it lacks and keeps between one and two times ``most`` recent keys, none longer than ``longest``."""
 
