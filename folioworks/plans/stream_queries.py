@@ -57,6 +57,17 @@ QUERIES["k3_status_stream"] = status_stream
 ORACLES["k3_status_stream"] = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS started, event_type AS status, count(*) AS n FROM events GROUP BY ALL"
 QUERIES["s1_corpus_listing"] = lambda spark, sf_dir: list_files(spark, sf_dir, any_extension=True).select("relative_path", "file_name", "extension", "size")
 QUERIES["s5_file_hashes"] = lambda spark, sf_dir: hashed_files(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "sha256")
+
+
+def listed_corpus(docs: DataFrame) -> DataFrame:
+    """All documents written as text files of their locations, then listed: folders with the bytes of their files."""
+    path = work_path(docs.sparkSession, "corpus")
+    docs.select("location_id", F.translate("text", "\r\n", "  ").alias("value")).write.partitionBy("location_id").text(path)
+    listed = list_files(docs.sparkSession, path, extensions=("txt",))
+    return listed.groupBy(F.regexp_extract("relative_path", "^location_id=([^/]+)/", 1).alias("location_id"), "extension").agg(F.sum("size").alias("bytes"))
+
+
+query("s1_listed_corpus", "docs", sql="SELECT location_id, 'txt' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM docs GROUP BY location_id")(listed_corpus)
 query("r9_index_pipeline", "documents", more=INDEXED, sql=INDEXED_SQL)(index_documents)
 # one batch reads all there is, so the stream has the rows of the batch job
 ORACLES["k1_ingest_stream"] = f"WITH RECURSIVE {INDEXED} {INDEXED_SQL}"
