@@ -113,23 +113,42 @@ class Queues:
             low, high = (low, mid) if self.served(queue, mid)[1] > q else (mid + 1, high)
         return low
 
-    def pieces(self, queue: str, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """``(start, length, sequence_id, offset)`` of ``n`` tokens from position ``at`` of the queue on."""
-        g, window, main, i = self.granule, self.slots * self.granule, self.granules[queue] * self.granule, 0
-        if at < main:
-            w = self.window_of(queue, at // g)
-            while i < n and at + i < main:
-                begin, end, ahead = self.served(queue, w)
-                if end * g > at + i:
-                    k = min(n - i, end * g - at - i)
-                    yield i, k, w, (ahead - begin) * g + at + i
-                    i += k
-                w += 1
-        while i < n:
-            place = self.tail_at[queue] + at + i - main
-            k = min(n - i, window - place % window)
-            yield i, k, place // window, place % window
-            i += k
+    def windows(self, queue: str, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``served`` for the windows from ``first`` to ``last``."""
+        a = np.minimum(self.slots * np.arange(first, last + 1), self.total)
+        b = np.minimum(self.slots * np.arange(first + 1, last + 2), self.total)
+        ahead = np.zeros_like(a)
+        for right, left, both in self.path[queue]:
+            # the products stay below 2^63 for up to 2^31 granules of a side
+            x, y = (a * left // both, b * left // both) if self.total < 1 << 31 else (exact(a, left, both), exact(b, left, both))
+            if right:
+                a, b, ahead = a - x, b - y, ahead + y - x
+            else:
+                a, b = x, y
+        return a, b, ahead
+
+    def pieces(self, queue: str, first: int, end: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end in the queue, ``sequence_id`` and ``offset`` of the pieces of its tokens from ``first`` to ``end``, cut at ``starts`` too."""
+        g, window, main = self.granule, self.slots * self.granule, self.granules[queue] * self.granule
+        parts = []
+        if first < main:
+            stop = min(end, main)
+            w = self.window_of(queue, first // g)
+            begin, after, ahead = self.windows(queue, w, self.window_of(queue, (stop - 1) // g))
+            cuts = np.unique(np.concatenate([[first], after[:-1] * g, starts[(starts > first) & (starts < stop)]]))
+            cuts = cuts[cuts >= first]
+            own = np.searchsorted(after * g, cuts, side="right")
+            parts.append((cuts, np.append(cuts[1:], stop), w + own, (ahead - begin)[own] * g + cuts))
+        if end > main:
+            low, shift = max(first, main), self.tail_at[queue] - main
+            edges = np.arange((low + shift) // window + 1, (end + shift - 1) // window + 1) * window - shift
+            cuts = np.unique(np.concatenate([[low], edges, starts[(starts > low) & (starts < end)]]))
+            parts.append((cuts, np.append(cuts[1:], end), (cuts + shift) // window, (cuts + shift) % window))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def exact(n: np.ndarray, left: int, both: int) -> np.ndarray:
+    return np.array([int(x) * left // both for x in n], np.int64)
 
 
 def bases(ids: DataFrame) -> tuple[DataFrame, int, dict[str, int]]:
@@ -153,25 +172,23 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> pa.RecordBatch:
-            arrays = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays + [pa.array(own, pa.list_(pa.int64()))] * with_ids, names=names + ["ids"] * with_ids)
-
-        out: list[tuple] = []
-        own: list[list[int]] = []
         for batch in batches:
-            for doc, queue, at, n, coded in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                view = memoryview(coded)
-                for start, k, w, offset in queues.pieces(queue, at, n):
-                    piece = view[4 * start : 4 * (start + k)]
-                    out.append((doc, start, k, zlib.crc32(piece), n, w, offset))
-                    if with_ids:
-                        own.append(np.frombuffer(piece, "<u4").tolist())
-                    if len(out) >= 20_000:
-                        yield made()
-                        out, own = [], []
-        if out:
-            yield made()
+            docs, own, sizes = batch.column(0), np.array(batch.column(1).to_pylist(), object), batch.column(3).to_numpy()
+            at, coded = batch.column(2).to_numpy(), [memoryview(x.as_buffer()) for x in batch.column(4)]
+            # stretches of a queue's tokens without a gap
+            order = np.lexsort((at, own)) if len(own) else np.zeros(0, np.int64)
+            ends = at + sizes
+            breaks = np.flatnonzero((own[order][1:] != own[order][:-1]) | (at[order][1:] != ends[order][:-1])) + 1
+            for rows in np.split(order, breaks) if len(order) else []:
+                begin, end, sequence, offset = queues.pieces(own[rows[0]], int(at[rows[0]]), int(ends[rows[-1]]), at[rows])
+                which = rows[np.searchsorted(at[rows], begin, side="right") - 1]
+                start, length = begin - at[which], end - begin
+                pieces = [coded[i][4 * a : 4 * (a + k)] for i, a, k in zip(which.tolist(), start.tolist(), length.tolist(), strict=True)]
+                sums = np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces))
+                columns = [docs.take(pa.array(which)), *(pa.array(x) for x in (start, length, sums, sizes[which], sequence, offset))]
+                if with_ids:
+                    columns.append(pa.array([np.frombuffer(p, "<u4").tolist() for p in pieces], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * with_ids)
 
     ddl = ", ".join(f"{x} bigint" for x in names) + ", ids array<bigint>" * with_ids
     return placed.mapInArrow(cut, ddl).withColumnRenamed("doc_id", id_col)
