@@ -10,12 +10,14 @@
    most buckets with others, then the smallest id and members drawn at random.
    So a bucket of m members has at most a constant times m candidate edges.
 4. Edges between different components are confirmed on the full sets; hubs are
-   dealt over as many tasks as their edges need.  Rounds with new random
-   centres go on until one confirms no new edge.
-5. Buckets that still hold several components are finished exactly: every pair
-   of members in different components is a candidate, unless the sizes of the
-   sets rule it out or it was tried before.  Large buckets are dealt in cells
-   of two slices of about ``SLICE`` members.
+   dealt over as many tasks as their edges need.  ``ROUNDS`` rounds join most of
+   what belongs together.
+5. What the stars have missed is found exactly: members in different components
+   of a bucket are compared in blocks inside tasks, two slices of about ``SLICE``
+   members at a time, by their sizes and by how many bands they share; pairs
+   that pass are confirmed on the full sets, again in blocks.  Only links leave
+   a block, each pair is looked at in its first common bucket, and members of a
+   large bucket's largest component are not compared with each other.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A text with fewer words
 than a shingle has its whole sequence as one; null texts and texts without
@@ -36,29 +38,27 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import HELD, MAX_TABLE_BITS, near, repeated
-from .store import partitions, written
+from .store import partitions, small_batches, written
+from .worker import Remembered, held
 
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Edges of one centre that one task confirms.
 STAR = 256
-#: Members in a slice of a large bucket.
-SLICE = 256
-REMEMBERED = 400_000
+#: Rounds of stars; members in a slice of a large bucket.
+ROUNDS, SLICE = 2, 256
+#: By the sketch's estimate two sets of at least ``BINS`` shingles share fewer bands about 3 times in 10^6 at a similarity of 0.80, 2 in 10^9 at 0.85.
+SHARED = 4
+#: Cells of a table of a block's members and shingles.
+TABLE = 1 << 25
+#: Half of the words whose hashes a worker remembers at most, and the longest.
+REMEMBERED, LONGEST = 150_000, 48
 
 
-class WordHashes(dict):
-    """Words to 64-bit hashes, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
+def word_hashes() -> Remembered:
+    """The worker's words and their 64-bit hashes."""
+    return held("word hashes", lambda: Remembered(xxhash.xxh3_64_intdigest, REMEMBERED, LONGEST))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     n = len(found)
     if not n:
         return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, n)
+    codes = np.fromiter(map(word_hashes().__getitem__, found), np.uint64, n)
     size = min(words, n)
     out = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
@@ -213,10 +213,11 @@ def shared_buckets(reps: DataFrame) -> DataFrame:
 def centres_of(placed: DataFrame, turn: int) -> DataFrame:
     """``bucket, centres, low, high``: a round's centres and the range of components, from ``placed(id, n, bucket, score, component)``.
 
-    Every bucket has draws of its own, so a pair has a new chance in each bucket that it shares.
+    All buckets draw alike, so that a member is centre of all its buckets and few edges differ;
+    what they miss is left to ``block_pairs``.
     """
     me = F.struct("id", "n", "component")
-    draw = lambda k: F.max(F.struct(F.xxhash64("id", "bucket", F.lit(f"{turn}.{k}")), me.alias("c"))).getField("c")
+    draw = lambda k: F.max(F.struct(F.xxhash64("id", F.lit(f"{turn}.{k}")), me.alias("c"))).getField("c")
     picks = [F.max(F.struct("score", (-F.col("id")).alias("i"), me.alias("c"))).getField("c")] if not turn else [F.min(me), draw(0), draw(1), draw(2)]
     return placed.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("centres"), F.min("component").alias("low"), F.max("component").alias("high"))
 
@@ -231,38 +232,123 @@ def untried(edges: DataFrame, seen: DataFrame) -> DataFrame:
     return pair(edges).join(pair(seen).select("x", "y"), ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("a", "b")
 
 
-def all_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """Edges ``a, b`` between all members of a bucket in different components whose set sizes allow the similarity."""
-    open_ = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = open_.filter("low < high").select("bucket", F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
-    own = placed.join(open_, "bucket").select("bucket", "id", "n", "component", "slices", F.pmod(F.xxhash64("id", "bucket"), F.col("slices")).cast("int").alias("slice"))
-    own = written(own, "open")
-    left = own.select("bucket", F.col("slice").alias("i"), F.explode(F.sequence("slice", F.col("slices") - 1)).alias("j"), F.struct("id", "n", "component").alias("l"))
-    right = own.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slice"))).alias("i"), F.col("slice").alias("j"), F.struct("id", "n", "component").alias("r"))
-    apart = (F.col("l.component") != F.col("r.component")) & ((F.col("i") < F.col("j")) | (F.col("l.id") < F.col("r.id")))
-    close = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
-    pairs = left.join(right, ["bucket", "i", "j"]).filter(apart & close)
-    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+def block_pairs(placed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Written rows ``bucket, i, j, a, b``: by block of a bucket the pairs ``a[k], b[k]`` of different components that may be similar enough."""
+    spark = placed.sparkSession
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    open_ = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top")).filter("components > 1")
+    # the largest component of a large bucket has slices of its own, behind those of the others
+    large = F.col("m") > SLICE
+    tops, rest = F.when(large, F.col("top.m")).otherwise(0), F.when(large, F.col("m") - F.col("top.m")).otherwise(F.col("m"))
+    open_ = open_.select("bucket", F.when(large, F.col("top.component")).alias("top"), F.ceil(tops / SLICE).cast("int").alias("tops"), F.ceil(rest / SLICE).cast("int").alias("rest"))
+    own = placed.join(written(open_, "open"), "bucket").withColumn("in_top", F.coalesce(F.col("component") == F.col("top"), F.lit(False)))
+    within = F.pmod(F.xxhash64("id", "bucket"), F.when(F.col("in_top"), F.col("tops")).otherwise(F.col("rest"))).cast("int")
+    own = own.withColumn("slice", F.when(F.col("in_top"), F.col("rest") + within).otherwise(within))
+    last = F.when(F.col("in_top"), F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1
+    own = own.join(reps.select("id", "bands"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    own = own.select("bucket", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "id", "n", "component", "bands")
+    own = own.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    ddl = "bucket bigint, i int, j int, a array<bigint>, b array<bigint>"
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, i, j), block in blocks(batches):
+            slices, ids, n, component = (block.column(x).to_numpy() for x in range(3, 7))
+            keys = block.column(7).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            left, right = np.flatnonzero(slices == i), np.flatnonzero(slices == j)
+            low, high = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
+            fit = (component[left][:, None] != component[right][None, :]) & (100 * low >= percent * high)
+            if i == j:
+                fit &= np.less.outer(left, right)
+            if not fit.any():
+                continue
+            shared, here = np.zeros(fit.shape, np.int16), np.flatnonzero((keys == bucket).all(axis=0))
+            for band in range(BANDS):
+                same = keys[left, band][:, None] == keys[right, band][None, :]
+                if len(here) and band < here[0]:
+                    fit &= ~same  # an earlier bucket has this pair
+                shared += same
+            fit &= shared >= np.where(low >= BINS, SHARED, 1)
+            x, y = np.nonzero(fit)
+            if len(x):
+                lists = [pa.array([ids[left[x]]], pa.list_(pa.int64())), pa.array([ids[right[y]]], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([i], pa.int32()), pa.array([j], pa.int32()), *lists], names=["bucket", "i", "j", "a", "b"])
+
+    return written(own.mapInArrow(pairs, ddl), "blocks")
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """Rows with equal first three columns, which follow each other, as one table; a block has at most a few hundred rows."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(x).to_numpy() for x in range(3)], axis=1)
+        heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        for a, z in zip(heads, np.append(heads[1:], batch.num_rows), strict=True):
+            own = tuple(keys[a].tolist())
+            if own != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = own
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def common_sizes(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common elements of the sets ``a[k]`` and ``b[k]``; ``a`` rises."""
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(sets) * len(values) > TABLE:
+        return np.array([len(sets[x]) + len(sets[y]) - len(np.union1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)], np.int64)
+    cuts = np.cumsum([0, *map(len, sets)])
+    table = np.zeros((len(sets), len(values)), bool)
+    table[np.repeat(np.arange(len(sets)), np.diff(cuts)), at] = True
+    heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    out = [table[np.ix_(b[p:q], at[cuts[a[p]] : cuts[a[p] + 1]])].sum(axis=1) for p, q in zip(heads, np.append(heads[1:], len(a)), strict=True)]
+    return np.concatenate(out)
+
+
+def confirmed_in_blocks(found: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of ``block_pairs`` whose full sets are similar enough, as ``a, b``."""
+    spark, key = found.sparkSession, ["bucket", "i", "j"]
+    members = found.select(*key, F.explode(F.array_distinct(F.concat("a", "b"))).alias("id")).join(texts, "id")
+    none = F.lit(None)
+    rows = members.select(*key, F.lit(0).alias("role"), "id", "text", none.cast("array<bigint>").alias("a"), none.cast("array<bigint>").alias("b"))
+    rows = rows.unionByName(found.select(*key, F.lit(1).alias("role"), none.cast("bigint").alias("id"), none.cast("string").alias("text"), "a", "b"))
+    rows = rows.repartition(partitions(spark), *key).sortWithinPartitions(*key, "role", "id")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in blocks(batches):
+            ids = block.column(4)[:-1].to_numpy()
+            sets = [shingles(t.as_py(), words) for t in block.column(5)[:-1]]
+            a, b = (np.searchsorted(ids, block.column(x)[-1].values.to_numpy()) for x in (6, 7))
+            by = np.argsort(a, kind="stable")
+            a, b = a[by], b[by]
+            sizes, common = np.array([len(x) for x in sets]), common_sizes(sets, a, b)
+            linked = 100 * common >= percent * (sizes[a] + sizes[b] - common)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[linked]]), pa.array(ids[b[linked]])], names=["a", "b"])
+
+    return rows.mapInArrow(confirm, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id``: one row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     drawn = sketches(docs, words, id_col, text_col)
     nodes = drawn.filter("id IS NOT NULL AND n > 0")
     # several rows of one id, or one set: the smallest id stands for all
     classes = written(nodes.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
     reps = nodes.join(classes.filter("last > rep").select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").filter("rep IS NULL OR id = rep")
-    shared = shared_buckets(written(reps.select("id", "n", "bands"), "representatives"))
+    reps = written(reps.select("id", "n", "bands"), "representatives")
+    shared = shared_buckets(reps)
     scores = shared.groupBy("id").agg(F.sum("members").alias("score"))
     shared = written(shared.join(scores, "id").select("id", "n", "bucket", "score"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
     texts = written(near(texts, written(scores.select("id"), "candidates"), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
 
-    links, seen, labels, turn = None, None, None, 0
-    while True:
-        placed = shared.withColumn("component", F.col("id"))
-        if labels is not None:
-            placed = placed_in(shared, labels)
+    links, seen, placed = None, None, shared.withColumn("component", F.col("id"))
+    for turn in range(ROUNDS):
         # buckets within one component have nothing left to find
         centres = written(centres_of(placed, turn).filter("low < high").select("bucket", "centres"), "centres")
         useful = F.filter("centres", lambda c: (c["component"] != F.col("component")) & (100 * F.least(F.col("n"), c["n"]) >= percent * F.greatest(F.col("n"), c["n"])))
@@ -273,15 +359,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         edges = written(edges, "candidates")
         seen = edges if seen is None else seen.unionByName(edges)
         new = written(confirmed(edges, texts, words, percent), "confirmed")
-        found = new.count()
-        links = new if links is None else links.unionByName(new)
-        if turn and not found:
+        if turn and not new.limit(1).count():
             break
+        links = new if links is None else links.unionByName(new)
         labels = components(links)
-        turn += 1
-    # the last round found nothing, so `placed` has the components of all links
-    edges = written(untried(all_pairs(placed, percent), seen), "last-candidates")
-    new = written(confirmed(edges, texts, words, percent), "last-confirmed")
+        placed = placed_in(shared, labels)
+    new = written(confirmed_in_blocks(block_pairs(placed, reps, percent), texts, words, percent), "last-confirmed")
     if new.limit(1).count():
         labels = components(links.unionByName(new))
     out = drawn.join(classes.filter("last > rep").select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
