@@ -14,7 +14,8 @@ document with a smaller id is removed.
    the table would exceed its bound, hash slices of the buckets are worked off
    one after the other.
 4. The distinct fragments of a bucket meet in one task, each with the smallest
-   id that has it.  Blocks of them are sorted into a suffix array, and
+   id that has it.  A bucket with one fragment needs no search, as all its strings
+   start first where the fragment does.  The others are sorted in blocks into a suffix array, and
    threshold-bounded interval expansion on the Burrows-Wheeler transform
    (breadth-first backward extension, which meets common prefixes by increasing
    length and stops at ``length``) leaves the runs of suffixes that share
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .near_dedup import mixed
 from .repeats import MAX_TABLE_BITS, BitTables, near, repeated
-from .store import partitions, written
+from .store import partitions, small_batches, written
 
 LENGTH, GRAM = 50, 20
 #: Strings of one fragment, bytes of a block of fragments, bytes of packed hashes in a counting task.
@@ -180,7 +181,7 @@ def first_ids(fragments: list[bytes], ids: np.ndarray, length: int = LENGTH) ->
     return owner[starts], found[starts]
 
 
-def runs_of(prints: np.ndarray, ids: np.ndarray, many: np.ndarray, owner: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+def runs_of(prints: list[bytes], ids: np.ndarray, many: np.ndarray, owner: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
     """Runs of equal ``found`` in each fragment, for fragments of several documents or with an earlier one."""
     heads = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
     earliest = np.minimum.reduceat(found, heads)
@@ -194,37 +195,32 @@ def runs_of(prints: np.ndarray, ids: np.ndarray, many: np.ndarray, owner: np.nda
     runs = pa.StructArray.from_arrays(fields, names=["first", "last", "least"])
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[cuts], minlength=len(ids))[wanted])])
     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), runs)
-    return pa.RecordBatch.from_arrays([pa.array(prints[wanted]), lists], names=["print", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array([prints[i] for i in np.flatnonzero(wanted)], pa.binary()), lists], names=["print", "runs"])
 
 
-def in_part(buckets: np.ndarray, part: int, parts: int) -> np.ndarray:
-    return (buckets >> np.uint64(8)) % np.uint64(parts) == part
-
-
-def shared_table(texts: DataFrame, length: int, bits: int, chunks: int, part: int, parts: int) -> BitTables:
+def shared_table(texts: DataFrame, length: int, bits: int, chunks: int) -> BitTables:
     """Bit tables of the buckets that at least two documents have."""
 
     def buckets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for text in batch.column(1):
-            own = np.unique(bucket_runs(text.as_py().encode("utf-8", "surrogatepass"), length)[0])
-            yield own[in_part(own, part, parts)] if parts > 1 else own
+            yield np.unique(bucket_runs(text.as_py().encode("utf-8", "surrogatepass"), length)[0])
 
     return repeated(texts, buckets_of, bits, chunks)
 
 
-def fragments_of(texts: DataFrame, length: int, table: BitTables, part: int, parts: int) -> DataFrame:
+def fragments_of(texts: DataFrame, length: int, table: BitTables) -> DataFrame:
     """Rows of two kinds: occurrences ``print, id, start``; distinct fragments of a task ``print, id, bucket, many, body``.
 
     ``id`` of a fragment is the smallest that the task has seen, ``many`` whether it saw another.
     """
     spread = texts.sparkSession.sparkContext.broadcast(table)  # at most MAX_TABLE_BITS bits
     names = ["print", "id", "start", "bucket", "many", "body"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = spread.value
         seen: dict[bytes, list] = {}
-        prints: list[int] = []
+        prints: list[bytes] = []
         ids: list[int] = []
         starts: list[int] = []
 
@@ -242,13 +238,11 @@ def fragments_of(texts: DataFrame, length: int, table: BitTables, part: int, par
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 buckets, first, last = bucket_runs(data, length)
                 keep = marks.marked(buckets)
-                if parts > 1:
-                    keep &= in_part(buckets, part, parts)
                 for b, a, z in zip(buckets[keep].astype(np.int64).tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                     body = data[a : z + length]
                     own = seen.get(body)
                     if own is None:
-                        own = seen[body] = [xxhash.xxh3_64_intdigest(body) - (1 << 63), doc, b, False]
+                        own = seen[body] = [xxhash.xxh3_128_digest(body), doc, b, False]
                     elif own[1] != doc:
                         own[1], own[3] = min(own[1], doc), True
                     prints.append(own[0])
@@ -265,7 +259,7 @@ def fragments_of(texts: DataFrame, length: int, table: BitTables, part: int, par
         if seen:
             yield bodies()
 
-    return texts.mapInArrow(cut, "print bigint, id bigint, start int, bucket bigint, many boolean, body binary")
+    return texts.mapInArrow(cut, "print binary, id bigint, start int, bucket bigint, many boolean, body binary")
 
 
 RUNS = "runs array<struct<first:int,last:int,least:bigint>>"
@@ -277,7 +271,7 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
     size = bodies.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     tasks = max(partitions(bodies.sparkSession), -(-size // (4 * BLOCK_BYTES)))
     most = HOT_BYTES
-    kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())])), pa.int64(), pa.bool_(), pa.binary()]
+    kinds = [pa.binary(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())])), pa.int64(), pa.bool_(), pa.binary()]
     names = ["print", "runs", "id", "many", "body"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,12 +279,28 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
         size, bucket = 0, None
         # of the bucket: fragments held before it and their bytes, and whether it goes on unsearched
         before, size_before, hot = 0, 0, False
+        single: list[tuple[bytes, int, bytes]] = []
+
+        def ended() -> None:
+            """Takes the only fragment of a bucket out of the search; nothing is found for one that one document has."""
+            nonlocal size
+            if len(held) == before + 1:
+                body, (p, doc, many) = held.popitem()
+                size -= len(body)
+                if many:
+                    single.append((p, doc, body))
 
         def block() -> pa.RecordBatch:
-            prints, ids, many = (np.array(x) for x in zip(*held.values(), strict=True))
-            prints, runs = runs_of(prints, ids, many, *first_ids(list(held), ids, length)).columns
+            prints, ids, many = zip(*held.values(), strict=True)
+            ids = np.array(ids)
+            prints, runs = runs_of(prints, ids, np.array(many), *first_ids(list(held), ids, length)).columns
             return pa.RecordBatch.from_arrays([prints, runs.cast(kinds[1]), *(pa.nulls(len(prints), k) for k in kinds[2:])], names=names)
 
+        def alone() -> pa.RecordBatch:
+            n = len(single)
+            runs = [[{"first": 0, "last": len(body) - length, "least": doc}] for _, doc, body in single]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, *_ in single], pa.binary()), pa.array(runs, kinds[1]), *(pa.nulls(n, k) for k in kinds[2:])], names=names)
+
         def unsearched(rows: list[tuple]) -> pa.RecordBatch:
             columns = zip(*((p, None, doc, many, body) for p, doc, many, body in rows), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -299,9 +309,13 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
             passed = []
             for p, doc, b, many, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if b != bucket:
+                    ended()
                     if size > BLOCK_BYTES:
                         yield block()
                         held, size = {}, 0
+                    if len(single) > FLUSH:
+                        yield alone()
+                        single = []
                     bucket, before, size_before, hot = b, len(held), size, False
                 if hot:
                     passed.append((p, doc, many, body))
@@ -320,11 +334,14 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
                     size = size_before
             if passed:
                 yield unsearched(passed)
+        ended()
         if held:
             yield block()
+        if single:
+            yield alone()
 
     rows = bodies.select("print", "id", "bucket", "many", "body").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    found = written(rows.mapInArrow(search, f"print bigint, {RUNS}, {HOT}"), "found")
+    found = written(rows.mapInArrow(search, f"print binary, {RUNS}, {HOT}"), "found")
     searched = found.filter("runs IS NOT NULL").select("print", "runs")
     hot = found.filter("runs IS NULL")
     if not hot.limit(1).count():
@@ -350,20 +367,14 @@ def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     bits = 1 << 16
     while bits < size // 3 and bits < MAX_TABLE_BITS:
         bits *= 2
-    parts = max(1, -(-size // (3 * MAX_TABLE_BITS)))
     chunks = 1
     while chunks < 16 or chunks * COUNT_BYTES < size:
         chunks *= 2
-    spans = None
-    for part in range(parts):
-        table = shared_table(texts, length, bits, chunks, part, parts)
-        rows = fragments_of(texts, length, table, part, parts)
-        path_rows = written(rows, "fragments", compression="zstd")
-        found = found_in(path_rows.filter("body IS NOT NULL"), length)
-        hits = path_rows.filter("body IS NULL").select("print", "id", "start").join(found, "print")
-        hits = hits.select("id", "start", F.explode("runs").alias("r")).filter(F.col("r.least") < F.col("id"))
-        own = hits.select("id", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last") + length).alias("end"))
-        spans = own if spans is None else spans.unionByName(own)
+    rows = written(fragments_of(texts, length, shared_table(texts, length, bits, chunks)), "fragments", compression="zstd")
+    found = found_in(rows.filter("body IS NOT NULL"), length)
+    hits = rows.filter("body IS NULL").select("print", "id", "start").join(found, "print")
+    hits = hits.select("id", "start", F.explode("runs").alias("r")).filter(F.col("r.least") < F.col("id"))
+    spans = hits.select("id", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last") + length).alias("end"))
     return written(spans.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "spans")
 
 
@@ -387,6 +398,7 @@ def kept_bytes(data: bytes, spans: list[list[int]]) -> bytes:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = False) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` (and the ``kept`` bytes): one row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     slim = written(rows.select("id", F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha")), "texts")

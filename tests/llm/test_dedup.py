@@ -75,17 +75,17 @@ def test_near_keeps_one_of_each_group(spark):
     assert {r["doc_id"] for r in kept} == {i for i, c in expected.items() if i == c}
 
 
-def test_near_draws_three_centres_for_each_bucket(spark):
+def test_near_draws_three_centres_and_the_smallest_id(spark):
     placed = spark.createDataFrame([(i, 10, b, 1, i) for b in range(30) for i in range(200)], "id long, n long, bucket long, score long, component long")
-    centres = [tuple(c["id"] for c in r["centres"]) for r in near_dedup.centres_of(placed, 1).collect()]
-    assert len({c[1:] for c in centres}) == 30
-    assert all(c[0] == 0 for c in centres) and max(map(len, centres)) == 4
-    assert sum(map(len, centres)) > 30 * 3.8
+    centres = {tuple(c["id"] for c in r["centres"]) for r in near_dedup.centres_of(placed, 1).collect()}
+    assert len(centres) == 1 and len(own := centres.pop()) == 4 and own[0] == 0
 
 
-def test_near_finds_links_inside_a_family_below_the_threshold(spark, monkeypatch):
+@pytest.mark.parametrize(("rounds", "part"), [(1, 16), (2, 48), (1, 256)])
+def test_near_finds_links_inside_a_family_below_the_threshold(spark, monkeypatch, rounds, part):
     # about 0.77 similar to each other, with single pairs of 0.85 and more
-    monkeypatch.setattr(near_dedup, "SLICE", 48)
+    monkeypatch.setattr(near_dedup, "SLICE", part)
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
     base = words(300, 4242, 10**6)
     texts = [edited(base, 5000 + s, 4) for s in range(160)]
     texts += [edited(texts[3 * i], 7000 + i, 2) for i in range(40)]
@@ -136,6 +136,14 @@ def test_substrings_of_one_large_bucket_are_dealt_again(spark, monkeypatch):
     assert held and held[0] > 30
 
 
+def test_substrings_when_every_bucket_is_marked(spark, monkeypatch):
+    full = lambda texts, length, bits, chunks: substring_dedup.BitTables(substring_dedup.np.full((1, 8), 255, "u1"))
+    monkeypatch.setattr(substring_dedup, "shared_table", full)
+    texts = corpus()
+    rows = substring_dedup.substring_dedup(table(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute_substrings(texts)
+
+
 def words_around(c):
     return f"{c * 30} middle {c * 30}"
 
@@ -145,3 +153,25 @@ def test_substrings_kept_bytes_and_edge_cases(spark):
     got = sorted((r["doc_id"] or 0, r["n_removed"], bytes(r["kept"])) for r in substring_dedup.substring_dedup(docs, with_kept=True).collect())
     assert got == [(0, 0, b"a" * 60), (1, 0, b"a" * 60), (2, 60, b"b"), (2, 60, b"b"), (3, 60, b"")]
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
+
+
+def test_exact_filter_finds_each_repeat_and_few_others(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 19000 AS string) AS text")
+    digests = docs.select(exact_dedup.text_digest(F.col("text")).alias("h"), (F.col("doc_id") % 19000 < 1000).alias("repeated"))
+    bits = exact_dedup.filter_bits_for(20_000)
+    marked = exact_dedup.probe(digests, "h", exact_dedup.repeat_filter(digests, "h", bits), bits)
+    found = {(r["repeated"], r["maybe_repeated"]): r["count"] for r in marked.groupBy("repeated", "maybe_repeated").count().collect()}
+    assert found[True, True] == 2000 and (True, False) not in found and found[False, True] < 0.05 * 18_000
+
+
+def test_clashing_columns(spark):
+    docs = table(spark, ["a", "A", None, "", "b"])
+    odd = docs.withColumns({c: F.lit(7) for c in ("maybe_repeated", "row_part", "filter_bits", "kept", "id", "row", "component_id", "found", "long")})
+    kept = exact_dedup.keep_one(odd)
+    assert kept.columns == odd.columns and {(r["doc_id"], r["kept"], r["row"]) for r in kept.collect()} == {(1, 7, 7), (3, 7, 7), (4, 7, 7)}
+    with pytest.raises(ValueError, match="maybe_repeated"):
+        exact_dedup.exact_dedup(docs.withColumn("maybe_repeated", F.lit(1)))
+    kept = near_dedup.keep_one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == 4
+    assert set(near_dedup.near_groups(odd).columns) == {"doc_id", "n_shingles", "component_id"}
+    assert substring_dedup.substring_dedup(odd).count() == 5
