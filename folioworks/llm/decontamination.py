@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import mixed, word_hashes
-from .store import partitions, written
+from .store import partitions, small_batches, written
 from .worker import release
 
 WINDOW = 10
@@ -301,17 +301,25 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array_except(F.array(empty), F.array(empty)), step)
 
 
+def few_items(items: DataFrame) -> list[tuple[str, list[bytes]]] | None:
+    """The items if they have at most ``BLOCK_BYTES``, so that they may pass through the driver."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return [(r["id"], words_of(r["text"])) for r in items.filter("text <> ''").collect()] if size <= BLOCK_BYTES else None
+
+
+def named_items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, out_col: str = "found") -> DataFrame:
     """``docs`` with a column ``found``: ``n_words``, merged hit ``spans`` of word numbers, sorted ``items``."""
     if out_col in docs.columns:
         raise ValueError(f"column {out_col} is already there")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size <= BLOCK_BYTES:
-        # so few bytes may pass through the driver
-        own = [(r["id"], words_of(r["text"])) for r in items.filter("text <> ''").collect()]
-        return docs.withColumn(out_col, _finder(own, window)(text))
+    items = named_items(benchmark, item_col, item_text)
+    if (few := few_items(items)) is not None:
+        return docs.withColumn(out_col, _finder(few, window)(text))
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"]
     items = written(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(-(-size // BLOCK_BYTES)))), "items")
     windows = item_windows(items, window)
     key = F.sha2(text, 256)
@@ -346,13 +354,50 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     A document of which more than ``max_coverage`` of the words are hit is
     removed.  Documents without hits keep their rows as they are.
     """
+    small_batches(docs.sparkSession)
+    # the row travels as one column, so that its names cannot clash
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+    if (few := few_items(named_items(benchmark, "item_id", "text"))) is not None:
+        rows = rows.withColumn("clean", _cleaner(few, window, min_words, max_coverage)(F.coalesce("text", F.lit(""))))
+        rows = rows.filter("clean.kept").withColumn("cleaned", F.coalesce("clean.text", "text"))
+    else:
+        rows = _cleaned(rows, benchmark, min_words, max_coverage, window)
+    return rows.select(*(F.col("cleaned").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _cleaner(items: list[tuple[str, list[bytes]]], window: int, min_words: int, max_coverage: float):
+    """Finds and cuts in one function, so that a task needs one Python worker: ``kept``, and the ``text`` if it changed."""
+
+    @F.arrow_udf("struct<kept:boolean,text:string>")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
+        automaton = ItemAutomaton(items, window)
+        wide = ItemAutomaton(items, min_words) if min_words > window else None
+        for texts in batches:
+            kept, out = [], []
+            for x in texts:
+                text = x.as_py()
+                words = words_of(text)
+                spans, _ = automaton.find(words)
+                kept.append(sum(b - a + 1 for a, b in spans) <= max_coverage * len(words))
+                if spans and wide:
+                    whole, _ = wide.find(words)
+                    spans = [(a, b) for a, b in spans if b - a + 1 >= min_words or any(a <= c and d <= b for c, d in whole)]
+                out.append(cut_spans(text, spans) if spans and kept[-1] else None)
+            yield pa.StructArray.from_arrays([pa.array(kept, pa.bool_()), pa.array(out, pa.string())], names=["kept", "text"])
+
+    return clean
+
+
+def _cleaned(rows: DataFrame, benchmark: DataFrame, min_words: int, max_coverage: float, window: int) -> DataFrame:
+    """The kept ``rows(text, row)`` with ``cleaned``, by items in blocks."""
+
     @F.arrow_udf("string")
     def cut(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), firsts.to_pylist(), lasts.to_pylist(), strict=True)
-        return pa.array([text if not a else cut_spans(text, list(zip(a, b, strict=True))) for text, a, b in rows], pa.string())
+        parts = zip(texts.to_pylist(), firsts.to_pylist(), lasts.to_pylist(), strict=True)
+        return pa.array([text if not a else cut_spans(text, list(zip(a, b, strict=True))) for text, a, b in parts], pa.string())
 
-    # the row travels as one column, so that its names cannot clash
-    out = find_items(docs.select(F.col(text_col).alias("text"), F.struct("*").alias("row")), benchmark, window=window)
+    out = find_items(rows, benchmark, window=window)
     if min_words <= window:  # a shorter span can only be of whole items that are as short
         long = F.col("found")["spans"]
     else:
@@ -361,5 +406,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         holds = lambda x: F.exists(F.col("whole")["spans"], lambda y: (x["first"] <= y["first"]) & (y["last"] <= x["last"]))
         long = F.filter(F.col("found")["spans"], lambda x: (x["last"] - x["first"] + 1 >= min_words) | holds(x))
     kept = out.filter(hit_words(F.col("found")) <= F.lit(max_coverage) * F.col("found")["n_words"]).withColumn("long", long)
-    cleaned = F.when(F.size("long") > 0, cut(F.col("text"), F.transform("long", lambda x: x["first"]), F.transform("long", lambda x: x["last"]))).otherwise(F.col("text"))
-    return kept.select(*(cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return kept.withColumn("cleaned", F.when(F.size("long") > 0, cut("text", F.transform("long", lambda x: x["first"]), F.transform("long", lambda x: x["last"]))).otherwise(F.col("text")))

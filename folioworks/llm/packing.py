@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .tokens import batches_by_bytes, encoder, tokenizer_kind
 
 WINDOW, GRANULE, MAX_QUEUES = 2048, 128, 4096
@@ -164,6 +164,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
     """One row a piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``)."""
     if window % granule:
         raise ValueError("window must be a multiple of granule")
+    small_batches(docs.sparkSession)
     ids = encoded(docs, tokenizer_path, end_id, id_col, text_col, source_col, max_queues)
     table, rows, tokens = bases(ids)
     queues = Queues(tokens, granule, window)

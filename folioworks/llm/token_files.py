@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import new_path, partitions
+from .store import new_path, partitions, small_batches
 from .tokens import batches_by_bytes, encoder, tokenizer_kind
 
 RANK_BITS = 512
@@ -92,6 +92,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     rows stay side by side, an empty table writes no segments.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or new_path(spark, "token-files")
     kind = tokenizer_kind(tokenizer_path)
 

@@ -30,7 +30,7 @@ OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　
 SPACED = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 CAREFUL = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])")
 #: Half of the pieces that a worker remembers at most (about 200 bytes each), and the longest it remembers.
-REMEMBERED, LONGEST = 350_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 # The words that the two kinds of tokenizers split texts into, and the characters that stand for bytes.
 SPACED_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BARE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

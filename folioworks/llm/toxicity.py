@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import partitions, written
+from .store import partitions, small_batches, written
 from .worker import release
 
 MAX_EXAMPLES, BLOCK, NEAREST = 6000, 64, 15
@@ -263,6 +263,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, k: int = NEAREST) -> Model:
     """The model of at most ``max_examples`` labelled rows outside the held-out third."""
     spark = docs.sparkSession
+    small_batches(spark)
     usable = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).agg(F.avg(F.col(label_col).cast("double")).alias("p")).first()["p"]
     prior = usable if usable is not None else 0.0
     examples = examples_of(docs, labels, id_col, text_col, label_col, max_examples)

@@ -152,8 +152,10 @@ def test_cleaned_texts(spark):
     assert decontamination.decontaminate(docs, none).count() == 4
 
 
+@pytest.mark.parametrize("block", [1 << 20, 100])
 @pytest.mark.parametrize("least", [10, 25])
-def test_short_items_are_cut_too(spark, least):
+def test_short_items_are_cut_too(spark, monkeypatch, least, block):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
     short, long = "alpha beta gamma delta", " ".join(f"item{i}" for i in range(30))
     part = " ".join(f"item{i}" for i in range(12))
     rest = words(60, 12)
