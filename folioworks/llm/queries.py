@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .exact_dedup import LOWER, UPPER, exact_decisions
 from .html_text import extract_text
 from .near_dedup import near_groups
 from .packing import pack
+from .periodic_runs import find_runs
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
@@ -90,6 +92,33 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One text in ten gets a periodic end, by a hash of its id."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n or doc_id is None:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(table(spark, sf_dir, "documents"), edit=made_periodic)
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("shortness"))))
+    out = found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.shortness")).alias("period"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return out.withColumn("exponent_milli", F.floor(1000 * F.col("length") / F.col("period")).cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -101,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
     "op3_sharding": op3_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
