@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import find_items, hit_words
 from .exact_dedup import LOWER, UPPER, exact_decisions
+from .hard_negatives import hard_negatives
 from .html_text import extract_text
 from .near_dedup import near_groups
 from .packing import pack
@@ -119,6 +120,12 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("exponent_milli", F.floor(1000 * F.col("length") / F.col("period")).cast("long"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), is_anchor=F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -131,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op3_sharding": op3_sharding,
     "op13_periodic_runs": op13_periodic_runs,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -165,6 +173,16 @@ ORACLES: dict[str, str] = {
         comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
         SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
         FROM sets d LEFT JOIN forms f ON d.s = f.s LEFT JOIN comp c ON c.a = f.rep""",
+    # all anchors against all rows
+    "op11_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
     "op10_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS h FROM documents),
         g AS (SELECT h, max(doc_id) AS k, count(*) AS n FROM d GROUP BY h)
