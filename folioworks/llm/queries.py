@@ -12,6 +12,7 @@ from .decontamination import find_items, hit_words
 from .exact_dedup import LOWER, UPPER, exact_decisions
 from .hard_negatives import hard_negatives
 from .html_text import extract_text
+from .lm_scoring import score_texts
 from .near_dedup import near_groups
 from .packing import pack
 from .periodic_runs import find_runs
@@ -120,6 +121,12 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("exponent_milli", F.floor(1000 * F.col("length") / F.col("period")).cast("long"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out_here = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = score_texts(table(spark, sf_dir, "documents"), learns=~held_out_here)
+    return scored.select("doc_id", held_out_here.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -139,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op13_periodic_runs": op13_periodic_runs,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lm_scores": op12_lm_scores,
 }
 
 WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
