@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import expand_terms, snippet
-from ..functions.vectors import rrf_term, similarity
-
-#: Queries that are broadcast together.
-MAX_QUERIES = 1000
+from ..functions.vectors import rrf_term
+from ..sources.work import work_path
+from .vector_index import build_index, search_index
 
 
 def ranked(rows: DataFrame, k: int, rank: str = "rank", decimals: int = 6) -> DataFrame:
@@ -18,33 +17,18 @@ def ranked(rows: DataFrame, k: int, rank: str = "rank", decimals: int = 6) -> Da
     return rows.withColumn("score", F.round("score", decimals)).withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def vector_leg(points: DataFrame, queries: DataFrame, k: int, distance: str = "cosine", threshold: float | None = None) -> DataFrame:
-    """``query_id, point_id, score, rank`` of the k nearest of ``points(point_id, vector)``.
+def best_of(leg: str, found: DataFrame, k: int) -> DataFrame:
+    return ranked(found.filter(F.col("leg") == leg).select("query_id", "point_id", "score"), k)
 
-    All queries against all points: up to ``MAX_QUERIES`` queries are broadcast
-    together; more go in batches by a hash of their id, of half as many on average.
-    """
-    own = queries.select("query_id", F.col("vector").alias("qv"))
-    n = own.count()
-    batches = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)
-    out = None
-    for b in range(batches):
-        batch = own if batches == 1 else own.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b)
-        scored = points.select("point_id", "vector").crossJoin(F.broadcast(batch)).select("query_id", "point_id", similarity(distance, F.col("vector"), F.col("qv")).alias("score"))
-        if threshold is not None:
-            scored = scored.filter(F.col("score") >= threshold)
-        best = ranked(scored, k)
-        out = best if out is None else out.unionByName(best)
-    return out
+
+def vector_leg(points: DataFrame, queries: DataFrame, k: int, distance: str = "cosine", threshold: float | None = None) -> DataFrame:
+    """``query_id, point_id, score, rank`` of the k nearest of ``points(point_id, vector)``, as if all pairs were compared."""
+    return best_of("vector", search_index(build_index(points.select("point_id", "vector"), distance), queries, k, threshold), k)
 
 
 def keyword_leg(points: DataFrame, queries: DataFrame, k: int, distance: str = "cosine") -> DataFrame:
-    """The k nearest points that have one of the query's terms: an inverted join of ids on terms, then exact scores."""
-    asked = queries.select("query_id", F.explode("terms").alias("term"))
-    posted = points.select("point_id", F.explode("terms").alias("term"))
-    found = posted.join(asked, "term").select("query_id", "point_id").distinct()
-    found = found.join(points.select("point_id", "vector"), "point_id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
-    return ranked(found.select("query_id", "point_id", similarity(distance, F.col("vector"), F.col("qv")).alias("score")), k)
+    """The k nearest points that have one of the query's terms."""
+    return best_of("keyword", search_index(build_index(points.select("point_id", "vector", "terms"), distance), queries, k, legs=("keyword",)), k)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
@@ -59,10 +43,16 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid(points: DataFrame, queries: DataFrame, k: int, distance: str = "cosine", threshold: float | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """Both legs within the allowed contents, fused; a query without terms has its vector leg alone."""
+    """Both legs within the allowed contents, searched in one pass and fused; a query without terms has its vector leg alone."""
+    own = points.select("point_id", "vector", "terms")
     if allowed is not None:
-        points = points.join(allowed.select("content_id").distinct(), "content_id", "left_semi")
-    return fuse(vector_leg(points, queries, k, distance, threshold), keyword_leg(points, queries.filter(F.size("terms") > 0), k, distance), k)
+        marked = allowed.select("content_id", F.lit(True).alias("allowed")).distinct()
+        own = points.select("point_id", "content_id", "vector", "terms").join(marked, "content_id", "left").select("point_id", "vector", "terms", "allowed")
+    found = search_index(build_index(own, distance), queries, k, threshold, legs=("vector", "keyword"))
+    path = work_path(points.sparkSession, "hits")
+    found.write.parquet(path)
+    found = points.sparkSession.read.schema(found.schema).parquet(path)
+    return fuse(best_of("vector", found, k), best_of("keyword", found, k), k)
 
 
 def query_terms(text: Column) -> Column:
@@ -82,22 +72,29 @@ def allowed_contents(entries: DataFrame, locations: list[str] | None = None, ext
 
 
 def resolved_paths(entries: DataFrame) -> DataFrame:
-    """``content_id, paths``: every entry of a content by time and id, the first one primary; missing ones too."""
-    row = F.struct("created_at", "entry_id", "location_id", "display_path", "state")
-    paths = F.array_sort(F.collect_list(row))
-    out = entries.groupBy("content_id").agg(paths.alias("p"))
-    named = F.transform("p", lambda x, i: F.struct(x["entry_id"].alias("entry_id"), x["location_id"].alias("location_id"), x["display_path"].alias("display_path"), x["state"].alias("state"), (i == 0).alias("is_primary")))
-    return out.select("content_id", named.alias("paths"))
+    """``content_id, primary, n_paths``: a content's first entry by time and id, and how many it has; missing ones too.
+
+    The primary path is an aggregate, so a content of very many entries is one small
+    row; ``path_rows`` lists them all.
+    """
+    first = F.min(F.struct("created_at", "entry_id", "location_id", "display_path", "state"))
+    return entries.groupBy("content_id").agg(first.alias("primary"), F.count(F.lit(1)).alias("n_paths"))
+
+
+def path_rows(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """``content_id, entry_id, location_id, display_path, state, is_primary``: a row for every path of the contents hit."""
+    own = entries.join(hits.select("content_id").distinct(), "content_id", "left_semi")
+    first = resolved_paths(own).select("content_id", F.col("primary.entry_id").alias("first_id"))
+    return own.join(first, "content_id").select("content_id", "entry_id", "location_id", "display_path", "state", (F.col("entry_id") == F.col("first_id")).alias("is_primary"))
 
 
-def availability(paths: Column) -> Column:
-    """``current``, ``missing`` or ``historical`` by the primary path."""
-    state = F.try_element_at(paths, F.lit(1))["state"]
+def availability(state: Column) -> Column:
+    """``current``, ``missing`` or ``historical`` by the primary path's state."""
     return F.when(state == "indexed", "current").when(state == "missing", "missing").otherwise("historical")
 
 
 def search(points: DataFrame, queries: DataFrame, entries: DataFrame, k: int, allowed: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
-    """Hits with text, snippet, resolved paths and availability."""
+    """Hits with text, snippet, primary path, number of paths and availability."""
     hits = hybrid(points, queries, k, threshold=threshold, allowed=allowed)
     out = hits.join(points.select("point_id", "content_id", "text"), "point_id").join(resolved_paths(entries), "content_id", "left")
-    return out.withColumns({"snippet": snippet(F.col("text")), "availability": availability(F.col("paths"))})
+    return out.withColumns({"snippet": snippet(F.col("text")), "availability": availability(F.col("primary.state"))})

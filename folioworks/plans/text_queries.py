@@ -218,13 +218,13 @@ def entries(cat: DataFrame) -> DataFrame:
 
 
 query("j11_w1_p20_resolved_paths", "catalog", more=FIRST, sql=f"SELECT content_id, primary_id, n, {LABEL} FROM first")(
-    lambda t: search.resolved_paths(entries(t)).select("content_id", T("paths")[0]["entry_id"].alias("primary_id"), F.size("paths").cast("long").alias("n"), search.availability(T("paths")).alias("availability"))
+    lambda t: search.resolved_paths(entries(t)).select("content_id", T("primary.entry_id").alias("primary_id"), T("n_paths").alias("n"), search.availability(T("primary.state")).alias("availability"))
 )
 query(
     "r4c_full_search", "points", "queries", "catalog", more=SCORED + ", " + FIRST,
     sql=f"SELECT query_id, point_id, score, rank, primary_id, {LABEL}, CASE WHEN length(trim(text)) <= 320 THEN trim(text) ELSE regexp_replace(substr(trim(text), 1, 320), ' [^ ]*$', '') || '…' END AS snippet FROM h JOIN points USING (point_id) LEFT JOIN first USING (content_id)",
 )(
-    lambda p, q, cat: search.search(*prepared(p, q), entries(cat), 12, threshold=0.05).select("query_id", "point_id", "score", T("rank").cast("long").alias("rank"), T("paths")[0]["entry_id"].alias("primary_id"), "availability", "snippet")
+    lambda p, q, cat: search.search(*prepared(p, q), entries(cat), 12, threshold=0.05).select("query_id", "point_id", "score", T("rank").cast("long").alias("rank"), T("primary.entry_id").alias("primary_id"), "availability", "snippet")
 )
 
 # evidence, prompts, citations, policies, chats
