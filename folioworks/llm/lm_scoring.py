@@ -333,7 +333,7 @@ def answered(asked: DataFrame, total: int) -> DataFrame:
     return written(dealt.mapInArrow(share_answers, ANSWERS), "lm-answers", "none")
 
 
-def score_texts(docs: DataFrame, learns: Column, order: int = 2, prior: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, learns: Column, order: int = 2, prior: float = 500.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, n_known, train_tokens, base_score, score`` of every row; the rows where ``learns`` holds train the model.
 
     ``base_score`` adds up ``log10((c + 1) / (N + V + 1))``, ``score`` the logarithms of

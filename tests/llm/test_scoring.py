@@ -23,7 +23,7 @@ def tokens_of(text):
 class Plain:
     """The same model from n-grams in a dictionary; ``""`` starts a text, None ends it."""
 
-    def __init__(self, texts, order=2, prior=20.0):
+    def __init__(self, texts, order=2, prior=500.0):
         self.order, self.prior, self.counts = order, prior, Counter()
         for text in texts:
             own = ["", *tokens_of(text)]
