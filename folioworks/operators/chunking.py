@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import sha256
 from ..functions.text import tokens
+from ..sources.files import decoded
 
 
 def text_sections(docs: DataFrame, ident: str, text: str = "text") -> DataFrame:
@@ -39,14 +40,15 @@ def csv_sections(rows: DataFrame, ident: str, order: str, cells: str = "cells",
     return out.select(ident, F.coalesce("index", F.lit(0)).alias("index"), section.alias("section"))
 
 
-def extraction_status(ext: Column, content: Column) -> Column:
-    """``ok`` or why a file gives no text; never an error of the job."""
+def extraction_status(ext: Column, content: Column, text: Column | None = None) -> Column:
+    """``ok`` or why a file's bytes give no text (``text``, where it is decoded already); never an error of the job."""
     known = ext.isin("txt", "md", "csv")
+    text = decoded(F.when(known, content.cast("binary"))) if text is None else text
     return (
         F.when(~known, "unsupported_type")
         .when(content.isNull() | (F.length(content) == 0), "empty_file")
-        .when(~F.is_valid_utf8(content), "unsupported_encoding")
-        .when(F.trim(F.regexp_replace(content, r"\s+", " ")) == "", "no_extractable_text")
+        .when(text.isNull(), "unsupported_encoding")
+        .when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", "no_extractable_text")
         .otherwise("ok")
     )
 

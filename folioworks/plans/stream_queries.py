@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions.ids import CHUNK_NAMESPACE, POINT_NAMESPACE, sha256
+from ..operators.chunking import extraction_status
 from ..operators.indexing import index_documents, index_files
 from ..operators.reports import duplicate_groups
 from ..sources.files import decoded, hashed_files, list_files, load_pages, store_artifacts
@@ -89,6 +92,63 @@ query("s14_decoded_text", "docs", sql="SELECT doc_id, length(text) AS chars, sha
 )
 
 
+#: Letters that stand for a text's own in other scripts, by charset.
+LETTERS = "abcdefghijklmnopqrstuvwxyzéèçêóñíäöüß"
+SCRIPTS = {
+    "cyrillic": "адмдеглвийклсноккрстувшхыземжпуьёябцч",
+    "greek": "αβγδεφγηιθκλμνοπψρστυωχξζάέήίόύώϊϋηθι",
+    "kana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめも",
+    "polish": "abćdefgłijklmnopąrstuvłxyżęąćłóńśźżłś",
+}
+CHARSETS = {
+    "utf-8": None, "utf-16-le": None, "utf-16-be": None, "cp1252": None, "iso8859_2": "polish", "cp1251": "cyrillic", "koi8_r": "cyrillic",
+    "shift_jis": "kana", "iso8859_7": "greek", "euc_jp": "kana",
+}
+
+
+def written_in(script: str | None) -> str:
+    """A text in another script, as SQL of both engines."""
+    return f"translate(lower(text), '{LETTERS}', '{SCRIPTS[script]}')" if script else "text"
+
+
+@F.arrow_udf(BinaryType())
+def encoded(texts: pa.Array, charsets: pa.Array) -> pa.Array:
+    """Bytes in a charset; in UTF-8 where the text does not fit it, or has fewer than 8 letters that could tell it."""
+
+    def one(text: str, charset: str) -> bytes:
+        if not charset.startswith("utf") and sum(c > "\x7f" for c in text) < 8:
+            return text.encode()
+        try:
+            return text.encode(charset)
+        except UnicodeEncodeError:
+            return text.encode()
+
+    return pa.array([one(t, c) for t, c in zip(texts.to_pylist(), charsets.to_pylist(), strict=True)], pa.binary())
+
+
+def in_ten_charsets(docs: DataFrame) -> DataFrame:
+    """All documents as bytes in ten charsets by turns, as text again."""
+    turn = F.pmod(F.col("doc_id"), F.lit(len(CHARSETS))).cast("int")
+    text, charset = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, script) in enumerate(CHARSETS.items()):
+        text, charset = F.when(turn == i, F.expr(written_in(script))).otherwise(text), F.when(turn == i, name).otherwise(charset)
+    content = docs.select("doc_id", encoded(text, charset).alias("content"))
+    # files have bytes: what is decoded is read from a table of them
+    path = work_path(docs.sparkSession, "encoded")
+    content.write.parquet(path)
+    back = docs.sparkSession.read.parquet(path)
+    read = back.select("doc_id", "content", decoded(F.col("content")).alias("t"))
+    return read.select("doc_id", F.length("t").cast("long").alias("chars"), sha256(F.col("t")).alias("text_sha256"), extraction_status(F.lit("txt"), F.col("content"), F.col("t")).alias("status"))
+
+
+query(
+    "s13_s14_ten_charsets", "docs",
+    sql="SELECT doc_id, length(t) AS chars, sha256(t) AS text_sha256, CASE WHEN t = '' THEN 'empty_file' WHEN trim(regexp_replace(t, '\\s+', ' ', 'g')) = '' THEN 'no_extractable_text' ELSE 'ok' END AS status FROM (SELECT doc_id, CASE doc_id % 10 "
+    + " ".join(f"WHEN {i} THEN {written_in(s)}" for i, s in enumerate(CHARSETS.values()))
+    + " END AS t FROM docs) x",
+)(in_ten_charsets)
+
+
 def artifact_pages(docs: DataFrame) -> DataFrame:
     """Artifacts of all documents stored, then stored again in vain, then read back to pages."""
     path = work_path(docs.sparkSession, "artifacts")

@@ -10,10 +10,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.ids import sha256
 from ..functions.paths import extension, file_name, in_excluded_dir, is_included, matches_glob
+from .charsets import decoded_with_charset
 
 
 def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), excludes: list[str] | None = None, any_extension: bool = False) -> DataFrame:
@@ -37,27 +37,9 @@ def hashed_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", sha256(F.col("content")).alias("sha256"))
 
 
-@F.pandas_udf(StringType())
-def _guessed(content: pd.Series) -> pd.Series:
-    def one(data: bytes | None) -> str | None:
-        if data is None:
-            return None
-        marks = {b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
-        for name in (marks.get(data[:2]), "utf-8", "cp1252", "latin-1"):
-            if name:
-                try:
-                    return data.decode(name)
-                except UnicodeDecodeError:
-                    continue
-        return None
-
-    return content.map(one)
-
-
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8 stays in the JVM, other charsets are guessed; a byte-order mark goes."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(_guessed(content))
-    return F.regexp_replace(text, "^﻿", "")
+    """Bytes as text in the charset they seem to be written in; a byte-order mark goes; null where no charset fits."""
+    return decoded_with_charset(content)["text"]
 
 
 def extract(files: DataFrame, extractor: Callable[[], Callable[[str, bytes], list[tuple[int | None, str]]]]) -> DataFrame:

@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
+from folioworks.operators.chunking import extraction_status
 from folioworks.operators.indexing import index_documents
-from folioworks.sources import files
+from folioworks.sources import charsets, files
 from folioworks.streaming.jobs import ingest
 
 
@@ -20,6 +22,33 @@ def test_listing_and_decoding(spark, tmp_path):
     assert text == "é"
 
 
+RUSSIAN = "Съешь же ещё этих мягких французских булок, да выпей чаю. В чащах юга жил бы цитрус."
+POLISH = "Zażółć gęślą jaźń. Pójdźże, kiń tę chmurność w głąb flaszy; mężny bądź, chroń pułk twój i sześć flag."
+JAPANESE = "いろはにほへと ちりぬるを。日本語の文章はひらがなとカタカナと漢字で書かれています。"
+GREEK = "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία, και το κείμενο αυτό είναι γραμμένο στα ελληνικά."
+FRENCH = "Dès Noël, où un zéphyr haï me vêt de glaçons würmiens, je dîne d'exquis rôtis de bœuf au kir."
+CHINESE = "中文的文章用汉字写成,他们在这里说的是我们的国家和人民的生活。"
+KOREAN = "모든 국민은 법 앞에 평등하며 한국어 문장은 한글로 쓰여 있습니다."
+
+
+@pytest.mark.parametrize(
+    ("text", "charset"),
+    [
+        (RUSSIAN, "cp1251"), (RUSSIAN, "koi8_r"), (RUSSIAN, "iso8859_5"), (RUSSIAN, "cp866"), (RUSSIAN, "utf-16-le"), (RUSSIAN.upper(), "cp1251"), (RUSSIAN.upper(), "koi8_r"),
+        (POLISH, "iso8859_2"), (POLISH, "cp1250"), (POLISH, "utf-16-be"), (JAPANESE, "shift_jis"), (JAPANESE, "euc_jp"), (JAPANESE, "utf-16-le"), (GREEK, "iso8859_7"), (GREEK, "cp1253"),
+        (FRENCH, "cp1252"), (FRENCH, "iso8859_15"), (FRENCH, "utf-32"), (CHINESE, "gb18030"), (KOREAN, "euc_kr"), ("plain text", "utf-16-le"), ("plain text", "ascii"), ("It’s “quoted” – so", "cp1252"), ("20 °C, £5", "cp1252"),
+    ],
+)
+def test_charsets(text, charset):
+    assert charsets.detect(text.encode(charset))[0] == text
+
+
+def test_what_is_no_text(spark):
+    rows = [("txt", b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR\x00\x01"), ("txt", bytes(range(256)) * 3), ("md", b""), ("csv", " \n ".encode("utf-16")), ("txt", RUSSIAN.encode("koi8_r")), ("exe", b"\xff"), ("txt", None)]
+    df = spark.createDataFrame(rows, "ext string, content binary")
+    assert [r[0] for r in df.select(extraction_status(F.col("ext"), F.col("content"))).collect()] == ["unsupported_encoding", "unsupported_encoding", "empty_file", "no_extractable_text", "ok", "unsupported_type", "empty_file"]
+
+
 def test_extract_isolates_failures(spark):
     df = spark.createDataFrame([("a", b"x\n\ny"), ("b", b"!")], "path string, content binary")
 
