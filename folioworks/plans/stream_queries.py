@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from ..operators.chunking import extraction_status
 from ..operators.indexing import index_documents, index_files
 from ..operators.reports import duplicate_groups
 from ..sources.files import decoded, hashed_files, list_files, load_pages, store_artifacts
+from ..sources.listing import READ, hash_files, list_tree, local_path
 from ..sources.work import rebuild, work_path
 from ..streaming.jobs import ingest, silent_keys, status_counts
 from .catalog_queries import GROUPS
@@ -62,8 +66,63 @@ QUERIES["s1_corpus_listing"] = lambda spark, sf_dir: list_files(spark, sf_dir, a
 QUERIES["s5_file_hashes"] = lambda spark, sf_dir: hashed_files(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "sha256")
 
 
+def written_files(docs: DataFrame) -> str:
+    """All documents as files of one tree, with hidden names, excluded folders, drafts and links; the tree's path."""
+    root = work_path(docs.sparkSession, "tree")
+    place = local_path(root)
+    name = F.expr("concat(element_at(array('_f', '.f', 'f', 'f.'), CAST(doc_id % 4 AS INT) + 1), doc_id, '.', element_at(array('txt', 'MD', 'csv', 'log'), CAST(k % 4 AS INT) + 1))")
+    folder = F.expr("concat(location_id, element_at(array('/', '/.d/', '/_e/deep/er/', '/Node_Modules/', '/drafts/'), CAST(doc_id % 5 AS INT) + 1))")
+
+    @F.arrow_udf("long")
+    def write(paths: pa.Array, texts: pa.Array, ids: pa.Array) -> pa.Array:
+        for path, text, i in zip(paths.to_pylist(), texts.to_pylist(), ids.to_pylist(), strict=True):
+            full = f"{place}/{path}"
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "wb") as f:
+                f.write(text.encode())
+            os.utime(full, (1735689600 + i * 60,) * 2)
+            if i % 13 == 0:  # a task that runs again finds its links
+                with contextlib.suppress(FileExistsError):
+                    os.symlink(full, f"{full[:-4]}-link.txt")
+                with contextlib.suppress(FileExistsError):
+                    os.symlink(os.path.dirname(full), f"{place}/link-{i}")
+        return pa.array([1] * len(paths), pa.int64())
+
+    docs.select(write(F.concat(folder, name), F.col("text"), F.col("doc_id")).alias("n")).agg(F.sum("n")).collect()
+    return root
+
+
+def walked_tree(docs: DataFrame) -> DataFrame:
+    """Path, size, time and hash of the documents' files that the rules let through."""
+    listed = list_files(docs.sparkSession, written_files(docs), ("txt", "md", "csv"), excludes=["*/drafts", "src7/*"])
+    return hash_files(listed).select("relative_path", "file_name", "extension", "size", "mtime", "sha256")
+
+
+query(
+    "s1_s5_walked_tree", "docs",
+    more="""f AS (SELECT location_id || ['/', '/.d/', '/_e/deep/er/', '/Node_Modules/', '/drafts/'][doc_id % 5 + 1] || ['_f', '.f', 'f', 'f.'][doc_id % 4 + 1] || doc_id || '.' || ['txt', 'MD', 'csv', 'log'][k % 4 + 1] AS relative_path, ['txt', 'md', 'csv', 'log'][k % 4 + 1] AS extension, doc_id, text
+        FROM docs WHERE doc_id % 5 < 3 AND k % 4 < 3 AND location_id <> 'src7')""",
+    sql="SELECT relative_path, list_last(string_split(relative_path, '/')) AS file_name, extension, CAST(strlen(text) AS BIGINT) AS size, TS(1735689600 + doc_id * 60) AS mtime, sha256(text) AS sha256 FROM f",
+)(walked_tree)
+
+
+def hashed_large(docs: DataFrame) -> DataFrame:
+    """Hashes of the documents' files, each fiftieth made larger than what is read at once."""
+    large = docs.withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.repeat("text", F.lit(1) + F.floor(F.lit(2 * READ) / F.greatest(F.lit(1), F.octet_length("text"))).cast("int"))).otherwise(F.col("text")))
+    root = written_files(large.filter("doc_id % 50 = 0 OR doc_id % 50 = 1"))
+    return hash_files(list_tree(docs.sparkSession, root)).select("file_name", "size", "sha256")
+
+
+query(
+    "s5_large_files", "docs",
+    more=f"""f AS (SELECT ['_f', '.f', 'f', 'f.'][doc_id % 4 + 1] || doc_id || '.' || ['txt', 'MD', 'csv', 'log'][k % 4 + 1] AS file_name, CASE WHEN doc_id % 50 = 0 THEN repeat(text, CAST(1 + floor({2 * READ} / greatest(1, strlen(text))) AS BIGINT)) ELSE text END AS text
+        FROM docs WHERE doc_id % 50 IN (0, 1) AND doc_id % 5 <> 3)""",
+    sql="SELECT file_name, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM f",
+)(hashed_large)
+
+
 def listed_corpus(docs: DataFrame) -> DataFrame:
-    """All documents written as text files of their locations, then listed: folders with the bytes of their files."""
+    """All documents written as text files of their locations, then listed: folders with the bytes of their files (marker files have no such extension)."""
     path = work_path(docs.sparkSession, "corpus")
     docs.select("location_id", F.translate("text", "\r\n", "  ").alias("value")).write.partitionBy("location_id").text(path)
     listed = list_files(docs.sparkSession, path, extensions=("txt",))

@@ -68,9 +68,13 @@ MIXED = re.compile("|".join(f"[{a}](?=[{''.join(x for x in BLOCKS if x != a)}])"
 TURNS = re.compile("(?i)[аеёиоуыэюяіїєαειουηωάέήίόύώ](?=[бвгджзйклмнпрстфхцчшщґβγδζθκλμνξπρσςτφχψ])|[бвгджзйклмнпрстфхцчшщґβγδζθκλμνξπρσςτφχψ](?=[аеёиоуыэюяіїєαειουηωάέήίόύώ])")
 
 
+#: A letter that stands alone may as well be a sign.
+ALONE = re.compile(r"(?<![^\W\d_])[^\x00-\x7f\W\d_](?![^\W\d_])")
+
+
 def _pairs(text: str) -> float:
     """What pairs of characters count against a text."""
-    return 1.5 * (len(CASES.findall(text)) + len(MIXED.findall(text))) + len(INSIDE.findall(text)) - 0.3 * len(TURNS.findall(text))
+    return 1.5 * (len(CASES.findall(text)) + len(MIXED.findall(text))) + len(INSIDE.findall(text)) + 0.85 * len(ALONE.findall(text)) - 0.3 * len(TURNS.findall(text))
 
 
 def _languages(charset_table: dict[str, tuple[str, ...]], falling: float) -> dict[str, list[dict[str, float]]]:

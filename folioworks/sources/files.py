@@ -1,6 +1,7 @@
 """Files of a corpus: listing, decoding, hashing, extraction hooks and artifacts.
 
-``binaryFile`` does not list names that start with ``_`` or ``.``.
+Mounted folders are walked by ``listing``.  Other stores are listed by
+``binaryFile``, which leaves out names that start with ``_`` or ``.``.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import sha256
-from ..functions.paths import extension, file_name, in_excluded_dir, is_included, matches_glob
+from ..functions.paths import DEFAULT_EXTENSIONS, extension, file_name, in_excluded_dir, is_included, matches_glob
 from .charsets import decoded_with_charset
+from .listing import hash_files, list_tree
 
 
 def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), excludes: list[str] | None = None, any_extension: bool = False) -> DataFrame:
     """``path, relative_path, file_name, extension, size, mtime`` below a root; contents are not read."""
+    if "://" not in root or root.startswith("file://"):
+        return list_tree(spark, root, None if any_extension else extensions or DEFAULT_EXTENSIONS, excludes)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     relative = F.regexp_replace(F.col("path"), f"^.*?{_quoted(base)}/", "")
@@ -33,7 +37,9 @@ def _quoted(text: str) -> str:
 
 
 def hashed_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, sha256`` of every file below a root."""
+    """``path, sha256`` of every file below a root; in other stores than mounted folders files of up to 2 GB."""
+    if "://" not in root or root.startswith("file://"):
+        return hash_files(list_tree(spark, root)).select("path", "sha256")
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", sha256(F.col("content")).alias("sha256"))
 
 

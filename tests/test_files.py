@@ -1,9 +1,11 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioworks.operators.chunking import extraction_status
 from folioworks.operators.indexing import index_documents
-from folioworks.sources import charsets, files
+from folioworks.sources import charsets, files, listing
 from folioworks.streaming.jobs import ingest
 
 
@@ -36,7 +38,7 @@ KOREAN = "모든 국민은 법 앞에 평등하며 한국어 문장은 한글로
     [
         (RUSSIAN, "cp1251"), (RUSSIAN, "koi8_r"), (RUSSIAN, "iso8859_5"), (RUSSIAN, "cp866"), (RUSSIAN, "utf-16-le"), (RUSSIAN.upper(), "cp1251"), (RUSSIAN.upper(), "koi8_r"),
         (POLISH, "iso8859_2"), (POLISH, "cp1250"), (POLISH, "utf-16-be"), (JAPANESE, "shift_jis"), (JAPANESE, "euc_jp"), (JAPANESE, "utf-16-le"), (GREEK, "iso8859_7"), (GREEK, "cp1253"),
-        (FRENCH, "cp1252"), (FRENCH, "iso8859_15"), (FRENCH, "utf-32"), (CHINESE, "gb18030"), (KOREAN, "euc_kr"), ("plain text", "utf-16-le"), ("plain text", "ascii"), ("It’s “quoted” – so", "cp1252"), ("20 °C, £5", "cp1252"),
+        (FRENCH, "cp1252"), (FRENCH, "iso8859_15"), (FRENCH, "utf-32"), (CHINESE, "gb18030"), (KOREAN, "euc_kr"), ("plain text", "utf-16-le"), ("plain text", "ascii"), ("It’s “quoted” – so", "cp1252"), ("20 °C ± 1, £5", "cp1252"),
     ],
 )
 def test_charsets(text, charset):
@@ -49,6 +51,37 @@ def test_what_is_no_text(spark):
     assert [r[0] for r in df.select(extraction_status(F.col("ext"), F.col("content"))).collect()] == ["unsupported_encoding", "unsupported_encoding", "empty_file", "no_extractable_text", "ok", "unsupported_type", "empty_file"]
 
 
+def test_walked_trees(spark, tmp_path, monkeypatch):
+    names = ["_a.txt", ".b.md", "a.txt", "sub/.c/_d.TXT", "sub/e.txt", "x/NODE_modules/f.txt", "x/.git/g.txt", "drafts/deep/h.txt", "x/y/z/w/v/i.txt", "noext", "x/.hidden", "x/j.log"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "link.txt").symlink_to(tmp_path / "a.txt")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "gone.txt").symlink_to(tmp_path / "nowhere")
+    expected = {"_a.txt", ".b.md", "a.txt", "sub/.c/_d.TXT", "sub/e.txt", "x/y/z/w/v/i.txt"}
+    for subtrees in (1, 4, 256):
+        monkeypatch.setattr(listing, "SUBTREES", subtrees)
+        rows = listing.list_tree(spark, f"file://{tmp_path}", ("txt", "md"), ["drafts"]).collect()
+        assert sorted(r["relative_path"] for r in rows) == sorted(expected)
+        assert all(r["size"] == len(r["relative_path"]) and r["mtime"].timestamp() == pytest.approx((tmp_path / r["relative_path"]).stat().st_mtime, abs=1e-5) for r in rows)
+    assert {r["file_name"] for r in listing.list_tree(spark, str(tmp_path)).collect()} >= {"noext", ".hidden", "j.log", "h.txt"}
+    parts = listing.TreeReader(listing.Walk(str(tmp_path), None)).partitions()
+    assert len(parts) > 5 and not any("node_modules" in p.relative.lower() for p in parts)
+    assert listing.list_tree(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_large_files_are_hashed_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "READ", 1000)
+    data = {"a.bin": bytes(range(256)) * 40, "b.bin": b"", "c.bin": b"x" * 1000}
+    for n, d in data.items():
+        (tmp_path / n).write_bytes(d)
+    listed = listing.list_tree(spark, str(tmp_path)).select("path", "file_name")
+    gone = listed.limit(1).select(F.lit(f"file:{tmp_path}/gone.bin").alias("path"), F.lit("gone.bin").alias("file_name"))
+    got = {r["file_name"]: r["sha256"] for r in listing.hash_files(listed.unionByName(gone)).collect()}
+    assert got == {n: hashlib.sha256(d).hexdigest() for n, d in data.items()} | {"gone.bin": None}
+
+
 def test_extract_isolates_failures(spark):
     df = spark.createDataFrame([("a", b"x\n\ny"), ("b", b"!")], "path string, content binary")
 
