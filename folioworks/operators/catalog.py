@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_ignoring_case
 from ..functions.times import before_cutoff, is_due
+from ..sources.keyed import last_changes
 
 # Job states.
 OPEN = ("queued", "running", "retry_wait", "cancelling")
@@ -122,10 +123,15 @@ def carried_hashes(listing: DataFrame, prior: DataFrame) -> DataFrame:
     return listing.join(old, ["location_id", "relative_path"], "left").withColumn("carried", F.when(same, F.col("old_sha"))).drop("old_size", "old_mtime", "old_sha")
 
 
-def upsert(rows: DataFrame, changes: DataFrame, key: list[str], touched: Column) -> DataFrame:
-    """``changes`` replace rows of the same key; ``updated_at`` of replaced and new rows is ``touched``."""
+def upsert(rows: DataFrame, changes: DataFrame, key: list[str], touched: Column, order: list[str] | None = None) -> DataFrame:
+    """``changes`` replace rows of the same key; ``updated_at`` of replaced and new rows is ``touched``.
+
+    Of several changes of one key the last by ``order`` counts, else the largest row.
+    ``KeyedTable`` does the same to a stored table.
+    """
+    order = order or [c for c in changes.columns if c not in key][:1]
     kept = rows.join(changes.select(*key), key, "left_anti")
-    return kept.unionByName(changes.withColumn("updated_at", touched).select(*rows.columns))
+    return kept.unionByName(last_changes(changes, key, order).withColumn("updated_at", touched).select(*rows.columns))
 
 
 def without(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
@@ -140,9 +146,7 @@ def fit_geometry(points: DataFrame, size: int, distance: str) -> DataFrame:
 def redacted(values: Column) -> Column:
     """A string map with the values of sensitive keys hidden."""
     # Sensitive keys.
-    keys = (
-        "api_key openai_api_key password secret token authorization database_url prompt question answer evidence document_text embedding".split()
-    )
+    keys = ("api_key", "openai_api_key", "password", "secret", "token", "authorization", "database_url", "prompt", "question", "answer", "evidence", "document_text", "embedding")
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).isin(*keys), F.lit("***redacted***")).otherwise(v))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import work_path
+from .scans import numbered
+
 KEY = ["location_id", "relative_path"]
 
 
@@ -19,14 +22,16 @@ def reconcile(catalog: DataFrame, observed: DataFrame) -> DataFrame:
     """
     old = catalog.select("entry_id", *KEY, "state", *[F.col(c).alias(f"old_{c}") for c in ("size", "mtime", "sha256")], F.lit(True).alias("known"))
     both = old.join(observed.select(*KEY, "size", "mtime", "sha256", F.lit(True).alias("seen")), KEY, "full_outer")
+    path = work_path(catalog.sparkSession, "met")
+    both.write.parquet(path)
+    both = catalog.sparkSession.read.schema(both.schema).parquet(path)
     met = both.filter("known AND seen")
     vanished, new = both.filter("seen IS NULL"), both.filter("known IS NULL")
 
-    def ranked(rows: DataFrame, sha: str, order: Column) -> DataFrame:
-        return rows.filter(F.col(sha).isNotNull()).withColumn("turn", F.row_number().over(Window.partitionBy("location_id", sha).orderBy(order)))
-
-    claims = ranked(vanished, "old_sha256", F.desc("relative_path")).select("location_id", F.col("old_sha256").alias("sha256"), "turn", "entry_id", "state")
-    takers = ranked(new, "sha256", F.asc("relative_path")).select(*KEY, "size", "mtime", "sha256", "turn")
+    # very many files of one hash (empty ones) are numbered by all tasks together
+    claims = numbered(vanished.filter("old_sha256 IS NOT NULL"), ["location_id", "old_sha256"], ["relative_path"], "turn").withColumn("turn", F.col("turn_of") - F.col("turn") + 1)
+    claims = claims.select("location_id", F.col("old_sha256").alias("sha256"), "turn", "entry_id", "state")
+    takers = numbered(new.filter("sha256 IS NOT NULL"), ["location_id", "sha256"], ["relative_path"], "turn").select(*KEY, "size", "mtime", "sha256", "turn")
     moved = takers.join(claims, ["location_id", "sha256", "turn"])
     out = ["kind", "entry_id", *KEY, "state", "clear_missing", "size", "mtime", "sha256"]
 

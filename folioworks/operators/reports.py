@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import backup_time, day_bucket, month_bucket, week_bucket
 from ..functions.vectors import percent
+from .scans import numbered, progress
 
 
 def duplicate_groups(members: DataFrame) -> DataFrame:
@@ -77,13 +78,65 @@ def superseded_collections(points: DataFrame, prefix: str, active: str) -> DataF
     return points.filter(F.col("collection").startswith(prefix) & (F.col("collection") != active)).select("collection").distinct()
 
 
-def point_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Point ids that only one side has, for contents with expected points: ``content_id, point_id, kind``."""
-    known = expected.select("content_id").distinct()
-    e = expected.select("content_id", "point_id", F.lit(True).alias("e")).distinct()
-    a = actual.join(known, "content_id", "left_semi").select("content_id", "point_id", F.lit(True).alias("a")).distinct()
-    both = e.join(a, ["content_id", "point_id"], "full_outer")
-    return both.select("content_id", "point_id", F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "orphan").otherwise("found").alias("kind"))
+#: Buckets by content of the hash tree, and branches of its first level.
+LEAVES, BRANCHES = 1 << 14, 16
+
+
+def point_tree(points: DataFrame) -> DataFrame:
+    """``leaf, n, total, mixed``: by bucket of contents the number of (distinct) points, and the sum and xor of their hashes.
+
+    A store may keep this table beside its points and change it with them.
+    """
+    own = points.withColumn("h", F.xxhash64("content_id", "point_id"))
+    spread = F.xxhash64("h", F.lit(1)).cast("decimal(38,0)")
+    return own.groupBy(leaf_of(F.col("content_id")).alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.sum(spread).alias("total"), F.bit_xor("h").alias("mixed"))
+
+
+def leaf_of(content: Column) -> Column:
+    return F.pmod(F.xxhash64(content), F.lit(LEAVES)).cast("int")
+
+
+def drifted_leaves(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """``leaf`` of the buckets in which two trees differ; whole branches that agree are left out first."""
+
+    def above(tree: DataFrame) -> DataFrame:
+        return tree.groupBy(F.pmod("leaf", F.lit(BRANCHES)).alias("branch")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("mixed").alias("mixed"))
+
+    def unlike(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+        both = a.join(b.select(on, *[F.col(c).alias(f"o_{c}") for c in ("n", "total", "mixed")]), on, "full_outer")
+        return both.filter(~(F.col("n").eqNullSafe(F.col("o_n")) & F.col("total").eqNullSafe(F.col("o_total")) & F.col("mixed").eqNullSafe(F.col("o_mixed")))).select(on)
+
+    branches = unlike(above(expected), above(actual), "branch")
+    inside = lambda t: t.withColumn("branch", F.pmod("leaf", F.lit(BRANCHES))).join(F.broadcast(branches), "branch", "left_semi")  # noqa: E731  at most BRANCHES rows
+    return unlike(inside(expected), inside(actual), "leaf")
+
+
+def kept_points(points: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct points stored by branch, and their tree, stored beside them; a new path."""
+    spark = points.sparkSession
+    own = points.select("content_id", "point_id").distinct().withColumn("branch", F.pmod(leaf_of(F.col("content_id")), F.lit(BRANCHES)))
+    own.repartition("branch").write.partitionBy("branch").parquet(f"{path}/points")
+    stored = spark.read.schema("content_id string, point_id string, branch int").parquet(f"{path}/points")
+    point_tree(stored).write.parquet(f"{path}/tree")
+    return stored, spark.read.parquet(f"{path}/tree")
+
+
+def point_drift(expected: tuple[DataFrame, DataFrame], actual: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Point ids that only one side has, for contents with expected points: ``content_id, point_id, kind``.
+
+    Both sides are points with their tree (``kept_points``).  Only points of buckets
+    whose trees differ are compared, and only their branches of the actual
+    points are read; the other expected points are ``found``.
+    """
+    (e, mine), (a, theirs) = expected, actual
+    leaves = sorted(r[0] for r in drifted_leaves(mine, theirs).collect())  # at most LEAVES numbers
+    inside = leaf_of(F.col("content_id")).isin(leaves) if leaves else F.lit(False)
+    near = e.filter(inside).select("content_id", "point_id")
+    there = a.filter(F.col("branch").isin(sorted({x % BRANCHES for x in leaves})) & inside) if leaves else a.filter(F.lit(False))
+    there = there.select("content_id", "point_id").join(near.select("content_id").distinct(), "content_id", "left_semi")
+    both = near.withColumn("e", F.lit(True)).join(there.withColumn("a", F.lit(True)), ["content_id", "point_id"], "full_outer")
+    compared = both.select("content_id", "point_id", F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "orphan").otherwise("found").alias("kind"))
+    return compared.unionByName(e.filter(~inside).select("content_id", "point_id", F.lit("found").alias("kind")))
 
 
 def consistency_totals(drift: DataFrame) -> DataFrame:
@@ -133,28 +186,22 @@ def completed_sets(names: DataFrame, markers: DataFrame) -> DataFrame:
 def nearest_rank(values: DataFrame, key: list[str], column: str, quantiles: dict[str, float]) -> DataFrame:
     """Exact nearest-rank percentiles ``sorted[min(n - 1, int(q * n))]``, the largest value and the mean.
 
-    Ranks come from one window a key, so a key's values are sorted with spilling and never held as one array.
+    Ranks are numbered over ranges of values, so a key of any size, or all rows without a key, are shared by all tasks.
     """
-    w = Window.partitionBy(*key).orderBy(column)
-    own = values.filter(F.col(column).isNotNull()).withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*key))})
-    at = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
-    picks = [F.max(F.when(F.col("_i") == at(q), F.col(column))).alias(name) for name, q in quantiles.items()]
+    own = numbered(values.filter(F.col(column).isNotNull()).select(*key, column), key, [column], "_rank")
+    at = lambda q: F.least(F.col("_rank_of") - 1, F.floor(F.lit(q) * F.col("_rank_of")))
+    picks = [F.max(F.when(F.col("_rank") - 1 == at(q), F.col(column))).alias(name) for name, q in quantiles.items()]
     return own.groupBy(*key).agg(*picks, F.max(column).alias("largest"), F.avg(column).alias("mean"))
 
 
 def event_sequence(events: DataFrame) -> DataFrame:
     """Numbers from 1 without gaps in each job, by time and id."""
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id")))
+    return numbered(events, ["job_id"], ["ts", "event_id"], "seq").drop("seq_of")
 
 
 def monotone_progress(events: DataFrame) -> DataFrame:
     """Progress that never falls inside a run of one phase; the total never falls and is never below it."""
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    change = F.when(F.col("phase").eqNullSafe(F.lag("phase").over(w)), 0).otherwise(1)
-    runs = events.withColumn("run", F.sum(change).over(w))
-    up = Window.partitionBy("job_id", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.max(F.when(F.col("total").isNotNull(), F.greatest("total", "current"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return runs.withColumns({"shown": F.max("current").over(up), "shown_total": total})
+    return progress(events, ["job_id"], ["ts", "event_id"], "phase", "current", "total")
 
 
 def verify_sums(manifest: DataFrame, actual: DataFrame) -> DataFrame:

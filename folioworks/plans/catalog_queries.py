@@ -9,6 +9,9 @@ from ..functions.text import contains_ignoring_case, escape_like
 from ..operators import catalog as c
 from ..operators import reconcile as r
 from ..operators import reports as rep
+from ..sources.keyed import KeyedTable
+from ..sources.paged import PagedTable
+from ..sources.work import work_path
 from .registry import query
 
 SQL_NOW = "TIMESTAMP '2026-01-01 12:00:00'"
@@ -69,6 +72,21 @@ query(
         t.filter("content_id IS NOT NULL AND k % 3 > 0").select("entry_id", "content_id", F.lit(2).alias("version")), ["entry_id"], now(),
     )
 )
+def bucketed_upsert(t):
+    """A stored table whose keys get three changes each, out of order, and some a deletion; applied twice."""
+    own = t.filter("content_id IS NOT NULL").select("entry_id", "content_id", "k")
+    table = KeyedTable(t.sparkSession, work_path(t.sparkSession, "chunks"), ("entry_id",), ("version",))
+    table.create(own.filter("k % 3 < 2").select("entry_id", "content_id", F.lit(0).alias("version")))
+    changes = own.filter("k % 3 > 0 AND k % 20 < 5").withColumn("version", F.explode(F.array(F.lit(1), F.lit(3), F.lit(2))))
+    for _ in range(2):
+        table.change(changes.select("entry_id", "content_id", "version", (F.col("k") % 20 == 4).alias("gone")), deleted="gone")
+    return table.read().select("entry_id", "content_id", "version")
+
+
+query(
+    "s18_s20_keyed_table", "catalog",
+    sql="SELECT entry_id, content_id, CASE WHEN k % 3 > 0 AND k % 20 < 5 THEN 3 ELSE 0 END AS version FROM catalog WHERE content_id IS NOT NULL AND (k % 3 < 2 OR k % 20 < 5) AND NOT (k % 3 > 0 AND k % 20 = 4)",
+)(bucketed_upsert)
 query("s21_delete_content", "points", sql="SELECT point_id FROM points WHERE doc_id % 5 <> 0")(
     lambda t: c.without(t, t.filter("doc_id % 5 = 0"), ["content_id"]).select("point_id")
 )
@@ -245,7 +263,9 @@ def drift(t):
     extra = own.filter("k % 11 = 2").select("content_id", F.concat(F.lit("x"), "entry_id").alias("point_id"))
     stray = t.sparkSession.range(1).select(F.lit("unknown").alias("content_id"), F.lit("x1").alias("point_id"))
     actual = own.filter("k % 9 <> 4").select("content_id", F.col("entry_id").alias("point_id")).unionByName(extra).unionByName(stray)
-    return rep.point_drift(own.select("content_id", F.col("entry_id").alias("point_id")), actual)
+    path = work_path(t.sparkSession, "drift")
+    expected = own.select("content_id", F.col("entry_id").alias("point_id"))
+    return rep.point_drift(rep.kept_points(expected, f"{path}/expected"), rep.kept_points(actual, f"{path}/actual"))
 
 
 query("j10_u1_point_drift", "catalog", more=DRIFT, sql="SELECT * FROM d")(drift)
@@ -331,6 +351,27 @@ query(
 query("t1_document_page", "catalog", sql="SELECT entry_id, relative_path FROM catalog WHERE relative_path > 'd3/f20.txt' OR (relative_path = 'd3/f20.txt' AND entry_id > 'e5') ORDER BY relative_path, entry_id LIMIT 26")(
     lambda t: c.page(t.select("entry_id", "relative_path"), "relative_path", "entry_id", 25, after=("d3/f20.txt", "e5"))
 )
+
+
+def three_pages(t):
+    """The first three pages of the catalog by path, each after the last row of the one before, from a layout by range."""
+    table = PagedTable(t.sparkSession, work_path(t.sparkSession, "paged"), "relative_path", "entry_id")
+    table.create(t.select("entry_id", "relative_path"))
+    out, after = None, None
+    for number in range(3):
+        page = table.page(25, after)
+        rows = page.limit(25)
+        last = rows.agg(F.max(F.struct("relative_path", "entry_id")).alias("m")).first()["m"]
+        after = tuple(last) if last else after
+        rows = rows.withColumn("page", F.lit(number))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+query(
+    "p8_t1_three_pages", "catalog",
+    sql="SELECT entry_id, relative_path, CAST((n - 1) // 25 AS INTEGER) AS page FROM (SELECT entry_id, relative_path, row_number() OVER (ORDER BY relative_path, entry_id) AS n FROM catalog) x WHERE n <= 75",
+)(three_pages)
 query("t6_newest_first", "jobs", sql="SELECT event_id, ts FROM jobs ORDER BY ts DESC, event_id DESC LIMIT 51")(lambda t: t.select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(51))
 NAMES = "n AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '' END || strftime(ts, '%Y%m%dT%H%M%SZ') AS name, event_id, ts FROM jobs)"
 query("t7_completed_sets", "jobs", more=NAMES, sql="SELECT DISTINCT name, date_trunc('second', ts) AS made_at FROM n WHERE event_id % 5 <> 0 AND name IN (SELECT name FROM n WHERE event_id % 3 = 0)")(

@@ -15,10 +15,13 @@ from ..operators.chunking import extraction_status
 from ..operators.indexing import index_documents, index_files
 from ..operators.reports import duplicate_groups
 from ..sources.files import decoded, hashed_files, list_files, load_pages, store_artifacts
+from ..sources.keyed import KeyedTable
 from ..sources.listing import READ, hash_files, list_tree, local_path
 from ..sources.work import rebuild, work_path
-from ..streaming.jobs import ingest, silent_keys, status_counts
+from ..streaming.jobs import follow_files, ingest, silent_keys, status_counts
+from ..streaming.state import changed_files, ended_leases, rocks_state
 from .catalog_queries import GROUPS
+from .derived import SPARK, spelled
 from .registry import ORACLES, QUERIES, query
 from .text_queries import INDEXED, INDEXED_SQL, PROFILE, uuid_of
 
@@ -58,6 +61,80 @@ def silence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(silent_keys(events, "1 hour"), "append")
 
 
+def lease_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ended leases of the events in three files that arrive one after the other."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("job_id"), "event_id", (F.col("event_id") % 10 == 0).alias("cancel"))
+    path, cuts = work_path(spark, "beats"), events.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    third = (cuts["z"] - cuts["a"]) / 3
+    found = f"{path}/out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{found}/batch={number}")
+
+    for n in range(3):
+        own = events.filter((F.col("ts") >= F.lit(cuts["a"] + n * third)) & ((F.col("ts") < F.lit(cuts["a"] + (n + 1) * third)) if n < 2 else F.lit(True)))
+        own.write.mode("append").parquet(f"{path}/in")
+        with rocks_state(spark):
+            ended = ended_leases(spark.readStream.schema(own.schema).parquet(f"{path}/in"), 3600, 4)
+            ended.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(found).select("job_id", "event_id", "attempt", "outcome", "expired_at")
+
+
+QUERIES["k2_lease_stream"] = lease_stream
+# what the watermark has not reached is not decided yet
+ORACLES["k2_lease_stream"] = """
+    WITH b AS (SELECT user_id AS job_id, event_id, CAST(ts AS TIMESTAMP) AS ts FROM events),
+    x AS (SELECT *, row_number() OVER w AS attempt, lead(ts) OVER w AS next FROM b WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))
+    SELECT job_id, event_id, attempt, CASE WHEN event_id % 10 = 0 THEN 'cancelled' WHEN attempt >= 4 THEN 'failed' ELSE 'retry_wait' END AS outcome, ts + INTERVAL 1 HOUR AS expired_at
+    FROM x WHERE (next IS NULL OR next > ts + INTERVAL 1 HOUR) AND ts + INTERVAL 1 HOUR < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM b)"""
+#: Scans of the catalog's files: which are there, and which have other bytes.
+SCANS = ("k % 3 < 2", "k % 5 <> 1", "k % 7 <> 2")
+SCANNED = "SELECT entry_id, location_id, relative_path, CAST(length(text) AS BIGINT) + {n} AS size, mtime, SHA(text || CASE WHEN doc_id % 4 = {n} THEN ' edited' ELSE '' END) AS sha256, TS(1767225600 + {n} * 3600) AS scan_at FROM {{0}} WHERE {where}"
+
+
+def followed_files(catalog: DataFrame) -> DataFrame:
+    """Three scans as a stream, batch after batch, folded into a keyed table that follows them."""
+    spark, path = catalog.sparkSession, work_path(catalog.sparkSession, "scans")
+    table = None
+    for n, where in enumerate(SCANS):
+        scan = spark.sql(spelled(SCANNED.format(n=n, where=where), SPARK).format("{t}"), t=catalog).drop("entry_id")
+        if table is None:
+            table = KeyedTable(spark, f"{path}/files", ("location_id", "relative_path"), ("scan_at",))
+            table.create(scan.limit(0))
+        scan.write.mode("append").parquet(f"{path}/in")
+        follow_files(spark.readStream.schema(scan.schema).parquet(f"{path}/in"), table, f"{path}/state")
+    return table.read().select("location_id", "relative_path", "sha256")
+
+
+# a rebuild from the last scan alone
+query("k1_followed_files", "catalog", more=f"s AS ({SCANNED.format(n=2, where=SCANS[2]).format('catalog')})", sql="SELECT location_id, relative_path, sha256 FROM s")(followed_files)
+
+
+def file_changes(catalog: DataFrame) -> DataFrame:
+    """What each of the three scans changed."""
+    spark, path = catalog.sparkSession, work_path(catalog.sparkSession, "changes")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(f"{path}/out")
+
+    for n, where in enumerate(SCANS):
+        scan = spark.sql(spelled(SCANNED.format(n=n, where=where), SPARK).format("{t}"), t=catalog).drop("entry_id")
+        scan.write.mode("append").parquet(f"{path}/in")
+        with rocks_state(spark):
+            stream = changed_files(spark.readStream.schema(scan.schema).parquet(f"{path}/in"))
+            stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("scan_at", "kind", "location_id", "relative_path")
+
+
+query(
+    "k1_file_changes", "catalog",
+    more=",\n".join(f"s{n} AS ({SCANNED.format(n=n, where=w).format('catalog')})" for n, w in enumerate(SCANS))
+    + """,
+    m AS (SELECT TS(1767225600) AS scan_at, location_id, relative_path, NULL AS was, sha256 AS now FROM s0
+        UNION ALL SELECT TS(1767229200), coalesce(a.location_id, b.location_id), coalesce(a.relative_path, b.relative_path), a.sha256, b.sha256 FROM s0 a FULL JOIN s1 b ON a.location_id = b.location_id AND a.relative_path = b.relative_path
+        UNION ALL SELECT TS(1767232800), coalesce(a.location_id, b.location_id), coalesce(a.relative_path, b.relative_path), a.sha256, b.sha256 FROM s1 a FULL JOIN s2 b ON a.location_id = b.location_id AND a.relative_path = b.relative_path)""",
+    sql="SELECT scan_at, CASE WHEN was IS NULL THEN 'new' WHEN now IS NULL THEN 'gone' ELSE 'changed' END AS kind, location_id, relative_path FROM m WHERE was IS DISTINCT FROM now",
+)(file_changes)
 QUERIES["k1_ingest_stream"] = k1_ingest_stream
 QUERIES["k2_silence_stream"] = silence_stream
 QUERIES["k3_status_stream"] = status_stream

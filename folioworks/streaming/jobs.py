@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.keyed import KeyedTable
+from .state import changed_files, rocks_state
+
 
 def ingest(stream: DataFrame, index: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> None:
     """Index what is new in ``stream`` and append it to ``target``; returns when all there is is done.
@@ -21,6 +24,21 @@ def ingest(stream: DataFrame, index: Callable[[DataFrame], DataFrame], target: s
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def follow_files(scans: DataFrame, table: KeyedTable, checkpoint: str, wait: bool = True) -> None:
+    """Keep ``table(location_id, relative_path, scan_at, size, mtime, sha256)`` at what the stream's last scan saw.
+
+    Only buckets with changed files are written; a batch that runs again leaves the same table.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        table.change(batch.withColumn("gone", F.col("kind") == "gone").drop("kind"), deleted="gone")
+
+    with rocks_state(scans.sparkSession):
+        running = changed_files(scans).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if wait:
+            running.awaitTermination()
+
+
 def silent_keys(events: DataFrame, lease: str, watermark: str = "10 minutes") -> DataFrame:
     """Sessions of each job that a silence longer than ``lease`` ends: ``job_id, started, expired_at, beats``."""
     own = events.withWatermark("ts", watermark).groupBy(F.session_window("ts", lease), "job_id").agg(F.count(F.lit(1)).alias("beats"))
