@@ -4,7 +4,10 @@ A page is cut into blocks of text at block-level tags.  A linear classifier
 over a block's surroundings (elements, names in class, id and role) and its own
 text (length, closing punctuation, share of link text) gives its log-odds of
 being content; they become the capacities from the source (content) or to the
-sink (boilerplate).  Neighbouring blocks, and following blocks of the same
+sink (boilerplate).  A name counts by its last telling word ("post-comments" are
+comments, "banner-article" is an article), names that tell opposite things cancel
+each other, and a name or form around most of a page's plain text is its layout:
+it only costs ``LAYOUT``, which the blocks' own capacities and the cut overrule.  Neighbouring blocks, and following blocks of the same
 parent, are joined by edges that weigh more the closer they are in the DOM.
 The maximum flow's minimum cut then labels all blocks of the page together, so
 a doubtful block goes with the blocks around it.
@@ -40,15 +43,23 @@ FENCES = frozenset("article aside body div dl footer form header html main nav o
 ELEMENT = {"article": 3.0, "main": 2.0, "nav": -7.0, "footer": -7.0, "aside": -6.0, "header": -6.0, "form": -6.0, "dialog": -6.0, "menu": -6.0, "head": -9.0}
 ELEMENT |= dict.fromkeys("audio button canvas math noscript object select svg template video".split(), -9.0)
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
+    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner nav navbar navigation menu leftmenu breadcrumb breadcrumbs"
     " sidebar footer copyright legal cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login signin register"
-    " social share sharing related recommended recommendations trending widget widgets pagination pager paging comment comments commentlist disqus reply replies respond"
-    " responses toolbar search skip hidden form masthead toc tags".split()
+    " social share sharing related recommended recommendations trending widget widgets pagination pager paging"
+    " toolbar search skip hidden form masthead toc tags".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond responses".split())
 WEAK_HINTS = frozenset(["header", "top", "bottom", "meta", "aside"])
 GOOD_HINTS = frozenset("article content post entry story text body main".split())
+#: Words that make whatever they stand before no part of the article.
+ASIDES = frozenset("related recommended recommendations trending sponsor sponsored promoted".split())
+#: Words of a name that only say what is there or how it looks; words for its box.
+STATES = frozenset("with has no not without free enabled disabled fixed on off open closed active of for is".split())
+BOXES = frozenset("slot list inner outer box wrap wrapper wall container block item items area section group row col link links button buttons bar panel unit zone area holder".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NEGATIVE, GOOD = -6.0, 1.0
+NEGATIVE, DOUBTFUL, GOOD, LAYOUT = -6.0, -1.5, 1.0, -0.25
+#: Share of the page's plain text from which a name or form is its layout: with the first heading inside, and without.
+MOST, NEARLY_ALL = 0.5, 0.7
 PLAIN = frozenset(["html", "body", "main", "article"])
 
 #: What stands between a tag's name and its end; a quote that does not begin a value, or is never closed, is plain.
@@ -63,64 +74,123 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SENTENCE_END = (".", "!", "?", "…", ":", "”", '"', "。")
 
 
-def element_weight(name: str, rest: str, in_article: bool) -> float:
-    """What an element adds to the log-odds of the blocks inside it."""
+def name_evidence(name: str) -> tuple[float, bool]:
+    """What one name of a class or id tells, and whether it speaks of comments."""
+    parts = [p.lower() for p in PART.findall(name)]
+    if not STATES.isdisjoint(parts):
+        return 0.0, False
+    telling = [p for p in parts if p not in BOXES and not p.isdigit()]
+    if not telling:
+        return 0.0, False
+    head, known = telling[-1], HINTS | COMMENTS
+    if head in known or not ASIDES.isdisjoint(telling):
+        return NEGATIVE, head in COMMENTS
+    if head in GOOD_HINTS:
+        return GOOD, False
+    return (DOUBTFUL, False) if not known.isdisjoint(telling) and GOOD_HINTS.isdisjoint(telling) else (0.0, False)
+
+
+def element_weight(name: str, rest: str, in_article: bool) -> tuple[float, float, bool]:
+    """What an element adds to the log-odds of the blocks inside it; the part of that which is left if it is the page's layout; whether it speaks of comments."""
     own = 0.0 if name == "header" and in_article else ELEMENT.get(name, 0.0)
+    sure = 0.0 if name == "form" else own
     if not rest or name in PLAIN:
-        return own
-    parts: set[str] = set()
+        return own, sure, False
+    told: list[tuple[float, bool]] = []
+    weak = False
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return min(own, NEGATIVE)
+            return min(own, NEGATIVE), min(own, NEGATIVE), False
         if key == "role" and value.lower() in ROLES:
             own = min(own, NEGATIVE)
+            sure = sure if value.lower() in ("form", "search") else min(sure, NEGATIVE)
         if key in ("class", "id"):
-            parts |= {p.lower() for p in PART.findall(value)}
-    if parts & HINTS or parts & WEAK_HINTS and not parts & GOOD_HINTS and not in_article:
-        return min(own, NEGATIVE)
-    return own + GOOD if parts & GOOD_HINTS else own
+            told += [name_evidence(n) for n in value.split()]
+            weak = weak or any(p.lower() in WEAK_HINTS for n in value.split() for p in PART.findall(n)[-1:])
+    good, bad = any(w > 0 for w, _ in told), min((w for w, _ in told), default=0.0)
+    if bad < 0:
+        return (min(own, bad), sure, any(c for _, c in told)) if not good else (own, sure, False)
+    if good:
+        return own + GOOD, sure + GOOD, False
+    return (min(own, NEGATIVE), sure, False) if weak and not in_article else (own, sure, False)
 
 
 class Block:
-    __slots__ = ("depth", "links", "odds", "parents", "tag", "text")
+    __slots__ = ("element", "links", "odds", "parents", "tag", "text")
 
-    def __init__(self, text: str, links: int, tag: str, odds: float, parents: tuple[int, ...]) -> None:
-        self.text, self.links, self.tag, self.parents = text, links, tag, parents
-        self.odds = odds + self.own_odds()
+    def __init__(self, text: str, links: int, tag: str, element: int, parents: tuple[int, ...]) -> None:
+        self.text, self.links, self.tag, self.element, self.parents = text, links, tag, element, parents
+        self.odds = self.own_odds()
 
     def own_odds(self) -> float:
         """The block's own part: words, closing punctuation, link text, leading copyright sign."""
         words, share = self.text.count(" ") + 1, min(1.0, self.links / max(1, len(self.text)))
         z = min(2.0, words / 20) * (1 - share) - 3.0 * share
-        z += 1.0 if self.tag == "p" else 0.3 if self.tag in ("h1", "h2", "h3", "blockquote", "pre") else 0.0
+        z += 1.0 if self.tag in ("p", "h1") else 0.3 if self.tag in ("h2", "h3", "blockquote", "pre") else 0.0
         z += 0.5 if words > 3 and self.text.endswith(SENTENCE_END) else 0.0
         return z - (3.0 if self.text[0] == "©" else 0.0)
 
 
 class Element:
-    """An open element: what its blocks inherit, and where the nearest fence stands in the stack."""
-
-    __slots__ = ("fence", "in_article", "name", "odds", "parents", "tag")
-
-    def __init__(self, name: str, odds: float, in_article: bool, fence: int, tag: str, parents: tuple[int, ...]) -> None:
-        self.name, self.odds, self.in_article, self.fence, self.tag, self.parents = name, odds, in_article, fence, tag, parents
+    """An open element: its number, what its blocks inherit, and where the nearest fence stands in the stack."""
+
+    __slots__ = ("fence", "in_article", "name", "number", "parents", "tag")
+
+    def __init__(self, name: str, number: int, in_article: bool, fence: int, tag: str, parents: tuple[int, ...]) -> None:
+        self.name, self.number, self.in_article, self.fence, self.tag, self.parents = name, number, in_article, fence, tag, parents
+
+
+def surroundings(above: list[int], weights: list[tuple[float, float, bool]], blocks: list[Block]) -> list[float]:
+    """The log-odds that each element hands on, from its own weight and the element above it (numbers rise inwards)."""
+    plain, heading = [0] * len(above), [False] * len(above)
+    outside = [False] * len(above)  # in what is boilerplate by its element
+    for i in range(1, len(above)):
+        outside[i] = outside[above[i]] or weights[i][1] <= NEGATIVE
+    for b in blocks:
+        if not outside[b.element]:
+            plain[b.element] += max(0, len(b.text) - 2 * b.links)
+            heading[b.element] = heading[b.element] or b.tag == "h1"
+    for i in range(len(above) - 1, 0, -1):
+        plain[above[i]] += plain[i]
+        heading[above[i]] = heading[above[i]] or heading[i]
+    # of the outermost doubtful elements, comments and those with less text do not count beside one
+    top = [0] * len(above)
+    for i in range(1, len(above)):
+        top[i] = top[above[i]] or (i if weights[i][0] < weights[i][1] else 0)
+    by_size = sorted(((plain[i], i) for i in range(1, len(above)) if top[i] == i and not weights[i][2]))
+    beside, smaller = {}, sum(plain[i] for i in range(1, len(above)) if top[i] == i and weights[i][2])
+    for size, i in by_size:
+        beside[i] = smaller
+        smaller += size
+    out = [0.0] * len(above)
+    for i in range(1, len(above)):
+        weight, sure, comments = weights[i]
+        if weight < sure and plain[0]:
+            share = plain[i] / max(1, plain[0] - beside.get(top[i], 0))
+            if heading[i] and share >= MOST or not comments and share >= NEARLY_ALL:
+                weight = sure + LAYOUT
+        holder = out[above[i]]
+        # what is boilerplate stays so inside, whatever stands around it
+        out[i] = holder + weight if weight >= 0 and holder > DOUBTFUL else min(holder, 0.0) + min(weight, 0.0)
+    return out
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty text blocks in order, in time linear in the page."""
     out: list[Block] = []
-    stack = [Element("", 0.0, False, -1, "", (0,))]
+    stack = [Element("", 0, False, -1, "", (0,))]
+    above, weights = [0], [(0.0, 0.0, False)]
     places: dict[str, list[int]] = {}
     pieces: list[str] = []
-    links = made = open_links = 0
+    links = open_links = 0
 
     def flush() -> None:
         nonlocal links
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, links, stack[-1].tag, stack[-1].odds, stack[-1].parents))
+                out.append(Block(text, links, stack[-1].tag, stack[-1].number, stack[-1].parents))
             pieces.clear()
         links = 0
 
@@ -159,15 +229,17 @@ def blocks_of(page: str) -> list[Block]:
         if name == "a":
             open_links = 1
         holder = stack[-1]
-        weight = element_weight(name, m["rest"], holder.in_article)
-        made += 1
-        # what is boilerplate stays so inside, whatever stands around it
-        odds = holder.odds + weight if weight >= 0 and holder.odds >= 0 else min(holder.odds, 0.0) + min(weight, 0.0)
+        weights.append(element_weight(name, m["rest"], holder.in_article))
+        above.append(holder.number)
+        number = len(weights) - 1
         if not m["rest"].endswith("/"):
             places.setdefault(name, []).append(len(stack))
-            tag, parents = (name, (*holder.parents, made)[-4:]) if name in BLOCK else (holder.tag, holder.parents)
-            stack.append(Element(name, odds, holder.in_article or name == "article", len(stack) if name in FENCES else holder.fence, tag, parents))
+            tag, parents = (name, (*holder.parents, number)[-4:]) if name in BLOCK else (holder.tag, holder.parents)
+            stack.append(Element(name, number, holder.in_article or name == "article", len(stack) if name in FENCES else holder.fence, tag, parents))
     flush()
+    inherited = surroundings(above, weights, out)
+    for b in out:
+        b.odds += inherited[b.element]
     return out
 
 

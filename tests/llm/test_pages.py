@@ -79,6 +79,40 @@ def test_accuracy_on_labelled_blocks():
     assert right / total >= 0.9
 
 
+WRAPPERS = (
+    "content with-sidebar|page-with-sidebar|layout has-sidebar|has-header|article-comments-enabled|post-form|search-results|single-post tag-social|main-content ads-free|wrapper nav-fixed"
+    "|page-legal|notice-of-meeting|social-policy-article|form-horizontal-article|story subscribe-wall|banner-article|top-stories|td-header-wrap|no-sidebar|site-main cookies-on"
+).split("|")
+LONG = [f"Paragraph {k} has many words, which are written for people who like long and winding sentences about rivers." for k in range(3)]
+SHORT_COMMENTS = "<section class=post-comments><h3>What others say</h3><p>I like this text of yours, it is a very good text for all of us.</p><p>So do I, and once wrote a longer thing that nobody read at all.</p></section>"
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("title", ["<h1>Of rivers</h1>", ""])
+def test_names_of_layouts_do_not_take_the_article(name, title):
+    page = f"<body><nav><a href=a>Home</a> <a href=b>News</a></nav><div class='{name}'>{title}{''.join(f'<p>{p}</p>' for p in LONG)}</div>{SHORT_COMMENTS}<div class='ad-slot'><p>Buy a boat today, it is cheap and it is good for you.</p></div><footer>© A firm</footer></body>"
+    assert html_text.content_blocks(page) == ["Of rivers"] * bool(title) + LONG
+
+
+#: Whole pages and their texts, written by hand.
+WHOLE = {
+    """<body><form id="aspnetForm" action="p.aspx"><div class="menu"><ul><li><a href=1>Start</a><li><a href=2>About us</a></ul></div><h1>The old mill</h1>
+    <p>The mill stood at the river for three hundred years, until a flood took its wheel away.</p><p>Nobody has built it up again since then, although many have said that they would like to.</p>
+    <div id="sidebar"><p>Other places to see around here are the castle and the bridge.</p></div><label>Search</label><input name=q></form></body>""": "The old mill The mill stood at the river for three hundred years, until a flood took its wheel away. Nobody has built it up again since then, although many have said that they would like to.",
+    """<body><div id="page" class="hfeed site has-cookie-notice"><div id="cookie-notice"><p>This site sets cookies, as all sites do, and you may say no to some of them.</p></div>
+    <div class="entry-content"><h1>Bread</h1><p>Take flour, water and salt, and leave them alone for a whole night in a warm place.</p><div class="share-links"><a href=x>Tell a friend</a> <a href=y>Print</a></div>
+    <p>Then bake it.</p></div><div class="related-posts"><p>You may also want to read what we wrote about butter last year.</p></div></div></body>""": "Bread Take flour, water and salt, and leave them alone for a whole night in a warm place. Then bake it.",
+    """<body><div class="article-page comments-open"><h1>A short note</h1><p>The library stays closed on Monday, because its roof is being mended by two men.</p></div>
+    <div id="comments" class="comments-area"><p>Which two men are these, and why does it take them the whole of a Monday to mend it?</p><p>I have been inside the library last week and there was no hole in its roof that I could see.</p>
+    <p>The roof of the library has been mended every single year since I came to live in this town.</p></div></body>""": "A short note The library stays closed on Monday, because its roof is being mended by two men.",
+}
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_whole_pages(page):
+    assert " ".join(html_text.content_blocks(page)) == WHOLE[page]
+
+
 def test_pages_edge_cases(spark):
     pages = spark.createDataFrame([(1, "<p>One text.</p>", 5), (1, "<p>One text.</p>", 5)], "page_id long, html string, found long")
     assert [r["text"] for r in html_text.extract_text(pages).collect()] == ["One text."] * 2
