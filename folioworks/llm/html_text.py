@@ -144,6 +144,7 @@ class Element:
 def surroundings(above: list[int], weights: list[tuple[float, float, bool]], blocks: list[Block]) -> list[float]:
     """The log-odds that each element hands on, from its own weight and the element above it (numbers rise inwards)."""
     plain, heading = [0] * len(above), [False] * len(above)
+    marked = [w[1] >= ELEMENT["main"] for w in weights]  # elements that say they hold the article
     outside = [False] * len(above)  # in what is boilerplate by its element
     for i in range(1, len(above)):
         outside[i] = outside[above[i]] or weights[i][1] <= NEGATIVE
@@ -154,6 +155,7 @@ def surroundings(above: list[int], weights: list[tuple[float, float, bool]], blo
     for i in range(len(above) - 1, 0, -1):
         plain[above[i]] += plain[i]
         heading[above[i]] = heading[above[i]] or heading[i]
+        marked[above[i]] = marked[above[i]] or marked[i]
     # of the outermost doubtful elements, comments and those with less text do not count beside one
     top = [0] * len(above)
     for i in range(1, len(above)):
@@ -166,7 +168,7 @@ def surroundings(above: list[int], weights: list[tuple[float, float, bool]], blo
     out = [0.0] * len(above)
     for i in range(1, len(above)):
         weight, sure, comments = weights[i]
-        if weight < sure and plain[0]:
+        if weight < sure and plain[0] and marked[i] == marked[0]:
             share = plain[i] / max(1, plain[0] - beside.get(top[i], 0))
             if heading[i] and share >= MOST or not comments and share >= NEARLY_ALL:
                 weight = sure + LAYOUT

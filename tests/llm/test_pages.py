@@ -107,6 +107,8 @@ WHOLE = {
     <p>The roof of the library has been mended every single year since I came to live in this town.</p></div></body>""": "A short note The library stays closed on Monday, because its roof is being mended by two men.",
 }
 
+WHOLE['<body><div class="ad">Buy this boat today, it is a very good one.</div><article><h1>No.</h1><p>None.</article></body>'] = "No. None."
+
 
 @pytest.mark.parametrize("page", WHOLE)
 def test_whole_pages(page):
