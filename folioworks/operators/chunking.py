@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.ids import sha256
 from ..functions.text import tokens
@@ -53,46 +55,55 @@ def extraction_status(ext: Column, content: Column, text: Column | None = None)
     )
 
 
-def pack_ids(counts: Column, target: int) -> Column:
-    """For each page (in order) the number of its pack: small pages together up to the target, a larger one alone."""
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("run"), F.lit(True).alias("big"), F.array().cast("array<int>").alias("out"))
+#: Stands between the tokens of a page on their way to Python; white space, so no token of words holds it.
+BETWEEN = "\x1f"
+CHUNK = StructType().add("text", "string").add("token_count", "long").add("page_start", "integer").add("page_end", "integer")
 
-    def step(s: Column, n: Column) -> Column:
-        fresh = s["big"] | (n > target) | (s["run"] + n > target)
-        g = F.when(fresh, s["g"] + 1).otherwise(s["g"])
-        return F.struct(g.alias("g"), F.when(fresh, n).otherwise(s["run"] + n).alias("run"), (n > target).alias("big"), F.concat(s["out"], F.array(g)).alias("out"))
 
-    return F.aggregate(counts, start, step, lambda s: s["out"])
+def cut_pages(pages: list[list[str]], numbers: list[int | None], target: int, overlap: int) -> list[tuple[str, int, int | None, int | None]]:
+    """``text, token_count, page_start, page_end`` of a document's chunks.
 
-
-def windows(own: Column, target: int, overlap: int) -> Column:
-    """Overlapping slices of a token array: steps of ``target - overlap``, the last one may be short."""
-    step = target - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(own) - target) / step)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(own, i * step + 1, F.lit(target)))
+    Small pages go together up to the target, a larger one stands alone; each pack
+    is cut into windows of ``target`` tokens in steps of ``target - overlap``.
+    """
+    packs: list[tuple[list[str], list[int]]] = []
+    full = True
+    for own, number in zip(pages, numbers, strict=True):
+        large = len(own) > target
+        if full or large or len(packs[-1][0]) + len(own) > target:
+            packs.append(([], []))
+        packs[-1][0].extend(own)
+        packs[-1][1].extend([] if number is None else [number])
+        full = large
+    out = []
+    for own, seen in packs:
+        windows = 1 + max(0, -(-(len(own) - target) // (target - overlap)))
+        for start in range(0, windows * (target - overlap), target - overlap):
+            part = own[start : start + target]
+            out.append((" ".join(part), len(part), min(seen, default=None), max(seen, default=None)))
+    return out
 
 
 def chunk_pages(pages: DataFrame, ident: str, target: int, overlap: int, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
     """Chunks of documents from ``pages(ident, index, page_number, text)``.
 
-    ``tokenize`` turns a text into an array of tokens (words by default); its id
-    belongs into the chunking profile.
+    ``tokenize`` turns a text into an array of tokens (words by default) without
+    ``BETWEEN``; its id belongs into the chunking profile.
 
     ``ident, chunk_index, text, token_count, page_start, page_end, text_hash``.
-    Blank pages are skipped but numbers of the pages around them stay.  The
-    fold over pages is bounded by one document.
+    Blank pages are skipped but numbers of the pages around them stay.  A document's
+    pages meet once, and are packed and cut there in time linear in their tokens.
     """
+
+    @F.arrow_udf(ArrayType(CHUNK))
+    def cut(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("text", pa.string()), ("token_count", pa.int64()), ("page_start", pa.int32()), ("page_end", pa.int32())]))
+        found = (cut_pages([t.split(BETWEEN) for t in own], which, target, overlap) for own, which in zip(texts.to_pylist(), numbers.to_pylist(), strict=True))
+        return pa.array([[dict(zip(CHUNK.names, c, strict=True)) for c in own] for own in found], kind)
+
     own = pages.withColumn("toks", tokenize(F.col("text"))).filter(F.size("toks") > 0)
-    row = F.struct("index", "page_number", F.size("toks").cast("long").alias("n"), "toks")
+    row = F.struct("index", "page_number", F.array_join("toks", BETWEEN).alias("own"))
     docs = own.groupBy(ident).agg(F.array_sort(F.collect_list(row), lambda a, b: a["index"] - b["index"]).alias("pages"))
-    docs = docs.withColumn("packs", pack_ids(F.transform("pages", lambda p: p["n"]), target))
-    flat = docs.select(ident, F.posexplode(F.arrays_zip("pages", "packs")).alias("pos", "x")).select(ident, "pos", F.col("x.packs").alias("pack"), F.col("x.pages").alias("p"))
-    packs = flat.groupBy(ident, "pack").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda r: r["p"]["toks"])).alias("toks"),
-        F.min("p.page_number").alias("page_start"),
-        F.max("p.page_number").alias("page_end"),
-    )
-    cut = packs.select(ident, "pack", "page_start", "page_end", F.posexplode(windows(F.col("toks"), target, overlap)).alias("window", "toks"))
-    index = F.row_number().over(Window.partitionBy(ident).orderBy("pack", "window")) - 1
-    text = F.array_join("toks", " ")
-    return cut.select(ident, index.alias("chunk_index"), text.alias("text"), F.size("toks").cast("long").alias("token_count"), "page_start", "page_end", sha256(text).alias("text_hash"))
+    chunks = docs.select(ident, cut(F.transform("pages", lambda p: p["own"]), F.transform("pages", lambda p: p["page_number"].cast("int"))).alias("chunks"))
+    out = chunks.select(ident, F.posexplode("chunks").alias("chunk_index", "c"))
+    return out.select(ident, "chunk_index", "c.text", "c.token_count", "c.page_start", "c.page_end", sha256(F.col("c.text")).alias("text_hash"))

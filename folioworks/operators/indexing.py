@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.ids import chunk_id, chunking_profile, point_id, sha256
 from ..functions.text import normalize_text
 from ..sources.files import decoded
+from ..sources.work import work_path
 from .chunking import chunk_pages, text_sections
 from .embedding import hashed, not_yet_indexed, with_context
 
 
+def named_contents(docs: DataFrame, ident: str) -> DataFrame:
+    """``content_id, ident, text`` of the documents with text; written, so that texts are normalized once."""
+    if "content_id" in docs.columns:
+        return docs.filter(F.col("text").isNotNull()).select("content_id", ident, "text")
+    own = docs.filter(F.col("text").isNotNull()).select(sha256(normalize_text(F.col("text"))).alias("content_id"), ident, "text")
+    path = work_path(docs.sparkSession, "contents")
+    own.write.parquet(path)
+    return docs.sparkSession.read.schema(own.schema).parquet(path)
+
+
 def index_documents(docs: DataFrame, ident: str = "doc_id", target: int = 200, overlap: int = 20) -> DataFrame:
     """Chunks of distinct contents: ``content_id, chunk_id, chunk_index, text, token_count, text_hash``.
 
@@ -19,7 +30,7 @@ def index_documents(docs: DataFrame, ident: str = "doc_id", target: int = 200, o
     Documents without text give no rows.
     """
     profile = chunking_profile(target, overlap)
-    own = docs.filter(F.col("text").isNotNull()).withColumn("content_id", sha256(normalize_text(F.col("text"))))
+    own = named_contents(docs, ident)
     # the row of the smallest id stands for a content: pre-aggregated, texts are joined after
     first = own.groupBy("content_id").agg(F.min(ident).alias(ident))
     contents = own.join(first, ["content_id", ident]).dropDuplicates(["content_id"])
@@ -40,8 +51,12 @@ def index_files(files: DataFrame, stored: DataFrame, embedding: str, size: int =
     """
     profile = chunking_profile(target, overlap)
     docs = files.filter(sha256(F.col("content")) == F.col("sha256")).select("file_id", "name", decoded(F.col("content")).alias("text"))
+    docs = docs.filter(F.col("text").isNotNull()).select(sha256(normalize_text(F.col("text"))).alias("content_id"), "file_id", "name", "text")
+    path = work_path(files.sparkSession, "texts")
+    docs.write.parquet(path)
+    docs = files.sparkSession.read.schema(docs.schema).parquet(path)
     chunks = index_documents(docs, "file_id", target, overlap)
-    names = docs.filter(F.col("text").isNotNull()).groupBy(sha256(normalize_text(F.col("text"))).alias("content_id")).agg(F.min_by("name", "file_id").alias("name"))
+    names = docs.groupBy("content_id").agg(F.min_by("name", "file_id").alias("name"))
     counts = chunks.groupBy("content_id").agg(F.count(F.lit(1)).alias("expected"))
     due = not_yet_indexed(counts, stored, profile, embedding, forced).filter("embed").select("content_id")
     out = chunks.join(due, "content_id").join(names, "content_id")

@@ -116,12 +116,12 @@ def test_model_embedding_runs_in_batches_and_checks_sizes(spark):
 
 
 def test_vector_search_in_batches(spark, monkeypatch):
-    from folioworks.operators import search
+    from folioworks.operators import search, vector_index
 
     points = spark.createDataFrame([(f"p{i}", [float(i % 7 + 1), float(i % 5), float(i)]) for i in range(40)], "point_id string, vector array<double>")
     queries = spark.createDataFrame([(i, [1.0, float(i % 9), float(i % 4)]) for i in range(25)], "query_id long, vector array<double>")
     whole = sorted(search.vector_leg(points, queries, 3).collect())
-    monkeypatch.setattr(search, "MAX_QUERIES", 10)
+    monkeypatch.setattr(vector_index, "TOGETHER", 10)
     assert sorted(search.vector_leg(points, queries, 3).collect()) == whole and len(whole) == 75
 
 
