@@ -10,9 +10,8 @@ document with a smaller id is removed.
    neighbouring strings of one bucket form a fragment of text.
 3. The buckets of all documents are counted as packed hashes; those that two
    documents share are marked in a bit table of bounded size.  Only fragments of
-   marked buckets go on.  A false mark costs work and changes nothing; where
-   the table would exceed its bound, hash slices of the buckets are worked off
-   one after the other.
+   marked buckets go on.  A false mark costs work and changes nothing; the more
+   buckets there are beyond the table's bound, the more marks are false, up to all.
 4. The distinct fragments of a bucket meet in one task, each with the smallest
    id that has it.  A bucket with one fragment needs no search, as all its strings
    start first where the fragment does.  The others are sorted in blocks into a suffix array, and
@@ -209,7 +208,7 @@ def shared_table(texts: DataFrame, length: int, bits: int, chunks: int) -> BitTa
 
 
 def fragments_of(texts: DataFrame, length: int, table: BitTables) -> DataFrame:
-    """Rows of two kinds: occurrences ``print, id, start``; distinct fragments of a task ``print, id, bucket, many, body``.
+    """Rows of two kinds: occurrences ``print, id, start``; distinct fragments of a task ``id, bucket, many, body``, whose print follows from the body.
 
     ``id`` of a fragment is the smallest that the task has seen, ``many`` whether it saw another.
     """
@@ -230,7 +229,7 @@ def fragments_of(texts: DataFrame, length: int, table: BitTables) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         def bodies() -> pa.RecordBatch:
-            rows = [(p, i, None, b, m, body) for body, (p, i, b, m) in seen.items()]
+            rows = [(None, i, None, b, m, body) for body, (_, i, b, m) in seen.items()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -242,7 +241,7 @@ def fragments_of(texts: DataFrame, length: int, table: BitTables) -> DataFrame:
                     body = data[a : z + length]
                     own = seen.get(body)
                     if own is None:
-                        own = seen[body] = [xxhash.xxh3_128_digest(body), doc, b, False]
+                        own = seen[body] = [print_of(body), doc, b, False]
                     elif own[1] != doc:
                         own[1], own[3] = min(own[1], doc), True
                     prints.append(own[0])
@@ -262,6 +261,11 @@ def fragments_of(texts: DataFrame, length: int, table: BitTables) -> DataFrame:
     return texts.mapInArrow(cut, "print binary, id bigint, start int, bucket bigint, many boolean, body binary")
 
 
+def print_of(body: bytes) -> bytes:
+    """What stands for a fragment: 96 bits of its hash."""
+    return xxhash.xxh3_128_digest(body)[:12]
+
+
 RUNS = "runs array<struct<first:int,last:int,least:bigint>>"
 HOT = "id bigint, many boolean, body binary"
 
@@ -285,13 +289,13 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
             """Takes the only fragment of a bucket out of the search; nothing is found for one that one document has."""
             nonlocal size
             if len(held) == before + 1:
-                body, (p, doc, many) = held.popitem()
+                body, (doc, many) = held.popitem()
                 size -= len(body)
                 if many:
-                    single.append((p, doc, body))
+                    single.append((print_of(body), doc, body))
 
         def block() -> pa.RecordBatch:
-            prints, ids, many = zip(*held.values(), strict=True)
+            prints, (ids, many) = [print_of(body) for body in held], zip(*held.values(), strict=True)
             ids = np.array(ids)
             prints, runs = runs_of(prints, ids, np.array(many), *first_ids(list(held), ids, length)).columns
             return pa.RecordBatch.from_arrays([prints, runs.cast(kinds[1]), *(pa.nulls(len(prints), k) for k in kinds[2:])], names=names)
@@ -302,12 +306,12 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([p for p, *_ in single], pa.binary()), pa.array(runs, kinds[1]), *(pa.nulls(n, k) for k in kinds[2:])], names=names)
 
         def unsearched(rows: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*((p, None, doc, many, body) for p, doc, many, body in rows), strict=True)
+            columns = zip(*((print_of(body), None, doc, many, body) for doc, many, body in rows), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
             passed = []
-            for p, doc, b, many, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for doc, b, many, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if b != bucket:
                     ended()
                     if size > BLOCK_BYTES:
@@ -318,15 +322,15 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
                         single = []
                     bucket, before, size_before, hot = b, len(held), size, False
                 if hot:
-                    passed.append((p, doc, many, body))
+                    passed.append((doc, many, body))
                     continue
                 own = held.get(body)
                 if own is None:
-                    held[body] = [p, doc, many]
+                    held[body] = [doc, many]
                     size += len(body)
                 else:
-                    own[2] = own[2] or many or own[1] != doc
-                    own[1] = min(own[1], doc)
+                    own[1] = own[1] or many or own[0] != doc
+                    own[0] = min(own[0], doc)
                 if size - size_before > most:
                     hot = True
                     for other in list(held)[before:]:
@@ -340,7 +344,7 @@ def found_in(bodies: DataFrame, length: int) -> DataFrame:
         if single:
             yield alone()
 
-    rows = bodies.select("print", "id", "bucket", "many", "body").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    rows = bodies.select("id", "bucket", "many", "body").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     found = written(rows.mapInArrow(search, f"print binary, {RUNS}, {HOT}"), "found")
     searched = found.filter("runs IS NOT NULL").select("print", "runs")
     hot = found.filter("runs IS NULL")
