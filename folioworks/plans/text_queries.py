@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text, times, vectors
 from ..operators import chunking, embedding, rag, search
+from ..sources import files
 from .registry import query
 
 NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -184,6 +185,49 @@ HASHED = r"""
 query("r3_hashed_embedding", "catalog", more=HASHED, sql="SELECT entry_id, s AS slot, round(n / z, 6) AS value FROM slots JOIN norms USING (entry_id)")(
     lambda t: t.select("entry_id", F.posexplode(embedding.hashed(embedding.with_context(T("text"), T("relative_path")), 8)).alias("slot", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
 )
+
+
+class Counting:
+    """A small model: a passage's characters and words; a query has a third number."""
+
+    def embed(self, texts):
+        return [[float(len(t)), float(len(t.split(" ")))] for t in texts]
+
+    def embed_query(self, text):
+        return [[*self.embed([text])[0], 1.0]]
+
+
+query("r3_x3_passage_model", "docs", sql="SELECT doc_id, CAST(length(text) AS FLOAT) AS characters, CAST(len(string_split(text, ' ')) AS FLOAT) AS words FROM docs")(
+    lambda d: embedding.embed(d.select("doc_id", "text"), "text", 2, Counting).select("doc_id", T("vector")[0].alias("characters"), T("vector")[1].alias("words"))
+)
+query("r3b_query_vectors", "queries", sql="SELECT query_id, CAST(length(question) AS FLOAT) AS characters, CAST(len(string_split(question, ' ')) AS FLOAT) AS words, CAST(1 AS FLOAT) AS one FROM queries")(
+    lambda q: embedding.embed_queries(q.select("query_id", "question"), "question", 3, Counting).select("query_id", *[T("vector")[i].alias(n) for i, n in enumerate(("characters", "words", "one"))])
+)
+query(
+    "x1_other_tokenizer", "docs", more=CHUNKS.replace(TOKENS.format("t"), "regexp_extract_all(lower(t), '[a-z0-9]+')"),
+    sql="SELECT doc_id, chunk_index, CAST(len(c) AS BIGINT) AS token_count, page_start, page_end, sha256(array_to_string(c, ' ')) AS text_hash FROM chunks",
+)(
+    lambda d: chunking.chunk_pages(page_rows(d), "doc_id", 100, 20, tokenize=lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0))).drop("text")
+)
+
+
+def by_lines():
+    """An extractor of numbered lines that refuses files beginning with a capital A."""
+
+    def run(path: str, content: bytes) -> list[tuple[int, str]]:
+        if content.startswith(b"A"):
+            raise ValueError(path)
+        return [(i + 1, line) for i, line in enumerate(content.decode().split("\n"))]
+
+    return run
+
+
+query(
+    "x2_extractor", "docs", more="p AS (SELECT CAST(doc_id AS VARCHAR) AS path, text, string_split(text, chr(10)) AS a FROM docs)",
+    sql="SELECT path, CAST(i - 1 AS INTEGER) AS index, CAST(i AS INTEGER) AS page_number, a[i] AS text, NULL::VARCHAR AS error FROM (SELECT path, a, unnest(range(1, len(a) + 1)) AS i FROM p WHERE NOT starts_with(text, 'A')) x UNION ALL SELECT path, NULL, NULL, NULL, 'ValueError' FROM p WHERE starts_with(text, 'A')",
+)(
+    lambda d: files.extract(d.select(T("doc_id").cast("string").alias("path"), T("text").cast("binary").alias("content")), by_lines)
+)
 ALLOWED = "SELECT DISTINCT content_id FROM catalog WHERE content_id IS NOT NULL AND location_id IN ('src1', 'src2', 'src3') AND extension IN ('md', 'txt') AND state = 'indexed'"
 query("p11_allowed_contents", "catalog", sql=ALLOWED)(lambda t: search.allowed_contents(t, ["src1", "src2", "src3"], ["md", "txt"]))
 SCORED = SYN + r""",
