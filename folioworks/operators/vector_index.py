@@ -11,8 +11,8 @@ with the length of what they miss, and the postings of its terms.  A search
    computes only those that may be among the k best.
 
 So results are those of comparing all pairs.  The keyword leg takes the points with
-any of a query's terms: the block's postings are joined to one bitmap, the rarest
-terms first, until it holds every allowed point.  Only the k best points of a block
+any of a query's terms: the block's postings are joined to one bitmap, its rarest
+terms first, until it holds every point, and cut to the allowed ones.  Only the k best points of a block
 leave its task.  Centres are at most ``CENTRES`` points drawn by a hash of the id.
 """
 
@@ -65,6 +65,9 @@ def build_index(points: DataFrame, distance: str = "cosine") -> Index:
         F.coalesce(F.transform("terms", lambda t: F.xxhash64(t)), F.array()).cast("array<bigint>").alias("terms") if "terms" in points.columns else F.array().cast("array<bigint>").alias("terms"),
         F.coalesce("allowed", F.lit(False)).alias("allowed") if "allowed" in points.columns else F.lit(True).alias("allowed"),
     ).filter("vector IS NOT NULL")
+    path = work_path(spark, "points")
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
     n = own.count()
     drawn = own.orderBy(F.xxhash64("point_id"), "point_id").limit(min(CENTRES, max(1, -(-n // PER_CENTRE)))).select("vector").collect()  # at most CENTRES vectors
     size = len(drawn[0][0]) if drawn else 0
@@ -146,18 +149,20 @@ class Block:
     def score(self, dots: np.ndarray, squares: np.ndarray, own: np.ndarray) -> np.ndarray:
         return -np.sqrt(np.maximum(0.0, squares + own - 2 * dots)) if self.distance == "euclid" else dots
 
-    def having(self, terms: list[int]) -> np.ndarray:
-        """The allowed points with any of the terms, which come rarest first."""
+    def having(self, terms: np.ndarray) -> np.ndarray:
+        """The allowed points with any of the terms; the rarest of the block's terms are joined first, until all points are there."""
         out = np.zeros(len(self.ids), bool)
-        left = int(self.allowed.sum())
-        for t in terms:
-            at = int(np.searchsorted(self.words, t))
-            if at < len(self.words) and self.words[at] == t:
-                out[self.posts[self.starts[at] : self.starts[at + 1]]] = True
-                out &= self.allowed
-                if np.count_nonzero(out) == left:
-                    break
-        return out
+        at = np.searchsorted(self.words, terms)
+        at = at[(at < len(self.words)) & (self.words[np.minimum(at, len(self.words) - 1)] == terms)] if len(self.words) else at[:0]
+        sizes = self.starts[at + 1] - self.starts[at]
+        left = len(self.ids)
+        for t in at[np.argsort(sizes)].tolist():
+            own = self.posts[self.starts[t] : self.starts[t + 1]]
+            left -= np.count_nonzero(~out[own])
+            out[own] = True
+            if not left:
+                break
+        return out & self.allowed
 
     def best(self, queries: np.ndarray, fit: np.ndarray, k: int, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, point and score of each query's k best fitting points of the block."""
@@ -182,21 +187,6 @@ class Block:
         return row[few], column[few], scores[few]
 
 
-def rarest_first(index: Index, queries: DataFrame) -> DataFrame:
-    """``queries(query_id, vector, terms)`` with ``hashes``: of the terms that any point has, by how many points have them."""
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, starts, posts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                n = np.diff(np.append(np.frombuffer(starts, "<u4").astype(np.int64), len(posts) // 2))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, "<i8")), pa.array(n)], names=["hash", "points"])
-
-    counts = index.blocks.select("words", "starts", "posts").mapInArrow(frequencies, "hash bigint, points bigint").groupBy("hash").agg(F.sum("points").alias("points"))
-    asked = queries.select("query_id", F.explode("terms").alias("t")).select("query_id", F.xxhash64("t").alias("hash"))
-    found = asked.join(counts, "hash").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("points", "hash"))), lambda x: x["hash"]).alias("hashes"))
-    return queries.join(found, "query_id", "left").withColumn("hashes", F.coalesce("hashes", F.array().cast("array<bigint>")))
-
-
 def search_index(index: Index, queries: DataFrame, k: int, threshold: float | None = None, legs: tuple[str, ...] = ("vector",), with_work: bool = False) -> DataFrame:
     """``leg, query_id, point_id, score``: a superset of each query's k best points by leg, and the k best themselves.
 
@@ -204,10 +194,8 @@ def search_index(index: Index, queries: DataFrame, k: int, threshold: float | No
     points with one of the query's ``terms``.  ``with_work`` adds ``scored``, the exact scores
     that a block computed for the row's queries, once a batch of them.
     """
-    own = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), "terms") if "keyword" in legs else queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.array().cast("array<string>").alias("terms"))
-    own = own.filter("vector IS NOT NULL")
-    own = rarest_first(index, own) if "keyword" in legs else own.withColumn("hashes", F.array().cast("array<bigint>"))
-    own = own.select("query_id", "vector", "hashes")
+    hashes = F.coalesce(F.array_distinct(F.transform("terms", lambda t: F.xxhash64(t))), F.array()) if "keyword" in legs else F.array()
+    own = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), hashes.cast("array<bigint>").alias("hashes")).filter("vector IS NOT NULL")
     visits = own.mapInArrow(_visits(index), f"query_id {own.schema['query_id'].dataType.simpleString()}, vector array<double>, hashes array<bigint>, cluster int, bound double, turn int")
     if len(index.centres) < 2:
         return _searched(index, visits, k, threshold, legs, with_work)
@@ -275,7 +263,7 @@ def _searched(index: Index, visits: DataFrame, k: int, threshold: float | None,
             ids, q, hashes = [r[0] for r in held], np.array([r[1] for r in held], np.float64).reshape(-1, size), [r[2] for r in held]
             q = _unit(q) if distance == "cosine" else q
             for leg in legs:
-                fit = np.broadcast_to(block.allowed, (len(q), len(block.ids))) if leg == "vector" else np.stack([block.having(h) for h in hashes])
+                fit = np.broadcast_to(block.allowed, (len(q), len(block.ids))) if leg == "vector" else np.stack([block.having(np.array(h, np.int64)) for h in hashes])
                 row, column, scores = block.best(q, fit, k, threshold if leg == "vector" else None)
                 found = {"leg": [leg] * len(row), "query_id": [ids[r] for r in row.tolist()], "point_id": [block.ids[c] for c in column.tolist()], "score": scores.tolist()}
                 if with_work:
