@@ -54,9 +54,9 @@ def test_csv_sections(spark):
 def test_sections_and_status(spark):
     df = spark.createDataFrame([("d", "one\n\n  two \n \t\n\nthree")], "d string, text string")
     assert [r["section"] for r in chunking.text_sections(df, "d").orderBy("index").collect()] == ["one", "two", "three"]
-    rows = [("pdf", b"x"), ("txt", b""), ("md", b"\xff\xfe"), ("csv", b" \n"), ("txt", b"ok"), ("txt", None)]
+    rows = [("pdf", b"x"), ("txt", b""), ("md", b"\x89PNG\r\n\x1a\n\x00"), ("md", b"\xff\xfe"), ("csv", b" \n"), ("txt", b"ok"), ("txt", None)]
     got = spark.createDataFrame(rows, "e string, c binary").select(chunking.extraction_status(C("e"), C("c")).alias("s")).collect()
-    assert [r["s"] for r in got] == ["unsupported_type", "empty_file", "unsupported_encoding", "no_extractable_text", "ok", "empty_file"]
+    assert [r["s"] for r in got] == ["unsupported_type", "empty_file", "unsupported_encoding", "no_extractable_text", "no_extractable_text", "ok", "empty_file"]
 
 
 def test_normalize_and_hashes(spark):
