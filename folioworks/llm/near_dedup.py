@@ -12,9 +12,11 @@
 4. Edges between different components are confirmed on the full sets; hubs are
    dealt over as many tasks as their edges need.  ``ROUNDS`` rounds join most of
    what belongs together.
-5. What the stars have missed is found exactly: members in different components
+5. What the stars have missed is looked for in all pairs: members in different components
    of a bucket are compared in blocks inside tasks, two slices of about ``SLICE``
-   members at a time, by their sizes and by how many bands they share; pairs
+   members at a time, by their sizes and by how many bands they share: one at
+   least, or ``SHARED`` where both sets have ``BINS`` shingles and more, which
+   similar sets miss about as rarely as they miss all buckets; pairs
    that pass are confirmed on the full sets, again in blocks.  Only links leave
    a block, each pair is looked at in its first common bucket, and members of a
    large bucket's largest component are not compared with each other.
@@ -23,7 +25,7 @@ Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A text with fewer word
 than a shingle has its whole sequence as one; null texts and texts without
 words have no shingles and are linked with nothing.  Rows with a null id are
 returned with a null component and are not compared.  Repeated rows count as
-one node.  An empty table gives an empty result.
+one node; rows that share an id must share the text.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
