@@ -13,7 +13,6 @@ import tempfile
 
 import numpy as np
 
-ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 #: Place of the n-th one in a byte.
 PLACES = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
 LONGEST = 56
@@ -48,23 +47,25 @@ class EliasFano:
         ones = np.cumsum(np.concatenate([[0], flags.reshape(-1, 64).sum(axis=1)])).astype(np.int64)
         return {f"{name}.size": np.array([n, bits], np.int64), f"{name}.low": packed(values, bits), f"{name}.high": np.packbits(flags, bitorder="little"), f"{name}.before": ones}
 
-    def _in_word(self, word: np.ndarray, n: np.ndarray, flip: int) -> np.ndarray:
-        """Place in the string of the n-th one (or zero, with ``flip`` 255) of these 64 bits."""
-        own = self.high.reshape(-1, 8)[word] ^ np.uint8(flip)
-        upto = np.cumsum(ONES[own], axis=1, dtype=np.int64)
-        byte = (upto <= n[:, None]).sum(axis=1)
+    def _in_word(self, word: np.ndarray, n: np.ndarray, flip: bool) -> np.ndarray:
+        """Place in the string of the n-th one (or zero, with ``flip``) of these 64 bits."""
+        own = self.high.reshape(-1, 8)[word]
+        if flip:
+            own = ~own
+        upto = np.cumsum(np.bitwise_count(own), axis=1, dtype=np.uint8)
+        byte = (upto <= n.astype(np.uint8)[:, None]).sum(axis=1, dtype=np.int64)
         line = np.arange(len(word))
         rest = n - np.where(byte > 0, upto[line, byte - 1], 0)
         return word * 64 + byte * 8 + PLACES[own[line, byte], rest]
 
     def _one(self, n: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.before, n, side="right") - 1
-        return self._in_word(word, n - self.before[word], 0)
+        return self._in_word(word, n - self.before[word], False)
 
     def _zero(self, n: np.ndarray) -> np.ndarray:
         zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
         word = np.searchsorted(zeros, n, side="right") - 1
-        return self._in_word(word, n - zeros[word], 255)
+        return self._in_word(word, n - zeros[word], True)
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         place = at * self.bits
