@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once a row, however often ``f`` names it, also inside lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(_double(a), _double(b), lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
@@ -38,8 +45,7 @@ def similarity(distance: str, a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(_double(a), lambda x: x / size)).otherwise(_double(a))
+    return once(_double(a), lambda v: once(norm(v), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)))
 
 
 def rrf_term(rank: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import embedding_context
 from ..functions.text import keyword_terms
-from ..functions.vectors import normalize
+from ..functions.vectors import normalize, once
 
 
 def with_context(text: Column, name: Column) -> Column:
@@ -27,7 +27,7 @@ def with_context(text: Column, name: Column) -> Column:
 
 def hashed(text: Column, size: int) -> Column:
     slots = F.transform(keyword_terms(text), lambda t: F.pmod(F.conv(F.substring(F.sha2(t, 256), 1, 2), 16, 10).cast("int"), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    counts = once(slots, lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double")))
     return normalize(counts)
 
 

@@ -100,6 +100,19 @@ def test_vectors(spark):
     assert one(spark, vectors.percent(F.lit(0), F.lit(0))) == 0.0
 
 
+def test_terms_and_lengths_are_computed_once(spark):
+    from folioworks.operators.embedding import hashed
+
+    # values that differ each time they are computed: one random term is in one slot, random vectors get unit length
+    rows = spark.range(40)
+    term = F.replace(F.expr("uuid()"), F.lit("-"))
+    for r in rows.select(hashed(term, 8).alias("v")).collect():
+        assert sorted(r["v"]) == [0.0] * 7 + [1.0]
+    for r in rows.select(vectors.normalize(F.array(F.rand(), F.rand(), F.rand())).alias("v")).collect():
+        assert sum(x * x for x in r["v"]) == pytest.approx(1.0)
+    assert spark.range(1).select(vectors.normalize(F.expr("CAST(NULL AS array<double>)")).alias("v")).first()["v"] is None
+
+
 def test_model_embedding_runs_in_batches_and_checks_sizes(spark):
     from folioworks.operators.embedding import embed, hashed, with_context
 
