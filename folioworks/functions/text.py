@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,14 +25,27 @@ SYNONYMS = {
 }
 
 
-@F.pandas_udf(StringType())
-def _nfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+# Characters that composition leaves as they are, whatever stands beside them.
+COMPOSED = (
+    r"\x{0}-\x{2FF}\x{370}-\x{373}\x{375}-\x{37D}\x{37F}-\x{386}\x{388}-\x{482}\x{48A}-\x{590}\x{2002}-\x{20CF}\x{2100}-\x{2125}\x{2190}-\x{2328}\x{232B}-\x{2ADB}"
+    r"\x{3000}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{FF01}-\x{FFEF}\x{1F300}-\x{1FAFF}"
+)
+
+
+def by_parts(values: pa.Array, one: Callable[[pa.Array], pa.Array], size: int = 256) -> pa.Array:
+    """``one`` of ``size`` rows after the other, so that a worker holds Python objects of few rows only."""
+    return pa.concat_arrays([one(values.slice(i, size)) for i in range(0, max(1, len(values)), size)])
+
+
+@F.arrow_udf(StringType())
+def _nfc(x: pa.Array) -> pa.Array:
+    return by_parts(x, lambda part: pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in part.to_pylist()], pa.string()))
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition; ASCII rows stay in the JVM values they are."""
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(_nfc(text))
+    """Canonical composition; texts that it cannot change stay in the JVM values they are."""
+    unsure = (F.length(text) != F.octet_length(text)) & F.rlike(text, F.lit(f"[^{COMPOSED}]"))
+    return F.coalesce(_nfc(F.when(unsure, text)), text)
 
 
 def collapse_space(text: Column) -> Column:

@@ -67,6 +67,26 @@ def test_normalize_and_hashes(spark):
     assert one(spark, ids.uuid5(ids.CHUNK_NAMESPACE, C("n")), n=name) == str(uuid.uuid5(uuid.UUID(ids.CHUNK_NAMESPACE), name))
 
 
+def test_composition_leaves_python_out_and_takes_few_rows_at_once(spark):
+    import re
+    import unicodedata
+
+    import pyarrow as pa
+
+    own = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), text.COMPOSED) + "]")
+    parts = [unicodedata.decomposition(chr(c)).split() for c in range(0x30000)]
+    later = {int(x, 16) for p in parts if p and p[0][0] != "<" for x in p[1:]} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    safe = [c for c in range(0x30000) if own.match(chr(c))]
+    assert len(safe) > 30_000 and all(unicodedata.is_normalized("NFC", chr(c)) and not unicodedata.combining(chr(c)) and c not in later for c in safe)
+    texts = ["plain", "\u00e9\u4e00\uac00\U0001f600", "e\u0301", "\u1100\u1161\u11a8", "\uac00\u11a8", "\u212b", "\u037e", "q\u0323\u0307 q\u0307\u0323", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = {r["n"]: r["c"] for r in rows.select("n", text.nfc(F.col("t")).alias("c")).collect()}
+    assert got == {n: None if t is None else unicodedata.normalize("NFC", t) for n, t in enumerate(texts)}
+    sizes = []
+    assert text.by_parts(pa.array(range(1000)), lambda part: sizes.append(len(part)) or part, 300).to_pylist() == list(range(1000))
+    assert sizes == [300, 300, 300, 100] and len(text.by_parts(pa.array([], pa.string()), lambda part: part)) == 0
+
+
 def test_keyword_expansion(spark):
     assert one(spark, text.expand_terms(C("t")), t="Albert's job a") == ["albert", "job", "role", "position", "employment", "experience"]
     assert one(spark, text.keyword_terms(C("t")), t="a ? !") == []
