@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.ids import sha256
-from ..functions.text import tokens
+from ..functions.text import by_parts, tokens
 from ..sources.files import decoded
 
 
@@ -98,8 +98,12 @@ def chunk_pages(pages: DataFrame, ident: str, target: int, overlap: int, tokeniz
     @F.arrow_udf(ArrayType(CHUNK))
     def cut(texts: pa.Array, numbers: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("text", pa.string()), ("token_count", pa.int64()), ("page_start", pa.int32()), ("page_end", pa.int32())]))
-        found = (cut_pages([t.split(BETWEEN) for t in own], which, target, overlap) for own, which in zip(texts.to_pylist(), numbers.to_pylist(), strict=True))
-        return pa.array([[dict(zip(CHUNK.names, c, strict=True)) for c in own] for own in found], kind)
+
+        def part(rows: pa.StructArray) -> pa.Array:
+            found = (cut_pages([t.split(BETWEEN) for t in own], which, target, overlap) for own, which in zip(rows.field("texts").to_pylist(), rows.field("numbers").to_pylist(), strict=True))
+            return pa.array([[dict(zip(CHUNK.names, c, strict=True)) for c in own] for own in found], kind)
+
+        return by_parts(pa.StructArray.from_arrays([texts, numbers], names=["texts", "numbers"]), part, 64)
 
     own = pages.withColumn("toks", tokenize(F.col("text"))).filter(F.size("toks") > 0)
     row = F.struct("index", "page_number", F.array_join("toks", BETWEEN).alias("own"))
