@@ -55,7 +55,10 @@ def index_files(files: DataFrame, stored: DataFrame, embedding: str, size: int =
     path = work_path(files.sparkSession, "texts")
     docs.write.parquet(path)
     docs = files.sparkSession.read.schema(docs.schema).parquet(path)
-    chunks = index_documents(docs, "file_id", target, overlap)
+    # counted and embedded: cut once
+    own, path = index_documents(docs, "file_id", target, overlap), work_path(files.sparkSession, "chunks")
+    own.write.parquet(path)
+    chunks = files.sparkSession.read.schema(own.schema).parquet(path)
     names = docs.groupBy("content_id").agg(F.min_by("name", "file_id").alias("name"))
     counts = chunks.groupBy("content_id").agg(F.count(F.lit(1)).alias("expected"))
     due = not_yet_indexed(counts, stored, profile, embedding, forced).filter("embed").select("content_id")

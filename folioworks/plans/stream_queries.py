@@ -313,8 +313,9 @@ def verified_points(docs: DataFrame) -> DataFrame:
     """Points of all files but those whose bytes have changed since they were observed; every third content is stored already."""
     files = docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("f_"), F.col("k").cast("string"), F.lit(".txt")).alias("name"), F.expr(bytes_of("text")).alias("content"), "k")
     files = files.withColumn("sha256", F.when(F.col("k") % 7 == 3, "changed").otherwise(sha256(F.col("content")))).drop("k")
-    chunks = index_documents(docs.filter("k % 7 <> 3"))
-    stored = chunks.filter("conv(substr(content_id, 1, 4), 16, 10) % 3 = 0").select("content_id", F.lit(PROFILE).alias("chunking_profile"), F.lit("e1").alias("embedding_profile"))
+    path = work_path(docs.sparkSession, "stored")
+    index_documents(docs.filter("k % 7 <> 3")).select("content_id").write.parquet(path)
+    stored = docs.sparkSession.read.parquet(path).filter("conv(substr(content_id, 1, 4), 16, 10) % 3 = 0").select("content_id", F.lit(PROFILE).alias("chunking_profile"), F.lit("e1").alias("embedding_profile"))
     return index_files(files, stored, "e1").select("content_id", "chunk_id", "point_id", "chunk_index", F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("slots"))
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import by_parts
+
 # Letters of languages (of the scripts, frequent ones first) and their charsets.
 LATIN = {
     "éèàêçùâîôûëïœæÿ": ("cp1252", "iso8859_15"),  # French
@@ -171,8 +173,11 @@ def detect(data: bytes) -> tuple[str | None, str | None]:
 
 @F.arrow_udf(StructType().add("text", "string").add("charset", "string"))
 def _guessed(content: pa.Array) -> pa.Array:
-    found = [(None, None) if c is None else detect(c) for c in content.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["text", "charset"])
+    def part(rows: pa.Array) -> pa.Array:
+        found = [(None, None) if c is None else detect(c) for c in rows.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["text", "charset"])
+
+    return by_parts(content, part)
 
 
 def decoded_with_charset(content: Column) -> Column:

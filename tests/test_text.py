@@ -196,3 +196,14 @@ def test_changed_and_stored_files_are_left_out(spark):
     assert [r["text"] for r in rows] == ["one text"] and len(rows[0]["vector"]) == 8
     assert {r["text"] for r in index_files(files, stored, "other").collect()} == {"one text", "stored"}
     assert {r["text"] for r in index_files(files, stored, "e", forced=True).collect()} == {"one text", "stored"}
+
+
+def test_files_are_cut_once(spark):
+    from folioworks.operators.indexing import index_files
+
+    files = spark.createDataFrame([(n, "a.txt", f"some text {n}".encode()) for n in range(3)], "file_id long, name string, content binary").withColumn("sha256", F.sha2("content", 256))
+    stored = spark.createDataFrame([], "content_id string, chunking_profile string, embedding_profile string")
+    points = index_files(files, stored, "e1")
+    # chunks are counted and embedded from one written table
+    assert "cut(" not in points._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["text"] for r in points.collect()) == [f"some text {n}" for n in range(3)]
