@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Groups of paths whose state is read and written together.
+#: Groups of paths, or of jobs, whose state is read and written together.
 GROUPS = 256
 
 FILE = "location_id string, relative_path string, size bigint, mtime timestamp, sha256 string, seen bigint"
 CHANGE = "scan_at timestamp, kind string, location_id string, relative_path string, size bigint, mtime timestamp, sha256 string"
-BEAT = "event_id bigint, ts bigint, cancel boolean"
-LAST = "event_id bigint, ts bigint, cancel boolean, attempt bigint, told boolean"
+BEAT = "job_id bigint, event_id bigint, ts bigint, cancel boolean"
+LAST = "job_id bigint, event_id bigint, ts bigint, cancel boolean, attempt bigint, told boolean"
 EXPIRY = "job_id bigint, event_id bigint, attempt bigint, outcome string, expired_at timestamp"
 
 
@@ -103,37 +103,40 @@ def changed_files(scans: DataFrame) -> DataFrame:
 
 
 class Leases(StatefulProcessor):
-    """State of a job: its last beat, and beats that the watermark has not reached."""
+    """State of a group of jobs: the last beat of each, and beats that the watermark has not reached."""
 
     def __init__(self, lease_seconds: float, most_attempts: int) -> None:
         self.lease, self.most = int(lease_seconds * 1_000_000), most_attempts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", LAST)
+        self.last = handle.getListState("last", LAST)
         self.ahead = handle.getListState("ahead", BEAT)
 
-    def _advance(self, job: int, beats: list[tuple], now_ms: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, beats: list[tuple], now_ms: int) -> Iterator[pd.DataFrame]:
         """Takes the beats up to the watermark in order and yields the leases that ended."""
         now, out = now_ms * 1000, []
-        event_id, ts, cancel, attempt, told = tuple(self.last.get()) if self.last.exists() else (None, None, None, 0, True)
-        for beat in sorted((b for b in beats if b[1] <= now), key=lambda b: (b[1], b[0])):
-            if not told and beat[1] - ts > self.lease:
-                out.append((job, event_id, attempt, cancel, ts))
-            event_id, ts, cancel = beat
-            attempt, told = attempt + 1, False
-        if not told and now - ts > self.lease:  # no beat within the lease can come any more
-            out.append((job, event_id, attempt, cancel, ts))
-            told = True
-        later = [b for b in beats if b[1] > now]
-        if ts is not None:
-            self.last.update((event_id, ts, cancel, attempt, told))
+        known = {job: last for job, *last in map(tuple, self.last.get())}
+        for job, event_id, ts, cancel in sorted((b for b in beats if b[2] <= now), key=lambda b: (b[2], b[1])):
+            old = known.get(job, (None, None, None, 0, True))
+            if not old[4] and ts - old[1] > self.lease:
+                out.append((job, *old[:4]))
+            known[job] = [event_id, ts, cancel, old[3] + 1, False]
+        later = [b for b in beats if b[2] > now]
+        waits = [b[2] for b in later]
+        for job, last in known.items():
+            if not last[4] and now - last[1] > self.lease:  # no beat within the lease can come any more
+                out.append((job, *last[:4]))
+                last[4] = True
+            waits += [] if last[4] else [last[1] + self.lease]
+        if known:
+            self.last.put([(job, *last) for job, last in known.items()])
         self.ahead.put(later) if later else self.ahead.clear()
-        waits = [b[1] for b in later] + ([] if told else [ts + self.lease])
         if waits:
             self.handle.registerTimer(max(min(waits) // 1000 + 1, now_ms + 1))
         if out:
-            found = pd.DataFrame(out, columns=["job_id", "event_id", "attempt", "cancel", "ts"])
+            found = pd.DataFrame(out, columns=["job_id", "event_id", "ts", "cancel", "attempt"])
+            found["job_id"] = pd.array([f[0] for f in out], dtype="Int64")
             found["outcome"] = ["cancelled" if c else "failed" if a >= self.most else "retry_wait" for c, a in zip(found["cancel"], found["attempt"], strict=True)]
             found["expired_at"] = pd.to_datetime(found["ts"] + self.lease, unit="us")
             yield found[[c.split()[0] for c in EXPIRY.split(", ")]]
@@ -141,11 +144,12 @@ class Leases(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         beats = [tuple(b) for b in self.ahead.get()]
         for part in rows:
-            beats += zip(part["event_id"].tolist(), part["micros"].tolist(), part["cancel"].tolist(), strict=True)
-        yield from self._advance(key[0], beats, timerValues.getCurrentWatermarkInMs())
+            jobs = [None if j is None else int(j) for j in part["job"].tolist()]
+            beats += zip(jobs, part["event_id"].tolist(), part["micros"].tolist(), part["cancel"].tolist(), strict=True)
+        yield from self._advance(beats, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._advance(key[0], [tuple(b) for b in self.ahead.get()], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance([tuple(b) for b in self.ahead.get()], timerValues.getCurrentWatermarkInMs())
 
 
 def ended_leases(beats: DataFrame, lease_seconds: float, most_attempts: int, watermark: str = "10 minutes") -> DataFrame:
@@ -156,5 +160,6 @@ def ended_leases(beats: DataFrame, lease_seconds: float, most_attempts: int, wat
     that before a retry; attempts are counted in the order of time.
     """
     own = beats.select("job_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce("cancel", F.lit(False)).alias("cancel"))
-    own = own.withWatermark("ts", watermark).withColumn("micros", F.unix_micros("ts"))
-    return own.groupBy("job_id").transformWithStateInPandas(Leases(lease_seconds, most_attempts), EXPIRY, "Append", "EventTime")
+    # job ids go as strings: a null among numbers would make them floats
+    own = own.withWatermark("ts", watermark).withColumns({"micros": F.unix_micros("ts"), "job": F.col("job_id").cast("string"), "grp": F.pmod(F.xxhash64("job_id"), F.lit(GROUPS))})
+    return own.groupBy("grp").transformWithStateInPandas(Leases(lease_seconds, most_attempts), EXPIRY, "Append", "EventTime")

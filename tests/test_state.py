@@ -4,13 +4,14 @@ import random
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioworks.operators.catalog import upsert
 from folioworks.operators.reports import expired_leases
 from folioworks.sources.keyed import KeyedTable
 from folioworks.streaming.jobs import follow_files
-from folioworks.streaming.state import ended_leases, rocks_state
+from folioworks.streaming.state import Leases, ended_leases, rocks_state
 
 T0 = datetime(2025, 1, 1)
 SCAN = "scan_at timestamp, location_id string, relative_path string, size long, mtime timestamp, sha256 string"
@@ -102,3 +103,47 @@ def test_repeated_changes_of_one_key(spark):
     changes = spark.createDataFrame([(2, "b", 1), (2, "c", 2), (2, "b", 1), (3, "d", 1)], "k long, v string, n int")
     got = upsert(rows, changes, ["k"], F.lit(T0 + timedelta(days=1)), ["n"])
     assert sorted((r["k"], r["v"]) for r in got.collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+class Held:
+    """Stands for a handle with list states and timers."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], [], 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return Held()
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+
+    def clear(self):
+        self.calls, self.rows = self.calls + 1, []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_leases_of_many_jobs_share_their_state():
+    handle, leases = Held(), Leases(3600, 2)
+    leases.init(handle)
+    hour, jobs = 3_600_000_000, [*range(2**60, 2**60 + 99), None]
+    part = pd.DataFrame({"job": [None if j is None else str(j) for j in jobs] * 2, "event_id": range(200), "micros": [n * 1000 + b * 3 * hour for b in range(2) for n in range(100)], "cancel": False})
+    handle.now = 0
+    assert list(leases.handleInputRows((7,), iter([part]), handle)) == []
+    handle.now = 2 * 3_600_000
+    first = pd.concat(leases.handleExpiredTimer((7,), handle, None))
+    assert first["job_id"].astype(object).where(first["job_id"].notna(), None).tolist() == jobs and set(first["outcome"]) == {"retry_wait"}
+    handle.now = 5 * 3_600_000
+    last = pd.concat(leases.handleExpiredTimer((7,), handle, None))
+    assert len(last) == 100 and set(last["outcome"]) == {"failed"} and set(last["attempt"]) == {2}
+    assert list(leases.handleExpiredTimer((7,), handle, None)) == []
+    # one read and one write of each state a call, not of each job
+    assert leases.last.calls + leases.ahead.calls <= 16
