@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .work import work_path
+
 
 def last_changes(changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Of each key the row with the largest ``order`` (all columns decide between equal ones)."""
@@ -48,6 +50,10 @@ class KeyedTable:
         flag = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
         own = changes.withColumn("deleted", flag)
         new = self._bucketed(last_changes(own.drop(deleted) if deleted and deleted != "deleted" else own, [*self.key], [*self.order]))
+        # read twice below: a stream's batch must not run its state again
+        path = work_path(self.spark, "changes")
+        new.write.parquet(path)
+        new = self.spark.read.schema(new.schema).parquet(path)
         touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most one row a bucket
         if touched:
             old = self.spark.read.schema(new.schema).parquet(self.path).filter(F.col("bucket").isin(*touched))

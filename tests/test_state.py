@@ -147,3 +147,17 @@ def test_leases_of_many_jobs_share_their_state():
     assert list(leases.handleExpiredTimer((7,), handle, None)) == []
     # one read and one write of each state a call, not of each job
     assert leases.last.calls + leases.ahead.calls <= 16
+
+
+def test_changes_are_computed_once(spark, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}/t", ("k",), ("n",), 4)
+    table.create(spark.createDataFrame([(1, 0, 0)], "k long, v long, n int"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    table.change(spark.range(1, 21).select(counted("id").alias("k"), F.col("id").alias("v"), F.lit(1).alias("n")))
+    assert seen.value == 20 and sorted(r["v"] for r in table.read().collect()) == list(range(1, 21))
