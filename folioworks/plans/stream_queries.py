@@ -14,6 +14,7 @@ from ..functions.ids import CHUNK_NAMESPACE, POINT_NAMESPACE, sha256
 from ..operators.chunking import extraction_status
 from ..operators.indexing import index_documents, index_files
 from ..operators.reports import duplicate_groups
+from ..sources.charsets import decoded_in_folders
 from ..sources.files import decoded, hashed_files, list_files, load_pages, store_artifacts
 from ..sources.keyed import KeyedTable
 from ..sources.listing import READ, hash_files, list_tree, local_path
@@ -263,17 +264,17 @@ def encoded(texts: pa.Array, charsets: pa.Array) -> pa.Array:
 
 
 def in_ten_charsets(docs: DataFrame) -> DataFrame:
-    """All documents as bytes in ten charsets by turns, as text again."""
+    """All documents as bytes in ten charsets by turns, a folder for each, as text again."""
     turn = F.pmod(F.col("doc_id"), F.lit(len(CHARSETS))).cast("int")
     text, charset = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (name, script) in enumerate(CHARSETS.items()):
         text, charset = F.when(turn == i, F.expr(written_in(script))).otherwise(text), F.when(turn == i, name).otherwise(charset)
-    content = docs.select("doc_id", encoded(text, charset).alias("content"))
+    content = docs.select("doc_id", turn.alias("folder"), encoded(text, charset).alias("content"))
     # files have bytes: what is decoded is read from a table of them
     path = work_path(docs.sparkSession, "encoded")
     content.write.parquet(path)
     back = docs.sparkSession.read.parquet(path)
-    read = back.select("doc_id", "content", decoded(F.col("content")).alias("t"))
+    read = decoded_in_folders(back, "folder").withColumnRenamed("text", "t")
     return read.select("doc_id", F.length("t").cast("long").alias("chars"), sha256(F.col("t")).alias("text_sha256"), extraction_status(F.lit("txt"), F.col("content"), F.col("t")).alias("status"))
 
 

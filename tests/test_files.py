@@ -116,3 +116,24 @@ def test_incremental_ingest(spark, tmp_path):
         ingest(stream, index_documents, out, f"file://{tmp_path}/state")
         assert spark.read.parquet(out).select("text").distinct().count() == n
         rows((3, "gamma")).write.mode("append").parquet(source)
+
+
+@pytest.mark.parametrize(
+    ("text", "charset"),
+    [
+        ("вервер!! дер!! я!! дер!! еине!! гцр!! я!! дер!! де", "cp1251"), ("еинц чде дер еря.", "koi8_r"), ("Erälich zuüber für ß, señor, año, ó así ó aquí, café à la crème", "cp1252"),
+        ("Èvi, le oué éan éque et éoimentè par êéaux, ciónrami mañana ñu ñ", "cp1252"), ("die diestćłź. diestćłź. diestćłź. die", "iso8859_2"), ("用Python写A股", "utf-8"), ("A股 x股 B股 x的 y的 z的 A股 x股 B股", "utf-8"),
+    ],
+)
+def test_charsets_of_odd_texts(text, charset):
+    assert charsets.detect(text.encode(charset))[0] == text
+
+
+def test_a_folder_tells_what_bytes_leave_open(spark):
+    known, unsure = [("g", GREEK)] * 3 + [("r", RUSSIAN)] * 3, "διε βεβε ερβερ φθρ ενενϋκειτ θειν. βεβεϋ δερ ".encode("iso8859_7") * 9
+    rows = [(f, t.encode("iso8859_7" if f == "g" else "cp1251")) for f, t in known] + [(f, unsure) for f in "grx"] + [("g", None), ("g", b"plain"), ("r", b"\xe4\xe9")]
+    out = charsets.decoded_in_folders(spark.createDataFrame(rows, "folder string, content binary"), "folder").collect()
+    assert len(out) == len(rows)
+    told = {r["folder"]: r["text"] for r in out if r["content"] == unsure}
+    assert (told["g"], told["r"]) == (unsure.decode("iso8859_7"), unsure.decode("cp1251")) and told["x"] == charsets.detect(unsure)[0]
+    assert {r["text"] for r in out if r["content"] is None} == {None} and "plain" in [r["text"] for r in out]
