@@ -12,6 +12,9 @@ from pyspark.sql.types import StringType
 
 # White space as the text rules know it, snippet size, synonyms of keyword terms.
 SPACE_CLASS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+OTHER_SPACE = SPACE_CLASS.replace(r"\s", r"\t-\r")
+# A run that is not one space already; most characters fail at the range before it.
+SPACE_RUN = f"(?![!-~])(?: {SPACE_CLASS}|{OTHER_SPACE}){SPACE_CLASS}*"
 SNIPPET_CHARS = 320
 SYNONYMS = {
     "job": ("role", "position", "employment", "experience"),
@@ -44,13 +47,13 @@ def _nfc(x: pa.Array) -> pa.Array:
 
 def nfc(text: Column) -> Column:
     """Canonical composition; texts that it cannot change stay in the JVM values they are."""
-    unsure = (F.length(text) != F.octet_length(text)) & F.rlike(text, F.lit(f"[^{COMPOSED}]"))
+    unsure = (F.length(text) != F.octet_length(text)) & ~F.rlike(text, F.lit(rf"\A[\x{{0}}-\x{{2FF}}]*+[{COMPOSED}]*+\z"))
     return F.coalesce(_nfc(F.when(unsure, text)), text)
 
 
 def collapse_space(text: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{SPACE_CLASS}+", " "))
+    return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:

@@ -14,9 +14,13 @@ from ..functions.text import by_parts, tokens
 from ..sources.files import decoded
 
 
+def _parts(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"\n[ \t]*\n")
+
+
 def text_sections(docs: DataFrame, ident: str, text: str = "text") -> DataFrame:
     """``ident, index, section``: the parts between blank lines, trimmed, empty ones dropped."""
-    parts = F.transform(F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"\n[ \t]*\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    parts = F.transform(_parts(F.col(text)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return docs.select(ident, F.posexplode(F.filter(parts, lambda s: s != "")).alias("index", "section"))
 
 
@@ -84,6 +88,36 @@ def cut_pages(pages: list[list[str]], numbers: list[int | None], target: int, ov
     return out
 
 
+def _cut(target: int, overlap: int, between: str | None = None) -> Callable[[Column, Column], Column]:
+    """Chunks of documents from the arrays of their pages' texts and numbers (null: no page has one).
+
+    Tokens stand between white space, which Python knows as the text rules do, or ``between``; pages without are skipped.
+    """
+
+    @F.arrow_udf(ArrayType(CHUNK))
+    def cut(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        def part(rows: pa.StructArray) -> pa.Array:
+            ends, flat = [0], []
+            for own, which in zip(rows.field("texts").to_pylist(), rows.field("numbers").to_pylist(), strict=True):
+                own = own or []
+                pages = [(toks, n) for t, n in zip(own, which or [None] * len(own), strict=True) if (toks := t.split(between))]
+                flat += cut_pages([p[0] for p in pages], [p[1] for p in pages], target, overlap)
+                ends.append(len(flat))
+            columns = zip(*flat, strict=True) if flat else [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
+            chunks = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=CHUNK.names)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)
+
+        return by_parts(pa.StructArray.from_arrays([texts, numbers], names=["texts", "numbers"]), part, 64)
+
+    return cut
+
+
+def _chunk_rows(docs: DataFrame, ident: str, chunks: Column) -> DataFrame:
+    out = docs.select(ident, chunks.alias("chunks")).select(ident, F.posexplode("chunks").alias("chunk_index", "c"))
+    return out.select(ident, "chunk_index", "c.text", "c.token_count", "c.page_start", "c.page_end", sha256(F.col("c.text")).alias("text_hash"))
+
+
 def chunk_pages(pages: DataFrame, ident: str, target: int, overlap: int, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
     """Chunks of documents from ``pages(ident, index, page_number, text)``.
 
@@ -94,20 +128,12 @@ def chunk_pages(pages: DataFrame, ident: str, target: int, overlap: int, tokeniz
     Blank pages are skipped but numbers of the pages around them stay.  A document's
     pages meet once, and are packed and cut there in time linear in their tokens.
     """
-
-    @F.arrow_udf(ArrayType(CHUNK))
-    def cut(texts: pa.Array, numbers: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("token_count", pa.int64()), ("page_start", pa.int32()), ("page_end", pa.int32())]))
-
-        def part(rows: pa.StructArray) -> pa.Array:
-            found = (cut_pages([t.split(BETWEEN) for t in own], which, target, overlap) for own, which in zip(rows.field("texts").to_pylist(), rows.field("numbers").to_pylist(), strict=True))
-            return pa.array([[dict(zip(CHUNK.names, c, strict=True)) for c in own] for own in found], kind)
-
-        return by_parts(pa.StructArray.from_arrays([texts, numbers], names=["texts", "numbers"]), part, 64)
-
     own = pages.withColumn("toks", tokenize(F.col("text"))).filter(F.size("toks") > 0)
     row = F.struct("index", "page_number", F.array_join("toks", BETWEEN).alias("own"))
     docs = own.groupBy(ident).agg(F.array_sort(F.collect_list(row), lambda a, b: a["index"] - b["index"]).alias("pages"))
-    chunks = docs.select(ident, cut(F.transform("pages", lambda p: p["own"]), F.transform("pages", lambda p: p["page_number"].cast("int"))).alias("chunks"))
-    out = chunks.select(ident, F.posexplode("chunks").alias("chunk_index", "c"))
-    return out.select(ident, "chunk_index", "c.text", "c.token_count", "c.page_start", "c.page_end", sha256(F.col("c.text")).alias("text_hash"))
+    return _chunk_rows(docs, ident, _cut(target, overlap, BETWEEN)(F.transform("pages", lambda p: p["own"]), F.transform("pages", lambda p: p["page_number"].cast("int"))))
+
+
+def chunk_texts(docs: DataFrame, ident: str, target: int, overlap: int) -> DataFrame:
+    """As ``chunk_pages`` over the ``text_sections`` of ``docs(ident, text)``, one row a document, which stays where it is."""
+    return _chunk_rows(docs, ident, _cut(target, overlap)(_parts(F.col("text")), F.lit(None).cast("array<int>")))

@@ -9,33 +9,34 @@ from ..functions.ids import chunk_id, chunking_profile, point_id, sha256
 from ..functions.text import normalize_text
 from ..sources.files import decoded
 from ..sources.work import work_path
-from .chunking import chunk_pages, text_sections
+from .chunking import chunk_texts
 from .embedding import hashed, not_yet_indexed, with_context
 
 
 def named_contents(docs: DataFrame, ident: str) -> DataFrame:
-    """``content_id, ident, text`` of the documents with text; written, so that texts are normalized once."""
-    if "content_id" in docs.columns:
-        return docs.filter(F.col("text").isNotNull()).select("content_id", ident, "text")
-    own = docs.filter(F.col("text").isNotNull()).select(sha256(normalize_text(F.col("text"))).alias("content_id"), ident, "text")
+    """``row, content_id, ident, text`` of the documents with text; written, so that texts are normalized once and keep their rows."""
+    if "row" in docs.columns:
+        return docs.filter(F.col("text").isNotNull()).select("row", "content_id", ident, "text")
+    own = docs.filter(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("row"), sha256(normalize_text(F.col("text"))).alias("content_id"), ident, "text")
     path = work_path(docs.sparkSession, "contents")
     own.write.parquet(path)
     return docs.sparkSession.read.schema(own.schema).parquet(path)
 
 
-def index_documents(docs: DataFrame, ident: str = "doc_id", target: int = 200, overlap: int = 20) -> DataFrame:
+def index_documents(docs: DataFrame, ident: str = "doc_id", target: int = 200, overlap: int = 20, stored: DataFrame | None = None) -> DataFrame:
     """Chunks of distinct contents: ``content_id, chunk_id, chunk_index, text, token_count, text_hash``.
 
     Documents of one normalized text share a content; sections are its pages.
-    Documents without text give no rows.
+    Documents without text give no rows, nor do contents in ``stored(content_id)``.
     """
     profile = chunking_profile(target, overlap)
     own = named_contents(docs, ident)
-    # the row of the smallest id stands for a content: pre-aggregated, texts are joined after
-    first = own.groupBy("content_id").agg(F.min(ident).alias(ident))
-    contents = own.join(first, ["content_id", ident]).dropDuplicates(["content_id"])
-    pages = text_sections(contents, "content_id").select("content_id", "index", F.lit(None).cast("int").alias("page_number"), F.col("section").alias("text"))
-    chunks = chunk_pages(pages, "content_id", target, overlap)
+    # the row of the smallest id stands for a content: told without texts, which travel once
+    first = own.groupBy("content_id").agg(F.min_by("row", ident).alias("row"))
+    if stored is not None:
+        first = first.join(stored.select("content_id").distinct(), "content_id", "left_anti")
+    contents = own.join(first.select("row").hint("shuffle_hash"), "row", "left_semi")
+    chunks = chunk_texts(contents, "content_id", target, overlap)
     return chunks.select("content_id", chunk_id(F.col("content_id"), F.lit(profile), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "text", "token_count", "text_hash")
 
 
@@ -51,7 +52,7 @@ def index_files(files: DataFrame, stored: DataFrame, embedding: str, size: int =
     """
     profile = chunking_profile(target, overlap)
     docs = files.filter(sha256(F.col("content")) == F.col("sha256")).select("file_id", "name", decoded(F.col("content")).alias("text"))
-    docs = docs.filter(F.col("text").isNotNull()).select(sha256(normalize_text(F.col("text"))).alias("content_id"), "file_id", "name", "text")
+    docs = docs.filter(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("row"), sha256(normalize_text(F.col("text"))).alias("content_id"), "file_id", "name", "text")
     path = work_path(files.sparkSession, "texts")
     docs.write.parquet(path)
     docs = files.sparkSession.read.schema(docs.schema).parquet(path)

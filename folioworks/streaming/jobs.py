@@ -11,15 +11,18 @@ from ..sources.keyed import KeyedTable
 from .state import changed_files, rocks_state
 
 
-def ingest(stream: DataFrame, index: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> None:
+def ingest(stream: DataFrame, index: Callable[..., DataFrame], target: str, checkpoint: str) -> None:
     """Index what is new in ``stream`` and append it to ``target``; returns when all there is is done.
 
     Batches are written under their number, so a batch that runs again
-    replaces itself.  Deletions need a snapshot and ``reconcile``.
+    replaces itself.  ``index`` gets as ``stored`` what the batches before wrote,
+    so that what several bring is indexed once.  Deletions need a snapshot and
+    ``reconcile``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        index(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        stored = batch.sparkSession.read.parquet(target).filter(F.col("batch") < number) if number else None
+        index(batch, stored=stored).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

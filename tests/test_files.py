@@ -137,3 +137,11 @@ def test_a_folder_tells_what_bytes_leave_open(spark):
     told = {r["folder"]: r["text"] for r in out if r["content"] == unsure}
     assert (told["g"], told["r"]) == (unsure.decode("iso8859_7"), unsure.decode("cp1251")) and told["x"] == charsets.detect(unsure)[0]
     assert {r["text"] for r in out if r["content"] is None} == {None} and "plain" in [r["text"] for r in out]
+
+
+def test_contents_of_several_batches_are_indexed_once(spark, tmp_path):
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for own in ([(1, "alpha beta"), (2, "alpha  beta"), (7, "alpha\n\nbeta")], [(3, "alpha beta"), (4, "gamma")], [(5, "gamma"), (6, "alpha beta")]):
+        spark.createDataFrame(own, "doc_id long, text string").write.mode("append").parquet(source)
+        ingest(spark.readStream.schema("doc_id long, text string").parquet(source), index_documents, out, f"file://{tmp_path}/state")
+    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["alpha beta", "gamma"]

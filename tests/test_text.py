@@ -207,3 +207,34 @@ def test_files_are_cut_once(spark):
     # chunks are counted and embedded from one written table
     assert "cut(" not in points._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["text"] for r in points.collect()) == [f"some text {n}" for n in range(3)]
+
+
+def test_white_space_is_that_of_python(spark):
+    from folioworks.functions.text import collapse_space, tokens
+
+    signs = [chr(i) for i in range(0x3100) if chr(i).isspace()] + ["\x00", "\x1b", "!", "~", "é", "᠎", "​", "﻿", "日", "😀"]
+    rows = [(f"{a}{b}x{a}y {b}{a}{a}z{b}",) for a in signs for b in signs]
+    out = spark.createDataFrame(rows, "text string").select("text", collapse_space(F.col("text")).alias("own"), tokens(F.col("text")).alias("toks")).collect()
+    assert all(r["own"] == " ".join(r["text"].split()) and r["toks"] == r["text"].split() for r in out)
+
+
+def test_texts_are_cut_where_they_stand(spark):
+    from folioworks.operators.chunking import chunk_pages, chunk_texts, text_sections
+
+    texts = [(1, "a b\n \t\n\nc d e\r\n\r\n f"), (2, " \n\n "), (3, None), (4, " ".join(map(str, range(25))) + "\n\n" + " ".join("xyz")), (5, "\n\n\x1fa\n\n")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    own = chunk_texts(docs, "doc_id", 10, 2)
+    pages = text_sections(docs, "doc_id").select("doc_id", "index", F.lit(None).cast("int").alias("page_number"), F.col("section").alias("text"))
+    assert sorted(own.collect()) == sorted(chunk_pages(pages, "doc_id", 10, 2).collect()) and own.count() > 4
+    # neither gathered nor sent anywhere
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_travel_once(spark):
+    from folioworks.operators.indexing import index_documents
+
+    docs = spark.createDataFrame([(2, "one\n\ntwo"), (1, "one two"), (3, "one  two"), (4, "x")], "doc_id long, text string")
+    out = index_documents(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "collect_list" not in plan
+    assert sorted(r["text"] for r in out.collect()) == ["one two", "x"]
