@@ -54,7 +54,7 @@ def extraction_status(ext: Column, content: Column, text: Column | None = None)
         F.when(~known, "unsupported_type")
         .when(content.isNull() | (F.length(content) == 0), "empty_file")
         .when(text.isNull(), "unsupported_encoding")
-        .when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", "no_extractable_text")
+        .when(~F.rlike(text, F.lit(r"\S")), "no_extractable_text")
         .otherwise("ok")
     )
 

@@ -252,7 +252,7 @@ def encoded(texts: pa.Array, charsets: pa.Array) -> pa.Array:
     """Bytes in a charset; in UTF-8 where the text does not fit it, or has fewer than 8 letters that could tell it."""
 
     def one(text: str, charset: str) -> bytes:
-        if not charset.startswith("utf") and sum(c > "\x7f" for c in text) < 8:
+        if not charset.startswith("utf") and len(text) - len(text.encode("ascii", "ignore")) < 8:
             return text.encode()
         try:
             return text.encode(charset)

@@ -15,9 +15,10 @@ one the bytes are no text.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,38 +66,57 @@ CAPITAL = 0.92
 WESTERN = 0.8
 #: Scores that lie nearer are no evidence.
 MARGIN = 0.05
-CONTROL = re.compile("[\x00-\x08\x0e-\x1a\x1c-\x1f\x7f-\x9f\ue000-\uf8ff\ufffe\uffff]")
-CASES = re.compile(r"[a-zà-öø-ÿа-яёά-ώ][A-ZÀ-ÖØ-ÞА-ЯЁΆ-Ϋ]")
-INSIDE = re.compile(r"(?<=[^\W\d_])[^\w\s'’\-.,:;/&@+()\[\]\"!?…·「」『』、。・（）！？，：；—–“”«»](?=[^\W\d_])")
+CONTROL = "[\x00-\x08\x0e-\x1a\x1c-\x1f\x7f-\x9f\ue000-\uf8ff\ufffe\uffff]"
+LETTER = r"[^\W\d_]"
 BLOCKS = "A-Za-zÀ-ɏ|Ѐ-ӿ|Ͱ-Ͽ|֐-׿|؀-ۿ|぀-ヿ一-鿿|가-힣".split("|")
-BLOCK_TESTS = [re.compile(f"[{b}]") for b in BLOCKS]
-MIXED = re.compile("|".join(f"[{a}](?=[{''.join(x for x in BLOCKS if x != a)}])" for a in BLOCKS))
-
-
-#: A vowel and a consonant side by side in a script that writes both.
-TURNS = re.compile("(?i)[аеёиоуыэюяіїєαειουηωάέήίόύώ](?=[бвгджзйклмнпрстфхцчшщґβγδζθκλμνξπρσςτφχψ])|[бвгджзйклмнпрстфхцчшщґβγδζθκλμνξπρσςτφχψ](?=[аеёиоуыэюяіїєαειουηωάέήίόύώ])")
-
-
-#: A letter that stands alone may as well be a sign.
-ALONE = re.compile(r"(?<![^\W\d_])[^\x00-\x7f\W\d_](?![^\W\d_])")
 
+#: A vowel and a consonant side by side speak for a script that writes both.
+VOWEL, CONSONANT = "(?i)[аеёиоуыэюяіїєαειουηωάέήίόύώ]", "(?i)[бвгджзйклмнпрстфхцчшщґβγδζθκλμνξπρσςτφχψ]"
 
 #: Signs that want a number beside them.
 NUMBERLESS = re.compile(r"(?<!\d)(?<!\d\s)[€£±](?!\s?[\d.,]*\d)")
 
-#: Only a vowel stands before й, and few consonants end a Greek word.
-SHORT_I = re.compile("(?i)[бвгджзклмнпрстфхцчшщ]й")
-GREEK_END = re.compile(r"[βγδζθκλμπστφχΒΓΔΖΘΚΛΜΠΤΦΧ](?![^\W\d_])")
-
 #: Letters of other scripts stuck to Latin ones, each by itself.
 STUCK = re.compile(f"(?<=[A-Za-z])[{''.join(BLOCKS[1:])}](?![^\\x00-\\x7f])|(?<![^\\x00-\\x7f])[{''.join(BLOCKS[1:])}](?=[A-Za-z])")
 STUCK_PAIR = f"[A-Za-z][{''.join(BLOCKS[1:])}]|[{''.join(BLOCKS[1:])}][A-Za-z]"
 
+#: Kinds of characters, a bit each.
+KINDS = [
+    "[a-zà-öø-ÿа-яёά-ώ]", "(?i)[бвгджзклмнпрстфхцчшщ]", VOWEL, CONSONANT,  # first ones of pairs
+    LETTER,
+    r"[^\w\s'’\-.,:;/&@+()\[\]\"!?…·「」『』、。・（）！？，：；—–“”«»]",  # signs that stand in no word
+    r"[^\x00-\x7f\W\d_]",  # letters that alone may as well be signs
+    "[βγδζθκλμπστφχΒΓΔΖΘΚΛΜΠΤΦΧ]",  # few consonants end a Greek word
+]
+#: More kinds; the first are the second ones of pairs: a capital after a small letter, й after more than a vowel, turns.
+MORE_KINDS = ["[A-ZÀ-ÖØ-ÞА-ЯЁΆ-Ϋ]", "(?i)й", CONSONANT, VOWEL, "[€£±]", CONTROL, r"[^\x00-\x7f]"]
+
+
+def _where(pattern: str) -> np.ndarray:
+    """Which code points match; the last stands for all beyond the first 65,536."""
+    out = np.zeros(0x10001, bool)
+    out[[m.start() for m in re.finditer(pattern, "".join(map(chr, range(0x10000))) + "\U00020000")]] = True
+    return out
 
-def _pairs(text: str) -> float:
+
+@cache
+def _kinds() -> list[np.ndarray]:
+    """Of each code point the bits of its kinds and of more kinds, and the number of its block, 0 for none."""
+    bits = [np.packbits([_where(k) for k in kinds], axis=0, bitorder="little")[0] for kinds in (KINDS, MORE_KINDS)]
+    return [*bits, np.select([_where(f"[{b}]") for b in BLOCKS], range(1, len(BLOCKS) + 1)).astype(np.uint8)]
+
+
+def _pairs(kinds: np.ndarray, more: np.ndarray, block: np.ndarray, text: Callable[[], str]) -> float:
     """What pairs of characters count against a text."""
-    never = len(INSIDE.findall(text)) + len(SHORT_I.findall(text)) + 0.3 * len(GREEK_END.findall(text))
-    return 1.5 * (len(CASES.findall(text)) + len(MIXED.findall(text))) + never + 0.85 * (len(ALONE.findall(text)) + len(NUMBERLESS.findall(text))) - 0.3 * len(TURNS.findall(text))
+    count = np.count_nonzero
+    met = kinds[:-1] & more[1:]
+    mixed = count((block[:-1] != block[1:]) & (block[:-1] > 0) & (block[1:] > 0))
+    letter = np.zeros(len(kinds) + 2, bool)  # with the ends of the text
+    letter[1:-1] = kinds & 16
+    before, after = letter[:-2], letter[2:]
+    inside, alone, end = count((kinds & 32 > 0) & before & after), count((kinds & 64 > 0) & ~before & ~after), count((kinds & 128 > 0) & ~after)
+    numberless = len(NUMBERLESS.findall(text())) if (more & 16).any() else 0
+    return 1.5 * (count(met & 1) + mixed) + inside + count(met & 2) + 0.3 * end + 0.85 * (alone + numberless) - 0.3 * count(met & 12)
 
 
 def _languages(charset_table: dict[str, tuple[str, ...]], falling: float) -> dict[str, list[dict[str, float]]]:
@@ -116,82 +136,95 @@ for _charset, _weights in _languages(SCRIPTS, 0.8).items():
 SINGLE["cp1252"].append({c: WESTERN * n for w in SINGLE["cp1252"] for c, n in w.items()})
 
 
-def _single_score(text: str, languages: list[dict[str, float]]) -> float:
-    """The letters' score for the best of the languages, a character beyond ASCII."""
-    counts = {c: n for c, n in Counter(text).items() if c > "\x7f"}
-    total = sum(counts.values())
-    return max(sum(n * (w[c] if c in w else 0.2 if c in QUOTES else -0.5 if c.isalpha() else -1.0) for c, n in counts.items()) for w in languages) / total if total else 0.0
+@cache
+def _single() -> tuple[list[str], np.ndarray, np.ndarray, list[list[bytes]], np.ndarray, np.ndarray]:
+    """Of charsets of one byte a letter: names, code points of bytes, which bytes stand for none, kinds by byte; weights of languages, and where each charset's begin."""
+    chars = [[bytes([b]).decode(charset, "replace") for b in range(256)] for charset in SINGLE]
+    codes = np.array([[ord(c) for c in own] for own in chars])
+    weights = [[0.0 if c <= "\x7f" else w[c] if c in w else 0.2 if c in QUOTES else -0.5 if c.isalpha() else -1.0 for c in own] for own, languages in zip(chars, SINGLE.values(), strict=True) for w in languages]
+    starts = np.cumsum([0, *map(len, SINGLE.values())])[:-1]
+    return list(SINGLE), codes, _where(CONTROL)[codes] | (codes == 0xFFFD), [[k[own].tobytes() for k in _kinds()] for own in codes], np.array(weights), starts
+
+
+@cache
+def _wide(charset: str) -> np.ndarray:
+    """What the code points count in a charset of several bytes a letter."""
+    often, rare = map(_where, WIDE[charset])
+    # what only the later extension of a charset has is rare
+    usual = np.array([charset != "gb18030" or bool(chr(c).encode("gb2312", "ignore")) for c in range(0x10001)])
+    return np.where(_where(r"[\x00-\x7f]"), 0.0, np.where(often, 1.0, np.where(usual & rare, 0.45 if charset in ("gb18030", "big5") else 0.35, np.where(_where(f"[{re.escape(QUOTES)}]"), 0.2, -1.0))))
 
 
-def _wide_score(text: str, charset: str) -> float:
-    counts = {c: n for c, n in Counter(text).items() if c > "\x7f"}
-    total, ideograph = sum(counts.values()), 0.45 if charset in ("gb18030", "big5") else 0.35
-    often, rare = WIDE[charset]
-    score = 0.0
-    for c, n in counts.items():
-        # what only the later extension of a charset has is rare
-        usual = charset != "gb18030" or c.encode("gb2312", "ignore")
-        score += n * (1.0 if re.match(often, c) else ideograph if usual and re.match(rare, c) else 0.2 if c in QUOTES else -1.0)
-    return score / total if total else 0.0
+@cache
+def _unmarked() -> np.ndarray:
+    """Of each code point its block, or 8 for ideographs, 9 for spaces and signs, 0 for others."""
+    block = _kinds()[2]
+    return np.where(_where("[一-鿿]"), 8, np.where(block > 0, block, np.where(_where(f"[ \\t\\r\\n!-~{re.escape(QUOTES)}]"), 9, 0))).astype(np.uint8)
 
 
-def _unmarked_score(text: str, _: str = "") -> float:
+def _unmarked_score(codes: np.ndarray) -> float:
     """For UTF-16 and UTF-32 without a mark: letters of one script, with spaces and signs between them."""
-    blocks, plain, total = [0.0] * len(BLOCKS), 0, len(text)
-    for c, n in Counter(text).items():
-        at = next((i for i, b in enumerate(BLOCK_TESTS) if b.match(c)), -1)
-        if at >= 0:
-            blocks[at] += n * (0.6 if "一" <= c <= "鿿" else 1.0)
-        elif c in " \t\r\n" or "!" <= c <= "~" or c in QUOTES:
-            plain += n
-        else:
-            plain -= 2 * n
-    return (2 * max(blocks) - sum(blocks) + plain) / total
+    n = np.bincount(_unmarked()[codes], minlength=10).astype(float)
+    blocks = n[1:8]
+    blocks[5] += 0.6 * n[8]
+    return (2 * blocks.max() - blocks.sum() + n[9] - 2 * n[0]) / len(codes)
 
 
 def _decoded(data: bytes, charset: str) -> str | None:
     try:
-        text = data.decode(charset)
+        return data.decode(charset)
     except UnicodeDecodeError:
         return None
-    return None if CONTROL.search(text) else text
 
 
 def ranked(data: bytes) -> list[tuple[str, str]]:
     """``text, charset`` of the best candidate and of those that score within ``MARGIN`` of it; empty if nothing fits."""
     for mark, charset in MARKS:
         if data.startswith(mark):
-            try:
-                return [(data.decode(charset), charset)]
-            except UnicodeDecodeError:
-                return []
+            text = _decoded(data, charset)
+            return [] if text is None else [(text, charset)]
     plain = _decoded(data, "utf-8")
+    if plain is not None and re.search(CONTROL, plain):
+        plain = None
     if plain is not None and (data.isascii() or len(STUCK.findall(plain)) < sum(c > "\x7f" for c in plain)):
         return [(plain, "utf-8")]
-    found: list[tuple[float, str, str]] = []
+    # score, letters beyond ASCII, what a pair counts against, charset, kinds of characters, what texts that are equal share
+    found: list[tuple[float, int, int, str, Callable[[], list[np.ndarray]], bytes | str]] = []
 
-    def consider(charset: str, score: Callable[[str], float]) -> None:
+    def consider(charset: str, score: Callable[[np.ndarray], float]) -> None:
         text = _decoded(data, charset)
         if text:
-            found.append((score(text), text, charset))
+            codes = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x10000)
+            more = _kinds()[1][codes]
+            if not (more & 32).any():
+                beyond = int(np.count_nonzero(more & 64))
+                found.append((round(float(score(codes)), 9), beyond, len(text) if charset.startswith("utf") else beyond, charset, lambda: [k[codes] for k in _kinds()], charset))
 
     for charset in ["utf-16-le", "utf-16-be"] * (len(data) % 2 == 0) + ["utf-32-le", "utf-32-be"] * (len(data) % 4 == 0):
         consider(charset, _unmarked_score)
+    own = np.frombuffer(data, np.uint8)
     if b"\x00" not in data:
-        for charset, languages in SINGLE.items():
-            consider(charset, lambda t, languages=languages: _single_score(t, languages))
+        n = np.bincount(own, minlength=256)
+        beyond, used = int(n[128:].sum()), n > 0
+        names, chars, without, kinds, weights, starts = _single()
+        scores, same = np.maximum.reduceat(weights @ n, starts) / max(1, beyond), chars[:, used]
+        for i in np.flatnonzero(~without[:, used].any(axis=1)):
+            found.append((round(float(scores[i]), 9), beyond, beyond, names[i], lambda i=i: [np.frombuffer(data.translate(k), np.uint8) for k in kinds[i]], same[i].tobytes()))
         for charset in WIDE:
-            consider(charset, lambda t, charset=charset: _wide_score(t, charset))
-    good: list[tuple[float, str, str]] = []
-    for score, text, charset in sorted(found, key=lambda f: -f[0]):  # pairs add 0.3 at most
+            consider(charset, lambda codes, charset=charset: _wide(charset)[codes].sum() / max(1, np.count_nonzero(codes > 127)))
+    good: list[tuple[float, int, str]] = []
+    against: dict[bytes | str, float] = {}
+    for score, beyond, size, charset, kinds_of, text in sorted(found, key=lambda f: -f[0]):  # pairs add 0.3 at most
         if good and score + 0.3 < good[0][0] - MARGIN:
             break
-        score -= _pairs(text) / (len(text) if charset.startswith("utf") else sum(n for c, n in Counter(text).items() if c > "\x7f"))
+        if text not in against:
+            against[text] = float(_pairs(*kinds_of(), lambda charset=charset: data.decode(charset)) / max(1, size))
+        score = round(score - against[text], 9)
         if score > 0:
-            good = sorted([*good, (score, text, charset)], key=lambda f: -f[0])
-    if plain is not None and (not good or good[0][0] < 0.9 or sum(c > "\x7f" for c in good[0][1]) < 8):
+            good = sorted([*good, (score, beyond, charset)], key=lambda f: -f[0])
+    if plain is not None and (not good or good[0][0] < 0.9 or good[0][1] < 8):
         return [(plain, "utf-8")]
-    return [(text, charset) for score, text, charset in good if score > good[0][0] - MARGIN]
+    return [(data.decode(charset), charset) for score, _, charset in good if score > good[0][0] - MARGIN]
 
 
 def detect(data: bytes) -> tuple[str | None, str | None]:

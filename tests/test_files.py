@@ -1,4 +1,6 @@
 import hashlib
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +147,22 @@ def test_contents_of_several_batches_are_indexed_once(spark, tmp_path):
         spark.createDataFrame(own, "doc_id long, text string").write.mode("append").parquet(source)
         ingest(spark.readStream.schema("doc_id long, text string").parquet(source), index_documents, out, f"file://{tmp_path}/state")
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["alpha beta", "gamma"]
+
+
+def test_a_charset_costs_little_more_than_counting_its_letters():
+    def seconds(f):
+        start = time.perf_counter()
+        f()
+        return time.perf_counter() - start
+
+    text = RUSSIAN * 2000
+    data = text.encode("koi8_r")
+    assert charsets.detect(data)[0] == text
+    assert min(seconds(lambda: charsets.detect(data)) for _ in range(3)) < 6 * min(seconds(lambda: Counter(text)) for _ in range(3))
+
+
+def test_only_white_space_is_no_extractable_text(spark):
+    texts = ["", " \n\t", "\x0b\x0c\r ", "\u00a0", " a ", "\n.\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(extraction_status(F.lit("txt"), F.lit("x").cast("binary"), F.col("text"))).collect()
+    assert [r[0] for r in got] == ["no_extractable_text"] * 3 + ["ok"] * 3
