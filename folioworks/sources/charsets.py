@@ -9,7 +9,8 @@ that do not occur inside words: a small letter before a capital, letters of two
 scripts, a sign between letters, й after a consonant, a consonant that ends no
 Greek word, and signs of numbers without a number.  Control characters rule a candidate out.  The
 best candidate with a positive score wins, the earlier one of equals; without
-one the bytes are no text.
+one the bytes are no text.  Candidates that the bytes do not rule out are kept
+with the evidence against them, for a folder's other files to tell.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from ..functions.text import by_parts
 from .work import work_path
@@ -64,8 +65,10 @@ QUOTES = "½¼¾±²³µ×‘’“”„‚«»‹›–—…•§©®°·¡¿
 CAPITAL = 0.92
 #: What letters of several western languages in one text count against those of one.
 WESTERN = 0.8
-#: Scores that lie nearer are no evidence.
-MARGIN = 0.05
+#: Evidence against a charset that no folder outweighs.
+REACH = 12.0
+#: Tables of more rows than this are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 CONTROL = "[\x00-\x08\x0e-\x1a\x1c-\x1f\x7f-\x9f\ue000-\uf8ff\ufffe\uffff]"
 LETTER = r"[^\W\d_]"
 BLOCKS = "A-Za-zÀ-ɏ|Ѐ-ӿ|Ͱ-Ͽ|֐-׿|؀-ۿ|぀-ヿ一-鿿|가-힣".split("|")
@@ -177,17 +180,21 @@ def _decoded(data: bytes, charset: str) -> str | None:
         return None
 
 
-def ranked(data: bytes) -> list[tuple[str, str]]:
-    """``text, charset`` of the best candidate and of those that score within ``MARGIN`` of it; empty if nothing fits."""
+def ranked(data: bytes) -> list[tuple[str, str, float]]:
+    """``text, charset, lag`` of the best candidate and of those that it does not rule out; empty if nothing fits.
+
+    The lag is the evidence for the best one: what its score is ahead, for each of
+    the distinct pairs of bytes beyond ASCII.  Repeated words are no more evidence.
+    """
     for mark, charset in MARKS:
         if data.startswith(mark):
             text = _decoded(data, charset)
-            return [] if text is None else [(text, charset)]
+            return [] if text is None else [(text, charset, 0.0)]
     plain = _decoded(data, "utf-8")
     if plain is not None and re.search(CONTROL, plain):
         plain = None
     if plain is not None and (data.isascii() or len(STUCK.findall(plain)) < sum(c > "\x7f" for c in plain)):
-        return [(plain, "utf-8")]
+        return [(plain, "utf-8", 0.0)]
     # score, letters beyond ASCII, what a pair counts against, charset, kinds of characters, what texts that are equal share
     found: list[tuple[float, int, int, str, Callable[[], list[np.ndarray]], bytes | str]] = []
 
@@ -212,37 +219,43 @@ def ranked(data: bytes) -> list[tuple[str, str]]:
             found.append((round(float(scores[i]), 9), beyond, beyond, names[i], lambda i=i: [np.frombuffer(data.translate(k), np.uint8) for k in kinds[i]], same[i].tobytes()))
         for charset in WIDE:
             consider(charset, lambda codes, charset=charset: _wide(charset)[codes].sum() / max(1, np.count_nonzero(codes > 127)))
+    seen = np.zeros(0x10000, bool)
+    seen[own[:-1].astype(np.uint16) << np.uint16(8) | own[1:]] = True
+    evidence = int(np.count_nonzero(seen[0x8000:]) + np.count_nonzero(seen[:0x8000].reshape(128, 256)[:, 128:]))
+    reach = REACH / max(1, evidence)
     good: list[tuple[float, int, str]] = []
     against: dict[bytes | str, float] = {}
     for score, beyond, size, charset, kinds_of, text in sorted(found, key=lambda f: -f[0]):  # pairs add 0.3 at most
-        if good and score + 0.3 < good[0][0] - MARGIN:
+        if good and score + 0.3 < max(good)[0] - reach:
             break
         if text not in against:
             against[text] = float(_pairs(*kinds_of(), lambda charset=charset: data.decode(charset)) / max(1, size))
-        score = round(score - against[text], 9)
-        if score > 0:
-            good = sorted([*good, (score, beyond, charset)], key=lambda f: -f[0])
+        good.append((round(score - against[text], 9), beyond, charset))
+    good.sort(key=lambda f: -f[0])
     if plain is not None and (not good or good[0][0] < 0.9 or good[0][1] < 8):
-        return [(plain, "utf-8")]
-    return [(data.decode(charset), charset) for score, _, charset in good if score > good[0][0] - MARGIN]
+        return [(plain, "utf-8", 0.0)]
+    if not good or good[0][0] <= 0:
+        return []
+    return [(data.decode(charset), charset, (good[0][0] - score) * evidence) for score, _, charset in good if score >= good[0][0] - reach]
 
 
 def detect(data: bytes) -> tuple[str | None, str | None]:
     """The text and the name of its charset; neither if nothing fits."""
-    return next(iter(ranked(data)), (None, None))
+    return next((found[:2] for found in ranked(data)), (None, None))
 
 
-GUESS = StructType().add("text", "string").add("charset", "string").add("fits", ArrayType(StringType())).add("rivals", ArrayType(StringType()))
+GUESS = StructType().add("text", "string").add("charset", "string").add("fits", ArrayType(StringType())).add("rivals", ArrayType(StringType())).add("lags", ArrayType(DoubleType()))
 
 
 @F.arrow_udf(GUESS)
 def _guessed(content: pa.Array) -> pa.Array:
-    kind = pa.struct([("text", pa.string()), ("charset", pa.string()), ("fits", pa.list_(pa.string())), ("rivals", pa.list_(pa.string()))])
+    kind = pa.struct([("text", pa.string()), ("charset", pa.string()), ("fits", pa.list_(pa.string())), ("rivals", pa.list_(pa.string())), ("lags", pa.list_(pa.float64()))])
 
-    def one(data: bytes | None) -> tuple[str | None, str | None, list[str], list[str]]:
+    def one(data: bytes | None) -> tuple[str | None, str | None, list[str], list[str], list[float]]:
         found = ranked(data) if data is not None else []
-        text, charset = found[0] if found else (None, None)
-        return text, charset, [c for t, c in found if t == text], [c for t, c in found if t != text]
+        text, charset = found[0][:2] if found else (None, None)
+        rivals = [f for f in found if f[0] != text]
+        return text, charset, [c for t, c, _ in found if t == text], [c for _, c, _ in rivals], [lag for _, _, lag in rivals]
 
     return by_parts(content, lambda part: pa.array([dict(zip(GUESS.names, one(c), strict=True)) for c in part.to_pylist()], kind))
 
@@ -257,24 +270,40 @@ def decoded_with_charset(content: Column) -> Column:
     text = content.cast("string")
     stuck = (F.length(text) != F.octet_length(text)) & F.rlike(text, F.lit(STUCK_PAIR))
     plain = F.is_valid_utf8(text) & ~F.contains(text, F.lit("\x00")) & ~stuck
-    known = F.struct(F.regexp_replace(text, "^﻿", "").alias("text"), F.lit("utf-8").alias("charset"), *(F.array().cast("array<string>").alias(c) for c in ("fits", "rivals")))
+    known = F.struct(F.regexp_replace(text, "^﻿", "").alias("text"), F.lit("utf-8").alias("charset"), *(F.array().cast("array<string>").alias(c) for c in ("fits", "rivals")), F.array().cast("array<double>").alias("lags"))
     return F.when(plain, known).when(content.isNotNull(), _guessed(F.when(~plain, content)))
 
 
+def _held(rows: DataFrame, name: str) -> DataFrame:
+    """A small table, computed once and broadcast; a large one is left to a shuffle."""
+    path = work_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def decoded_in_folders(files: DataFrame, folder: str) -> DataFrame:
     """``files(folder, content, ...)`` with ``text`` and ``charset``, where a folder tells what bytes alone leave open.
 
-    Files of a folder mostly share a charset: where another text scores about as
-    well, that charset is taken which gives the best text of most of the folder's files.
+    Files of a folder mostly share a charset.  Of those that a file's bytes do
+    not rule out, that one is taken whose number of other files in the folder, as
+    a logarithm, is most ahead of its lag.
     """
     path = work_path(files.sparkSession, "guessed")
     guessed = files.select("*", decoded_with_charset(F.col("content")).alias("g")).select("*", "g.*", F.monotonically_increasing_id().alias("row")).drop("g")
     guessed.write.parquet(path)
     guessed = files.sparkSession.read.schema(guessed.schema).parquet(path)
-    open_ = F.coalesce(F.size("rivals"), F.lit(0)) > 0
-    votes = guessed.select(folder, F.explode("fits").alias("as")).groupBy(folder, "as").agg(F.count(F.lit(1)).alias("n"))
-    ways = guessed.filter(open_).select("row", folder, F.posexplode(F.concat("fits", "rivals")).alias("at", "as"))
-    told = ways.join(votes, [folder, "as"], "left").groupBy("row").agg(F.max_by("as", F.struct(F.coalesce("n", F.lit(0)), -F.col("at"))).alias("as"))
-    mended = guessed.filter(open_).join(told, "row").withColumn("text", _read_as(F.col("content"), F.col("as"))).withColumn("charset", F.col("as"))
+    # a file that fits its folder's most frequent charset speaks for no other
+    sets = guessed.filter(F.size("fits") > 0).groupBy(folder, "fits").agg(F.count(F.lit(1)).alias("n"))
+    first = sets.select(folder, "n", F.explode("fits").alias("as")).groupBy(folder, "as").agg(F.sum("n").alias("n")).groupBy(folder).agg(F.max_by("as", F.struct("n", "as")).alias("first"))
+    spoken = F.when(F.array_contains("fits", F.col("first")), F.array("first")).otherwise(F.col("fits"))
+    votes = sets.join(first, folder).select(folder, "n", F.explode(spoken).alias("as")).groupBy(folder, "as").agg(F.sum("n").alias("n"))
+    way = F.arrays_zip(F.concat("fits", "rivals").alias("as"), F.concat(F.transform("fits", lambda _: F.lit(0.0)), "lags").alias("lag"))
+    ways = guessed.filter(F.size("rivals") > 0).select("row", folder, "charset", F.size("fits").alias("own"), F.posexplode(way).alias("at", "way")).select("row", folder, "charset", "own", "at", "way.*")
+    others = F.greatest(F.coalesce("n", F.lit(0)) - (F.col("at") < F.col("own")).cast("long"), F.lit(0))
+    ahead = F.struct(F.log(others + 1.0) - F.col("lag"), -F.col("at"))
+    told = ways.join(_held(votes, "votes"), [folder, "as"], "left").groupBy("row", "charset").agg(F.max_by("as", ahead).alias("as"))
+    changed = _held(told.filter("as <> charset").select("row", "as"), "told")
+    mended = guessed.join(changed, "row").withColumn("text", _read_as(F.col("content"), F.col("as"))).withColumn("charset", F.col("as"))
     kept = [*files.columns, "text", "charset"]
-    return guessed.filter(~open_).select(kept).unionByName(mended.select(kept))
+    return guessed.join(changed, "row", "left_anti").select(kept).unionByName(mended.select(kept))

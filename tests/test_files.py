@@ -166,3 +166,20 @@ def test_only_white_space_is_no_extractable_text(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = df.select(extraction_status(F.lit("txt"), F.lit("x").cast("binary"), F.col("text"))).collect()
     assert [r[0] for r in got] == ["no_extractable_text"] * 3 + ["ok"] * 3
+
+
+WESTERN = "Ciónasasta ciónuellí íquega ciónqueue íll ciónosarco. Éoiai parétrementeau laaielleéeux éleaiê. Étretion éèonan ètretionle."
+
+
+def test_many_files_of_a_folder_outweigh_little_evidence_only(spark):
+    known = [("w", FRENCH + f" {i}", "cp1252") for i in range(30)] + [("p", POLISH + f" {i}", "iso8859_2") for i in range(30)]
+    rows = [*known, ("w", WESTERN, "cp1252"), ("p", "ć " * 24 + "rę " * 6, "iso8859_2"), ("w", RUSSIAN, "cp1251"), ("p", GREEK, "iso8859_7"), ("p", FRENCH, "cp1252")]
+    df = spark.createDataFrame([(f, t.encode(c), t) for f, t, c in rows], "folder string, content binary, own string")
+    out = charsets.decoded_in_folders(df, "folder").collect()
+    assert len(out) == len(rows) and [r["own"] for r in out if r["text"] != r["own"]] == []
+    assert charsets.detect(WESTERN.encode("cp1252"))[0] != WESTERN
+
+
+def test_repeated_words_are_no_more_evidence():
+    lags = [{c: lag for _, c, lag in charsets.ranked((WESTERN * n).encode("cp1252"))} for n in (1, 2, 50)]
+    assert 0 < lags[0]["cp1252"] < 5 and lags[2]["cp1252"] == pytest.approx(lags[1]["cp1252"], rel=0.1)
