@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.ids import CHUNK_NAMESPACE, POINT_NAMESPACE, sha256
+from ..functions.text import by_parts
 from ..operators.chunking import extraction_status
 from ..operators.indexing import index_documents, index_files
 from ..operators.reports import duplicate_groups
@@ -259,7 +260,8 @@ def encoded(texts: pa.Array, charsets: pa.Array) -> pa.Array:
         except UnicodeEncodeError:
             return text.encode()
 
-    return pa.array([one(t, c) for t, c in zip(texts.to_pylist(), charsets.to_pylist(), strict=True)], pa.binary())
+    both = pa.StructArray.from_arrays([texts, charsets], ["text", "charset"])
+    return by_parts(both, lambda part: pa.array([one(x["text"], x["charset"]) for x in part.to_pylist()], pa.binary()))
 
 
 def in_ten_charsets(docs: DataFrame) -> DataFrame:

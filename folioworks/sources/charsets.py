@@ -262,7 +262,8 @@ def _guessed(content: pa.Array) -> pa.Array:
 
 @F.arrow_udf(StringType())
 def _read_as(content: pa.Array, charset: pa.Array) -> pa.Array:
-    return pa.array([c.decode(name) for c, name in zip(content.to_pylist(), charset.to_pylist(), strict=True)], pa.string())
+    both = pa.StructArray.from_arrays([content, charset], ["content", "charset"])
+    return by_parts(both, lambda part: pa.array([x["content"].decode(x["charset"]) for x in part.to_pylist()], pa.string()))
 
 
 def decoded_with_charset(content: Column) -> Column:
