@@ -19,7 +19,7 @@ from ..sources.charsets import decoded_in_folders
 from ..sources.files import decoded, hashed_files, list_files, load_pages, store_artifacts
 from ..sources.keyed import KeyedTable
 from ..sources.listing import READ, hash_files, list_tree, local_path
-from ..sources.work import rebuild, work_path
+from ..sources.work import rebuild, small_batches, work_path
 from ..streaming.jobs import follow_files, ingest, silent_keys, status_counts
 from ..streaming.state import changed_files, ended_leases, rocks_state
 from .catalog_queries import GROUPS
@@ -273,7 +273,8 @@ def in_ten_charsets(docs: DataFrame) -> DataFrame:
     content = docs.select("doc_id", turn.alias("folder"), encoded(text, charset).alias("content"))
     # files have bytes: what is decoded is read from a table of them
     path = work_path(docs.sparkSession, "encoded")
-    content.write.parquet(path)
+    with small_batches(docs.sparkSession):
+        content.write.parquet(path)
     back = docs.sparkSession.read.parquet(path)
     read = decoded_in_folders(back, "folder").withColumnRenamed("text", "t")
     return read.select("doc_id", F.length("t").cast("long").alias("chars"), sha256(F.col("t")).alias("text_sha256"), extraction_status(F.lit("txt"), F.col("content"), F.col("t")).alias("status"))

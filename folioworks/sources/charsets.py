@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from ..functions.text import by_parts
-from .work import work_path
+from .work import small_batches, work_path
 
 # Letters of languages (of the scripts, frequent ones first) and their charsets.
 LATIN = {
@@ -292,7 +292,8 @@ def decoded_in_folders(files: DataFrame, folder: str) -> DataFrame:
     """
     path = work_path(files.sparkSession, "guessed")
     guessed = files.select("*", decoded_with_charset(F.col("content")).alias("g")).select("*", "g.*", F.monotonically_increasing_id().alias("row")).drop("g")
-    guessed.write.parquet(path)
+    with small_batches(files.sparkSession):
+        guessed.write.parquet(path)
     guessed = files.sparkSession.read.schema(guessed.schema).parquet(path)
     # a file that fits its folder's most frequent charset speaks for no other
     sets = guessed.filter(F.size("fits") > 0).groupBy(folder, "fits").agg(F.count(F.lit(1)).alias("n"))

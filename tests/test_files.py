@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.operators.chunking import extraction_status
 from folioworks.operators.indexing import index_documents
-from folioworks.sources import charsets, files, listing
+from folioworks.sources import charsets, files, listing, work
 from folioworks.streaming.jobs import ingest
 
 
@@ -180,6 +180,17 @@ def test_many_files_of_a_folder_outweigh_little_evidence_only(spark):
     assert charsets.detect(WESTERN.encode("cp1252"))[0] != WESTERN
 
 
+def test_small_batches_leave_the_session_as_it_was(spark):
+    with work.small_batches(spark):
+        assert spark.conf.get(work.BATCH_SETTING) == str(work.BATCH_ROWS)
+    assert spark.conf.get(work.BATCH_SETTING) == "10000"
+    spark.conf.set(work.BATCH_SETTING, "64")
+    with work.small_batches(spark):
+        assert spark.conf.get(work.BATCH_SETTING) == "64"
+    assert spark.conf.get(work.BATCH_SETTING) == "64"
+    spark.conf.unset(work.BATCH_SETTING)
+
+
 def test_repeated_words_are_no_more_evidence():
     lags = [{c: lag for _, c, lag in charsets.ranked((WESTERN * n).encode("cp1252"))} for n in (1, 2, 50)]
     assert 0 < lags[0]["cp1252"] < 5 and lags[2]["cp1252"] == pytest.approx(lags[1]["cp1252"], rel=0.1)
